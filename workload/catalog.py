@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import verification
+from workload import space, telemetry, verification
 
-REGISTRIES = [verification.REG]
+REGISTRIES = [verification.REG, telemetry.REG, space.REG]
 
 
 def all_queries() -> dict:

@@ -95,7 +95,7 @@ VIEWS["v_pixels"] = """
 SELECT event_id, ts AS scan_time,
        5.0e0 + CAST((event_id * 37) % 1601 AS DOUBLE) * 0.01e0 AS lat,
        96.5e0 + CAST((event_id * 61) % 953 AS DOUBLE) * 0.01e0 AS lon,
-       300.0e0 - value * 0.25e0 AS val
+       300.0e0 - value * 0.2500731e0 AS val
 FROM events
 """
 
