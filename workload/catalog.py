@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import space, telemetry, verification
+from workload import assembly, space, tables, telemetry, verification
 
-REGISTRIES = [verification.REG, telemetry.REG, space.REG]
+REGISTRIES = [verification.REG, telemetry.REG, space.REG, tables.REG, assembly.REG]
 
 
 def all_queries() -> dict:
