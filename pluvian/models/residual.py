@@ -29,9 +29,13 @@ class TreeSettings:
     bins: int = 64
     seed: int = 42
     subsample: float = 1.0
+    partitions: int | None = None  # spread the training rows once; the learners pass over them many times
 
 
-def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def assembled(df: DataFrame, features: Sequence[str], settings: TreeSettings) -> DataFrame:
+    df = df.where(F.col("is_train") | F.col("is_val"))
+    if settings.partitions:
+        df = df.repartition(settings.partitions)
     return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="error").transform(df)
 
 
@@ -39,7 +43,7 @@ def boosted_residual(df: DataFrame, features: Sequence[str], loss: str = "square
                      settings: TreeSettings = TreeSettings(), early_stop_tol: float | None = 0.01):
     """Boosted trees on the residual (`absolute` or `squared` loss), stopped early on the validation rows."""
     ensure_checkpoint_dir(df.sparkSession)
-    rows = assembled(df.where(F.col("is_train") | F.col("is_val")).withColumn("_y", F.col(target).cast("double")), features)
+    rows = assembled(df.withColumn("_y", F.col(target).cast("double")), features, settings)
     stop = {} if early_stop_tol is None else {"validationIndicatorCol": "is_val", "validationTol": early_stop_tol}
     learner = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="predicted_bias", lossType=loss,
                            maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.step,
@@ -57,9 +61,8 @@ def hurdle(df: DataFrame, features: Sequence[str], threshold: float = 0.1, obser
     training set with a single class has a constant probability.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    rows = assembled(df.where(F.col("is_train") | F.col("is_val"))
-                     .withColumns({"_wet": wet(observed, threshold).cast("double"), "_amount": F.col(observed).cast("double")}),
-                     features)
+    rows = assembled(df.withColumns({"_wet": wet(observed, threshold).cast("double"),
+                                     "_amount": F.col(observed).cast("double")}), features, settings)
     train, val = rows.where("is_train"), rows.where("is_val")
     classes = {r[0] for r in train.select("_wet").distinct().collect()}
     wet_rows = train.where("_wet = 1.0")
@@ -88,7 +91,7 @@ def quantile_forest(df: DataFrame, features: Sequence[str], target: str = "targe
     (`accuracy` bounds the rank error), so no leaf is held in one task. The leaf table has at most trees * 2^depth rows and
     is looked up as one array, so scoring is a projection.
     """
-    rows = assembled(df.where(F.col("is_train") | F.col("is_val")).withColumn("_y", F.col(target).cast("double")), features)
+    rows = assembled(df.withColumn("_y", F.col(target).cast("double")), features, settings)
     forest = RandomForestRegressor(featuresCol="_x", labelCol="_y", predictionCol="_mean", leafCol="_leaf", numTrees=trees,
                                    maxDepth=depth, maxBins=settings.bins, seed=settings.seed).fit(rows.where("is_train"))
     tags = [f"q{round(q * 100)}" for q in quantiles]

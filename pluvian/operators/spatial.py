@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pluvian.functions import constants as K
 from pluvian.functions.geo import utm_forward, utm_inverse, utm_km, in_land_mask
 from pluvian.functions.scalars import grid_id
-from pluvian.functions.skew import HOT_ROWS, first_row, salted_join
+from pluvian.functions.skew import HOT_ROWS, exact_quantiles, first_row, salted_join
 
 
 def project_km(df: DataFrame, lat: str, lon: str, x: str = "x_km", y: str = "y_km") -> DataFrame:
@@ -113,54 +113,63 @@ def nearest_site(targets: DataFrame, sites: DataFrame, target_id: str, site_id:
             .select(target_id, F.col(f"_m.{site_id}").alias(site_id), F.sqrt("_m._d").alias("dist")))
 
 
-def attach_terrain(forecast: DataFrame, grid: DataFrame, cell: str = "grid_id") -> DataFrame:
-    """Terrain by cell name (right side made unique), then by nearest centroid in degrees for cells without a match.
+def cells_of(forecast: DataFrame, cell: str = "grid_id") -> DataFrame:
+    """(cell, lat, lon), one row per cell."""
+    return first_row(forecast.select(cell, "lat", "lon"), [cell], [F.col("lat"), F.col("lon")])
 
-    Works on the distinct cells of the forecast, so the spatial step is done once per cell and not once per forecast row.
-    """
+
+def cell_terrain(cells: DataFrame, grid: DataFrame, cell: str = "grid_id") -> DataFrame:
+    """Terrain of each cell: by cell name (grid made unique), else from the nearest centroid in degrees."""
     terrain = [c for c in K.TERRAIN_FEATURES if c in grid.columns]
     unique = first_row(grid, [cell], [F.col("legacy_grid_id")] if "legacy_grid_id" in grid.columns
                        else [F.col(c) for c in terrain])
-    named = first_row(forecast.select(cell, "lat", "lon"), [cell], [F.col("lat"), F.col("lon")])
-    direct = named.join(unique.select(cell, *terrain), cell, "left")
+    direct = cells.join(unique.select(cell, *terrain), cell, "left")
     missing = direct.where(F.col("elevation_m").isNull()).select(cell, "lat", "lon")
     centres = unique.select(F.col(cell).alias("_site"), F.col("centroid_lat").alias("lat"),
                             F.col("centroid_lon").alias("lon"))
     near = nearest_site(missing, centres, cell, "_site").select(cell, "_site")
-    filled = near.join(unique.select(F.col(cell).alias("_site"), *terrain), "_site").drop("_site")
-    per_cell = direct.where(F.col("elevation_m").isNotNull()).select(cell, *terrain).unionByName(filled)
-    return forecast.join(per_cell, cell, "left")
-
-
-def fill_terrain(rows: DataFrame, cycle: Sequence[str] = ("origin", "run_time")) -> DataFrame:
-    """Remaining gaps: height, roughness, slope and coast distance take the cycle's median (10 if it has none), the rest 0.
-
-    Medians come from the value histogram (`exact_quantiles`), not from holding a cycle in one aggregate.
-    """
-    from pluvian.functions.skew import exact_quantiles
-    out = rows
-    for c in ("elevation_m", "elevation_std", "slope_deg", "dist_coast_km"):
-        if c in rows.columns:
-            med = exact_quantiles(rows, list(cycle), c, [0.5], "_med").drop("prob")
-            out = out.join(med, list(cycle), "left").withColumn(c, F.coalesce(c, "_med", F.lit(10.0))).drop("_med")
-    return out.na.fill(0.0, [c for c in ("aspect_sin", "aspect_cos", "coriolis_param") if c in rows.columns])
+    filled = missing.select(cell).join(near, cell, "left").join(
+        unique.select(F.col(cell).alias("_site"), *terrain), "_site", "left").drop("_site")
+    return direct.where(F.col("elevation_m").isNotNull()).select(cell, *terrain).unionByName(filled)
 
 
-def attach_satellite(forecast: DataFrame, satellite: DataFrame, anchor: str = "run_time", time: str = "timestamp",
-                     cell: str = "grid_id") -> DataFrame:
-    """Satellite features of the nearest satellite cell at the run's anchor time, defaults where there are none.
+def attach_terrain(forecast: DataFrame, terrain: DataFrame, cell: str = "grid_id",
+                   cycle: Sequence[str] = ("origin", "run_time")) -> DataFrame:
+    """Terrain columns of each forecast row; what is still missing takes the cycle's median (10 if it has none) or 0.
 
-    The nearest cell is found once per (forecast cell, satellite cell layout); the time is an equi key.
+    Whether anything is missing is asked of the small cell table first, so the medians are only worked out when needed.
+    They come from the value histogram (`exact_quantiles`), all columns in one pass.
     """
-    present = [c for c in ["bt_mean_t0", "bt_min_t0", "bt_std", "bt_mean_lag10m", "bt_mean_lag20m", "bt_mean_lag30m",
-                           "delta_bt_30", "is_rapid_cooling", "is_deep_convective", "wv_mean"]
-               if c in satellite.columns]
-    layout = first_row(satellite.select(F.col(cell).alias("_sat"), "lat", "lon"), ["lat", "lon"], [F.col("_sat")])
-    cells = first_row(forecast.select(cell, "lat", "lon"), [cell], [F.col("lat"), F.col("lon")])
-    near = nearest_site(cells, layout, cell, "_sat", leaf=0.1).select(cell, "_sat")
-    values = first_row(satellite.select(F.col(cell).alias("_sat"), F.col(time).alias(anchor), *present),
+    measured = [c for c in ("elevation_m", "elevation_std", "slope_deg", "dist_coast_km") if c in terrain.columns]
+    out = forecast.join(terrain, cell, "left")
+    gaps = terrain.where(F.greatest(*[F.col(c).isNull() for c in measured], F.lit(False)))
+    if not gaps.limit(1).isEmpty():
+        stacked = out.select(*cycle, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v"))
+                                                         for c in measured])).alias("_s")).select(*cycle, "_s.*")
+        med = exact_quantiles(stacked, [*cycle, "name"], "v", [0.5], "_med").groupBy(*cycle).agg(
+            *[F.max(F.when(F.col("name") == c, F.col("_med"))).alias(f"_m_{c}") for c in measured])
+        out = out.join(med, list(cycle), "left").withColumns(
+            {c: F.coalesce(c, f"_m_{c}", F.lit(10.0)) for c in measured}).drop(*[f"_m_{c}" for c in measured])
+    return out.na.fill(0.0, [c for c in ("aspect_sin", "aspect_cos", "coriolis_param") if c in terrain.columns])
+
+
+SATELLITE_COLUMNS = ["bt_mean_t0", "bt_min_t0", "bt_std", "bt_mean_lag10m", "bt_mean_lag20m", "bt_mean_lag30m",
+                     "delta_bt_30", "is_rapid_cooling", "is_deep_convective", "wv_mean"]
+
+
+def satellite_of_cell(cells: DataFrame, satellite: DataFrame, cell: str = "grid_id") -> DataFrame:
+    """(cell, _sat): the nearest satellite cell, worked out once per cell."""
+    layout = first_row(satellite.select(F.col("grid_id").alias("_sat"), "lat", "lon"), ["lat", "lon"], [F.col("_sat")])
+    return nearest_site(cells, layout, cell, "_sat", leaf=0.1).select(cell, "_sat")
+
+
+def attach_satellite(forecast: DataFrame, nearest: DataFrame, satellite: DataFrame, anchor: str = "run_time",
+                     time: str = "timestamp", cell: str = "grid_id") -> DataFrame:
+    """Satellite features of the nearest satellite cell at the run's anchor time, defaults where there are none."""
+    present = [c for c in SATELLITE_COLUMNS if c in satellite.columns]
+    values = first_row(satellite.select(F.col("grid_id").alias("_sat"), F.col(time).alias(anchor), *present),
                        ["_sat", anchor], [F.col(c) for c in present])
-    joined = forecast.join(near, cell, "left").join(values, ["_sat", anchor], "left").drop("_sat")
+    joined = forecast.join(nearest, cell, "left").join(values, ["_sat", anchor], "left").drop("_sat")
     return joined.na.fill({k: v for k, v in K.SATELLITE_DEFAULTS.items() if k in present})
 
 

@@ -66,31 +66,31 @@ def score_cells(long: DataFrame, keys: Sequence[str], thresholds: Sequence[float
     Continuous sums need finite obs, pred and raw; the contingency counts need finite obs and pred only.
     """
     pair, triple = finite("obs", "pred"), finite("obs", "pred", "raw")
-    err, raw_err = F.col("pred") - F.col("obs"), F.col("raw") - F.col("obs")
-
-    def total(x: Column) -> Column:
-        return F.sum(F.when(triple, x))
-
+    # unusable values become NULL once, so every aggregate below is a plain skip-missing sum
+    usable = long.select(
+        *keys, F.when(triple, F.col("obs")).alias("o"), F.when(triple, F.col("pred")).alias("p"),
+        F.when(triple, F.col("pred") - F.col("obs")).alias("e"), F.when(triple, F.col("raw") - F.col("obs")).alias("re"),
+        F.when(pair, F.col("obs")).alias("po"), F.when(pair, F.col("pred")).alias("pp"),
+        F.when(pair, F.least("obs", "pred")).alias("both"))
+    o, p, e, re = F.col("o"), F.col("p"), F.col("e"), F.col("re")
     aggs = [
-        F.count_if(triple).alias("n"), F.count_if(pair).alias("n_pair"),
-        total(err).alias("s_err"), total(F.abs(err)).alias("s_abs"), total(err * err).alias("s_sq"),
-        total(F.abs(raw_err)).alias("s_raw_abs"), total(raw_err * raw_err).alias("s_raw_sq"),
-        total(F.col("obs")).alias("s_o"), total(F.col("pred")).alias("s_p"),
-        total(F.col("obs") * F.col("obs")).alias("s_oo"), total(F.col("pred") * F.col("pred")).alias("s_pp"),
-        total(F.col("obs") * F.col("pred")).alias("s_op"),
-        F.min(F.when(triple, F.col("obs"))).alias("min_o"), F.max(F.when(triple, F.col("obs"))).alias("max_o"),
-        F.min(F.when(triple, F.col("pred"))).alias("min_p"), F.max(F.when(triple, F.col("pred"))).alias("max_p"),
+        F.count("e").alias("n"), F.count("po").alias("n_pair"),
+        F.sum(e).alias("s_err"), F.sum(F.abs(e)).alias("s_abs"), F.sum(e * e).alias("s_sq"),
+        F.sum(F.abs(re)).alias("s_raw_abs"), F.sum(re * re).alias("s_raw_sq"),
+        F.sum(o).alias("s_o"), F.sum(p).alias("s_p"), F.sum(o * o).alias("s_oo"), F.sum(p * p).alias("s_pp"),
+        F.sum(o * p).alias("s_op"), F.min(o).alias("min_o"), F.max(o).alias("max_o"), F.min(p).alias("min_p"),
+        F.max(p).alias("max_p"),
     ]
     for t in thresholds:
-        o, p = F.col("obs") >= F.lit(float(t)), F.col("pred") >= F.lit(float(t))
-        aggs += [F.count_if(pair & o & p).alias(f"h_{tag(t)}"), F.count_if(pair & o & ~p).alias(f"m_{tag(t)}"),
-                 F.count_if(pair & ~o & p).alias(f"f_{tag(t)}")]
-    return long.groupBy(*keys).agg(*aggs)
+        # observed events, warned events and hits (both sides reach t when the smaller one does)
+        aggs += [F.count_if(F.col(c) >= F.lit(float(t))).alias(f"{name}_{tag(t)}")
+                 for name, c in (("o", "po"), ("w", "pp"), ("h", "both"))]
+    return usable.groupBy(*keys).agg(*aggs)
 
 
 def roll_up(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Merge cells into coarser ones."""
-    sums = [c for c in cells.columns if c.startswith(("s_", "h_", "m_", "f_")) or c in ("n", "n_pair")]
+    sums = [c for c in cells.columns if c.startswith(("s_", "o_", "w_", "h_")) or c in ("n", "n_pair")]
     return cells.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in sums],
         *[F.min(c).alias(c) for c in ("min_o", "min_p")], *[F.max(c).alias(c) for c in ("max_o", "max_p")])
@@ -129,8 +129,8 @@ def varies(side: str, scaled_var: Column) -> Column:
 
 def contingency_columns(threshold: float) -> dict[str, Column]:
     """Two-by-two table scores of a cell at one threshold."""
-    h, m, f = (F.col(f"{x}_{tag(threshold)}") for x in "hmf")
-    wet, warned, any_event = h + m, h + f, h + m + f
+    wet, warned, h = (F.col(f"{x}_{tag(threshold)}") for x in "owh")
+    m, f, any_event = wet - h, warned - h, wet + warned - h
     pod = safe_ratio(h * F.lit(100.0), wet, 0.0)
     far = safe_ratio(f * F.lit(100.0), warned, 0.0)
     return {

@@ -10,21 +10,22 @@ from pluvian.functions.scalars import to_utc
 from pluvian.operators import ground, spatial, temporal
 from pluvian.operators.columns import forecast_features, labelled, with_target
 from pluvian.operators.guards import no_leakage
+from pluvian.session import stored
 
 
-def station_of_cell(forecast: DataFrame, stations: DataFrame, max_km: float = 5.0, cell: str = "grid_id") -> DataFrame:
+def station_of_cell(cells: DataFrame, stations: DataFrame, max_km: float = 5.0, cell: str = "grid_id") -> DataFrame:
     """(cell, station_code): the gauge that labels a cell."""
-    cells = spatial.project_km(forecast.select(cell, "lat", "lon").dropDuplicates([cell]), "lat", "lon")
+    targets = spatial.project_km(cells, "lat", "lon")
     sites = spatial.project_km(stations.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()),
                                "latitude", "longitude")
-    return spatial.nearest_within(cells, sites, cell, "station_code", max_km).select(cell, "station_code")
+    return spatial.nearest_within(targets, sites, cell, "station_code", max_km).select(cell, "station_code")
 
 
-def rain_labels(forecast: DataFrame, telemetry: DataFrame, stations: DataFrame, cell: str = "grid_id") -> DataFrame:
+def rain_labels(forecast: DataFrame, telemetry: DataFrame, label_gauge: DataFrame, cell: str = "grid_id") -> DataFrame:
     """(origin, run_time, cell, valid_time, observed_rain) for cells with a gauge in reach."""
     steps = temporal.step_hours(forecast)
     wanted = (forecast.select("origin", "run_time", cell, "valid_time").distinct()
-              .join(steps, ["origin", "run_time"]).join(station_of_cell(forecast, stations, cell=cell), cell))
+              .join(label_gauge, cell).join(steps, ["origin", "run_time"]))
     rain = telemetry.where(F.col("variable_type") == "hourly_rain").withColumn("observed_at", to_utc("observed_at"))
     labels = temporal.interval_labels(wanted, rain)
     return wanted.join(labels, ["station_code", "valid_time", "step_hours"]).select(
@@ -40,20 +41,22 @@ def feature_matrix(forecast: DataFrame, grid: DataFrame, stations: DataFrame, te
     equal to the run time they serve; an `observed_at` column, if any, is checked against the run. Nothing is made up: a row
     without a label is dropped, or kept with NULL when `require_label` is off.
 
-    Spatial work is done per distinct cell and gauge and reused by every run; the runs only meet it through equi keys.
+    Geometry does not depend on the run, so terrain, gauge pairs and nearest cells are worked out once per distinct cell and
+    stored (tables of cells, not of forecast rows). The forecast rows themselves only meet them through equi keys.
     """
-    rows = spatial.fill_terrain(spatial.attach_terrain(forecast, grid, cell))
+    cells = stored(spatial.cells_of(forecast, cell))
+    terrain = stored(spatial.cell_terrain(cells, grid, cell))
+    pairs = stored(ground.station_pairs(cells, stations, cell))
+    rows = spatial.attach_terrain(forecast, terrain, cell)
     if satellite is not None:
         if "observed_at" in satellite.columns:
             satellite = satellite.withColumn("observed_at", no_leakage("timestamp", "observed_at"))
-        rows = spatial.attach_satellite(rows, satellite, cell=cell)
-    cells = forecast.select(cell, "lat", "lon").dropDuplicates([cell])
+        nearest = stored(spatial.satellite_of_cell(cells, satellite, cell))
+        rows = spatial.attach_satellite(rows, nearest, satellite, cell=cell)
     observed = temporal.observations_at_runs(forecast.select("run_time"), telemetry, lookback_hours)
-    pairs = ground.station_pairs(cells, stations, cell)
     features = ground.ground_features(forecast.select("run_time", cell), pairs, observed, cell)
-    rows = ground.attach_ground(rows, features, cell)
-    labels = rain_labels(forecast, telemetry, stations, cell)
-    rows = rows.join(labels, ["origin", "run_time", cell, "valid_time"], "left")
+    labels = rain_labels(forecast, telemetry, station_of_cell(cells, stations, cell=cell), cell)
+    rows = ground.attach_ground(rows, features, cell).join(labels, ["origin", "run_time", cell, "valid_time"], "left")
     out = with_target(forecast_features(rows))
     return labelled(out) if require_label else out
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvian.operators import verify as V
-from pluvian.session import ensure_checkpoint_dir
+from pluvian.session import stored
 
 GRAIN = ["model", "ablation", "lead_time", "month", "basin_id", "is_holdout"]
 
@@ -20,10 +20,7 @@ def verification_cells(long: DataFrame, store: bool = True) -> DataFrame:
     scanning the forecasts again, and a lost executor costs nothing.
     """
     cells = V.score_cells(long, GRAIN)
-    if store:
-        ensure_checkpoint_dir(long.sparkSession)
-        cells = cells.checkpoint()
-    return cells
+    return stored(cells) if store else cells
 
 
 def reports(cells: DataFrame, models: Sequence[str], baseline: tuple[str, str] = ("baseline_b0", "raw_nwp"),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pluvian", cores: str | int = "*", shuffle_partitions: int | None = None,
@@ -34,3 +34,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pluvian-ckpt-"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the checkpoint folder and go on from there.
+
+    For results that several later steps read: they are computed once, the plan stays short, and a lost executor only costs
+    a re-read.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

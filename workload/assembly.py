@@ -19,8 +19,8 @@ FORECAST = f"""fc AS (SELECT 'gfs' AS origin, {RUN} AS run_time, CAST(event_id %
 def forecast(spark, sf_dir):
     ev = table(spark, sf_dir, "events").groupBy(
         S.floor_to("ts", 43200).alias("run_time"), (F.col("event_id") % 6 + 1).cast("int").alias("lead_time_hours"),
-        F.col("user_id").alias("grid_id")).agg((F.avg("value") * 0.1).alias("tp"))
-    cells = view(spark, sf_dir, "v_grid").select(F.col("cell_id").alias("grid_id"), "lat", "lon")
+        F.col("user_id").cast("string").alias("grid_id")).agg((F.avg("value") * 0.1).alias("tp"))
+    cells = view(spark, sf_dir, "v_grid").select(F.col("cell_id").cast("string").alias("grid_id"), "lat", "lon")
     return ev.join(cells, "grid_id").withColumn("origin", F.lit("gfs")) \
         .withColumn("valid_time", S.shift("run_time", hours=F.col("lead_time_hours")))
 
@@ -45,7 +45,7 @@ NEAR = ", ".join(f"{r(f'coalesce(n_{v}.x, {d})', f'nearest_{v}_val')}, {r(f'coal
  lab AS (SELECT fc.run_time, fc.cell_id, lead_time_hours, arg_max(value, observed_at) AS o FROM fc JOIN ls USING (cell_id) JOIN v_obs v ON v.station_code = ls.sc AND variable_type = 'hourly_rain'
   AND observed_at - INTERVAL 7 HOUR > run_time + lead_time_hours * INTERVAL 1 HOUR - INTERVAL 1 HOUR AND observed_at - INTERVAL 7 HOUR <= run_time + lead_time_hours * INTERVAL 1 HOUR + INTERVAL 15 MINUTE GROUP BY ALL),
  te AS (SELECT cell_id, arg_min(elevation_m, power(lat-latitude, 2)+power(lon-longitude, 2)) AS elevation_m FROM g, s GROUP BY cell_id)
-SELECT fc.run_time, fc.cell_id AS grid_id, fc.lead_time_hours, {r('fc.tp', 'nwp_rain_raw')}, {r('te.elevation_m', 'elevation_m')}, {NEAR}, {r('coalesce(p4, n_pressure.x, 1010.0)', 'pressure_mean_20_50km')}, {r('lab.o', 'observed_rain')}
+SELECT fc.run_time, CAST(fc.cell_id AS VARCHAR) AS grid_id, fc.lead_time_hours, {r('fc.tp', 'nwp_rain_raw')}, {r('te.elevation_m', 'elevation_m')}, {NEAR}, {r('coalesce(p4, n_pressure.x, 1010.0)', 'pressure_mean_20_50km')}, {r('lab.o', 'observed_rain')}
 FROM fc JOIN g USING (cell_id) LEFT JOIN nr USING (run_time, cell_id) LEFT JOIN te USING (cell_id) LEFT JOIN lab USING (run_time, cell_id, lead_time_hours)""")
 def assembled(spark, sf_dir):
     out = feature_matrix(forecast(spark, sf_dir), terrain(spark, sf_dir), view(spark, sf_dir, "v_station"),

@@ -219,7 +219,7 @@ def terrain_attach(spark, sf_dir):
         F.col("latitude").alias("centroid_lat"), F.col("longitude").alias("centroid_lon"), "elevation_m",
         F.col("latitude").alias("slope_deg"), F.col("longitude").alias("aspect_sin"))
     cells = view(spark, sf_dir, "v_grid").select("cell_id", S.grid_id("lat", "lon").alias("grid_id"), "lat", "lon")
-    out = SP.attach_terrain(cells, terrain)
+    out = cells.join(SP.cell_terrain(SP.cells_of(cells), terrain), "grid_id", "left")
     # slope and aspect carry the matched site's place, so the distance to it can be told from the output
     from pluvian.functions.skew import first_row
     shared = first_row(cells.select("grid_id", F.col("lat").alias("_la"), F.col("lon").alias("_lo")), ["grid_id"], [F.col("_la"), F.col("_lo")])

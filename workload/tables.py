@@ -239,7 +239,10 @@ def hourly_json(spark, sf_dir):
 
 # ---- M1..M4 ----
 FEATURES = ["nwp_rain_raw", "lead_time_hours", "gfs", "month"]
-SMALL = M.TreeSettings(rounds=4, depth=3, step=0.1, bins=32)
+
+
+def small(spark):
+    return M.TreeSettings(rounds=4, depth=3, step=0.1, bins=32, partitions=spark.sparkContext.defaultParallelism)
 
 
 def training_table(spark, sf_dir):
@@ -256,19 +259,19 @@ KEEP = ["l_orderkey", "l_partkey", "station_id", "l_linenumber", "predicted_bias
 
 @REG.add("gbt_l1")
 def gbt_l1(spark, sf_dir):
-    return M.boosted_residual(training_table(spark, sf_dir), FEATURES, "absolute", settings=SMALL)[1].select(*KEEP)
+    return M.boosted_residual(training_table(spark, sf_dir), FEATURES, "absolute", settings=small(spark))[1].select(*KEEP)
 
 
 @REG.add("gbt_l2")
 def gbt_l2(spark, sf_dir):
-    return M.boosted_residual(training_table(spark, sf_dir), FEATURES, "squared", settings=SMALL)[1].select(*KEEP)
+    return M.boosted_residual(training_table(spark, sf_dir), FEATURES, "squared", settings=small(spark))[1].select(*KEEP)
 
 
 @REG.add("hurdle")
 def hurdle(spark, sf_dir):
-    return M.hurdle(training_table(spark, sf_dir), FEATURES, settings=SMALL)[1].select(*KEEP)
+    return M.hurdle(training_table(spark, sf_dir), FEATURES, settings=small(spark))[1].select(*KEEP)
 
 
 @REG.add("quantile_forest")
 def quantile_forest(spark, sf_dir):
-    return M.quantile_forest(training_table(spark, sf_dir), FEATURES, trees=8, depth=4)[1].select(*KEEP, "q10", "q50", "q90", "q95")
+    return M.quantile_forest(training_table(spark, sf_dir), FEATURES, trees=8, depth=4, settings=small(spark))[1].select(*KEEP, "q10", "q50", "q90", "q95")
