@@ -77,12 +77,13 @@ def parse_telemetry(spark: SparkSession, paths: str | Sequence[str], station_pat
     modern_value = F.coalesce(F.get(F.filter("_h", lambda c: F.array_contains(known, c)), F.lit(0)), F.get("_h", F.lit(2)))
     legacy_value = F.get(F.filter("_h", lambda c: ~c.isin("date", "time")), F.lit(0))
     value_name = F.when(has_modern, modern_value).otherwise(legacy_value)
-    rows = rows.withColumn("_value_name", F.when(F.col("_h").isNull(), F.raise_error(
-        F.concat(F.lit("unrecognised telemetry header in "), "_file")).cast("string")).otherwise(value_name))
+    rows = rows.withColumn("_value_name", value_name)
     place = F.array_position("_h", F.col("_value_name")).cast("int")
     station_of_file = F.regexp_extract("_file", station_pattern, 1)
     catalog_of_file = F.nullif(F.regexp_extract("_file", catalog_pattern, 1), F.lit(""))
-    stamp = F.when(has_modern, at("measure_datetime")).otherwise(F.concat_ws(" ", at("date"), at("time")))
+    # the check sits in the time text, which every row needs, so no filter can skip it
+    unknown = F.raise_error(F.concat(F.lit("unrecognised telemetry header in "), "_file")).cast("string")
+    stamp = F.when(F.col("_h").isNull(), unknown).when(has_modern, at("measure_datetime")).otherwise(F.concat_ws(" ", at("date"), at("time")))
     out = rows.select(
         F.when(has_modern, F.coalesce(at("station_code"), station_of_file)).otherwise(station_of_file).alias("station_code"),
         parse_time(stamp, formats).alias("observed_at"),

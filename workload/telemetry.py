@@ -266,8 +266,9 @@ def lag_features(spark, sf_dir):
     return out.drop("delta_bt_30")
 
 
+# factors with many digits keep the operator's decimal rounding away from ties
 SERIES = """ser AS (SELECT 'gfs' AS origin, 10.0e0 + CAST(length(event_type) AS DOUBLE) * 0.333e0 AS lat, 100.0e0 + CAST(length(event_type) AS DOUBLE) * 0.777e0 AS lon,
-  date_trunc('hour', ts) AS "time", avg(value) AS precipitation, avg(value) * 0.01e0 + 1000.0e0 AS surface_pressure, max(value) AS wind_speed_10m, min(value) AS wind_direction_10m
+  date_trunc('hour', ts) AS "time", avg(value) * 0.1000731e0 AS precipitation, avg(value) * 0.0100731e0 + 1000.0e0 AS surface_pressure, max(value) * 0.1000731e0 AS wind_speed_10m, min(value) AS wind_direction_10m
   FROM events GROUP BY event_type, date_trunc('hour', ts))"""
 
 
@@ -275,35 +276,32 @@ def series(spark, sf_dir):
     from workload.views import table
     n = F.length("event_type").cast("double")
     return table(spark, sf_dir, "events").groupBy("event_type", S.floor_to("ts", 3600).alias("time")).agg(
-        F.avg("value").alias("precipitation"), (F.avg("value") * 0.01 + 1000.0).alias("surface_pressure"),
-        F.max("value").alias("wind_speed_10m"), F.min("value").alias("wind_direction_10m")).select(
+        (F.avg("value") * 0.1000731).alias("precipitation"), (F.avg("value") * 0.0100731 + 1000.0).alias("surface_pressure"),
+        (F.max("value") * 0.1000731).alias("wind_speed_10m"), F.min("value").alias("wind_direction_10m")).select(
         F.lit("gfs").alias("origin"), (F.lit(10.0) + n * 0.333).alias("lat"), (F.lit(100.0) + n * 0.777).alias("lon"),
         "time", "precipitation", "surface_pressure", "wind_speed_10m", "wind_direction_10m")
 
 
-# outputs are rounded to few places by the operator, so the oracle compares coarser sums of the unrounded definition
-@REG.add("rolling_cycles", f"""WITH {SERIES}, f AS (SELECT origin, lat, lon, min("time") AS f, max("time") AS t FROM ser GROUP BY ALL),
+CYCLES = f"""{SERIES}, f AS (SELECT origin, lat, lon, min("time") AS f, max("time") AS t FROM ser GROUP BY ALL),
  d AS (SELECT *, unnest(generate_series(date_trunc('day', f), date_trunc('day', t), INTERVAL 1 DAY)) AS day FROM f),
  rr AS (SELECT *, day + c * INTERVAL 1 HOUR AS run_time FROM d, (VALUES (0), (12)) v(c)),
- l AS (SELECT *, unnest(generate_series(1, 24)) AS lead FROM rr)
-SELECT l.origin, run_time, s."time" AS valid_time, CAST(lead AS INT) AS lead_time_hours, 'G_' || CAST(round_even(l.lat * 50, 0) AS BIGINT) || '_' || CAST(round_even(l.lon * 50, 0) AS BIGINT) AS grid_id,
- {r('round_even(l.lat, 4)', 'lat')}, {r('round_even(l.lon, 4)', 'lon')}, CAST(25.0 AS DOUBLE) AS t2m, CAST(0.0 AS DOUBLE) AS cape
-FROM l JOIN ser s ON s.origin = l.origin AND s.lat = l.lat AND s.lon = l.lon AND s."time" = l.run_time + lead * INTERVAL 1 HOUR""")
+ l AS (SELECT *, unnest(generate_series(1, 24)) AS lead FROM rr),
+ cyc AS (SELECT l.origin, run_time, s."time" AS valid_time, CAST(lead AS INT) AS lead_time_hours, 'G_' || CAST(round_even(l.lat * 50, 0) AS BIGINT) || '_' || CAST(round_even(l.lon * 50, 0) AS BIGINT) AS grid_id,
+  round_even(l.lat, 4) AS lat, round_even(l.lon, 4) AS lon, round(greatest(0.0, precipitation), 3) AS tp, round(surface_pressure, 1) AS sp, CAST(25.0 AS DOUBLE) AS t2m,
+  round(-s.wind_speed_10m * sin(radians(s.wind_direction_10m)), 3) AS u10, round(-s.wind_speed_10m * cos(radians(s.wind_direction_10m)), 3) AS v10, CAST(0.0 AS DOUBLE) AS cape
+  FROM l JOIN ser s ON s.origin = l.origin AND s.lat = l.lat AND s.lon = l.lon AND s."time" = l.run_time + lead * INTERVAL 1 HOUR)"""
+CYCLE_FLOATS = ("lat", "lon", "tp", "sp", "u10", "v10")
+
+
+@REG.add("rolling_cycles", f"""WITH {CYCLES} SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in CYCLE_FLOATS)}) FROM cyc""")
 def rolling_cycles(spark, sf_dir):
-    return T.rolling_cycles(series(spark, sf_dir)).drop("tp", "sp", "u10", "v10")
+    return T.rolling_cycles(series(spark, sf_dir))
 
 
-@REG.add("rolling_cycle_sums", f"""WITH {SERIES}, f AS (SELECT origin, lat, lon, min("time") AS f, max("time") AS t FROM ser GROUP BY ALL),
- d AS (SELECT *, unnest(generate_series(date_trunc('day', f), date_trunc('day', t), INTERVAL 1 DAY)) AS day FROM f),
- rr AS (SELECT *, day + c * INTERVAL 1 HOUR AS run_time FROM d, (VALUES (0), (12)) v(c)),
- l AS (SELECT *, unnest(generate_series(1, 24)) AS lead FROM rr)
-SELECT run_time, count(*) AS n, round(avg(s.precipitation), 1) AS tp, round(avg(s.surface_pressure), 0) AS sp,
- round(avg(-s.wind_speed_10m * sin(radians(s.wind_direction_10m))), 1) + 0.0 AS u10, round(avg(-s.wind_speed_10m * cos(radians(s.wind_direction_10m))), 1) + 0.0 AS v10
-FROM l JOIN ser s ON s.origin = l.origin AND s.lat = l.lat AND s.lon = l.lon AND s."time" = l.run_time + lead * INTERVAL 1 HOUR GROUP BY run_time""")
+@REG.add("rolling_cycle_sums", f"""WITH {CYCLES} SELECT run_time, count(*) AS n, {', '.join(r(f'avg({c})', c) for c in ('tp', 'sp', 'u10', 'v10'))} FROM cyc GROUP BY run_time""")
 def rolling_cycle_sums(spark, sf_dir):
     return T.rolling_cycles(series(spark, sf_dir)).groupBy("run_time").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("tp"), 1).alias("tp"), F.round(F.avg("sp"), 0).alias("sp"),
-        F.round(F.avg("u10"), 1).alias("u10"), F.round(F.avg("v10"), 1).alias("v10"))
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("tp", "sp", "u10", "v10")])
 
 
 WITH_RUN = f"WITH {oracle_view('v_obs')}, w AS (SELECT event_id, observed_at, to_timestamp(floor(epoch(observed_at) / 43200) * 43200)::TIMESTAMP + INTERVAL 3 HOUR AS run_time FROM v_obs)"
