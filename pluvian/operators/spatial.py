@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,17 +55,25 @@ def nearest_within(targets: DataFrame, sites: DataFrame, target_id: str, site_id
         F.min_by(F.struct(site_id, "dist"), F.struct("dist", site_id)).alias("_m")).select(target_id, "_m.*")
 
 
+def within(c: str, extent: float) -> Column:
+    v = F.col(c).cast("double")
+    return F.when(v.isNull() | (F.abs(v) <= F.lit(float(extent))), v).otherwise(
+        F.raise_error(F.lit(f"coordinate {c} outside +-{extent}")).cast("double"))
+
+
 def nearest_site(targets: DataFrame, sites: DataFrame, target_id: str, site_id: str, x: str = "lon", y: str = "lat",
-                 leaf: float = 0.02, ratio: int = 8, levels: int = 4) -> DataFrame:
+                 leaf: float = 0.02, ratio: int = 8, extent: float = 360.0) -> DataFrame:
     """Nearest site of every target at any distance, exactly: (target_id, site_id, dist).
 
     Sites are summarised by a pyramid of square cells, each with the tight box of its sites. A target starts from all
     cells of the top level and goes down level by level. At each level it keeps only the cells whose nearest corner is not
     farther than the best guarantee any cell gives (each side of a tight box holds at least one site). So a target carries
     a handful of cells at any time, however far away or crowded the sites are, and site tables only meet it through a
-    parent-cell key. With the defaults the top cells are 82 degrees wide: a list of at most 24 for the whole globe.
+    parent-cell key. Levels are added until the top cells are at least an eighth of `extent` wide; coordinates must lie
+    within +-extent (others fail the job), so the top list has at most 18 x 18 entries whatever the data.
     """
-    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    levels = max(1, math.ceil(math.log(extent / 8.0 / leaf, ratio)))
+    px, py = within(x, extent), within(y, extent)
     points = first_row(sites.where(px.isNotNull() & py.isNotNull()).select(site_id, px.alias("_sx"), py.alias("_sy")),
                        ["_sx", "_sy"], [F.col(site_id)])
     places = targets.where(px.isNotNull() & py.isNotNull()).select(px.alias("_x"), py.alias("_y")).distinct()

@@ -21,15 +21,15 @@ def station_of_cell(cells: DataFrame, stations: DataFrame, max_km: float = 5.0,
     return spatial.nearest_within(targets, sites, cell, "station_code", max_km).select(cell, "station_code")
 
 
-def rain_labels(forecast: DataFrame, telemetry: DataFrame, label_gauge: DataFrame, cell: str = "grid_id") -> DataFrame:
-    """(origin, run_time, cell, valid_time, observed_rain) for cells with a gauge in reach."""
-    steps = temporal.step_hours(forecast)
-    wanted = (forecast.select("origin", "run_time", cell, "valid_time").distinct()
-              .join(label_gauge, cell).join(steps, ["origin", "run_time"]))
+def attach_labels(rows: DataFrame, telemetry: DataFrame, label_gauge: DataFrame, cell: str = "grid_id") -> DataFrame:
+    """Adds `observed_rain` of the cell's gauge over the forecast step; NULL where no gauge is in reach or none reported.
+
+    Labels are worked out per (gauge, valid time, step), which many cells and runs share, and then looked up.
+    """
+    placed = rows.join(label_gauge, cell, "left").join(temporal.step_hours(rows), ["origin", "run_time"], "left")
     rain = telemetry.where(F.col("variable_type") == "hourly_rain").withColumn("observed_at", to_utc("observed_at"))
-    labels = temporal.interval_labels(wanted, rain)
-    return wanted.join(labels, ["station_code", "valid_time", "step_hours"]).select(
-        "origin", "run_time", cell, "valid_time", "observed_rain")
+    labels = temporal.interval_labels(placed.where(F.col("station_code").isNotNull()), rain).drop("n_obs")
+    return placed.join(labels, ["station_code", "valid_time", "step_hours"], "left").select(*rows.columns, "observed_rain")
 
 
 def feature_matrix(forecast: DataFrame, grid: DataFrame, stations: DataFrame, telemetry: DataFrame,
@@ -41,24 +41,24 @@ def feature_matrix(forecast: DataFrame, grid: DataFrame, stations: DataFrame, te
     equal to the run time they serve; an `observed_at` column, if any, is checked against the run. Nothing is made up: a row
     without a label is dropped, or kept with NULL when `require_label` is off.
 
-    Geometry does not depend on the run, so terrain, gauge pairs and nearest cells are worked out once per distinct cell and
+    Labels come first, so an unlabelled row is dropped before anything is joined to it. Geometry does not depend on the run, so terrain, gauge pairs and nearest cells are worked out once per distinct cell and
     stored (tables of cells, not of forecast rows). The forecast rows themselves only meet them through equi keys.
     """
     cells = stored(spatial.cells_of(forecast, cell))
     terrain = stored(spatial.cell_terrain(cells, grid, cell))
     pairs = stored(ground.station_pairs(cells, stations, cell))
-    rows = spatial.attach_terrain(forecast, terrain, cell)
+    observed = temporal.observations_at_runs(forecast.select("run_time"), telemetry, lookback_hours)
+    rows = attach_labels(forecast, telemetry, station_of_cell(cells, stations, cell=cell), cell)
+    if require_label:
+        rows = labelled(rows, "observed_rain")
+    rows = spatial.attach_terrain(rows, terrain, cell)
     if satellite is not None:
         if "observed_at" in satellite.columns:
             satellite = satellite.withColumn("observed_at", no_leakage("timestamp", "observed_at"))
         nearest = stored(spatial.satellite_of_cell(cells, satellite, cell))
         rows = spatial.attach_satellite(rows, nearest, satellite, cell=cell)
-    observed = temporal.observations_at_runs(forecast.select("run_time"), telemetry, lookback_hours)
-    features = ground.ground_features(forecast.select("run_time", cell), pairs, observed, cell)
-    labels = rain_labels(forecast, telemetry, station_of_cell(cells, stations, cell=cell), cell)
-    rows = ground.attach_ground(rows, features, cell).join(labels, ["origin", "run_time", cell, "valid_time"], "left")
-    out = with_target(forecast_features(rows))
-    return labelled(out) if require_label else out
+    rows = ground.attach_ground(rows, pairs, observed, cell)
+    return with_target(forecast_features(rows))
 
 
 def grid_attributes(cells: DataFrame, patches: DataFrame, cell: str = "grid_id") -> DataFrame:
