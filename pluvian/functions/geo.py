@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvian.functions import constants as K
@@ -30,13 +30,18 @@ def krueger_series() -> dict[str, object]:
     }
 
 
-def utm_forward(lat: Column | str, lon: Column | str) -> tuple[Column, Column]:
-    """(easting, northing) in metres, northern hemisphere."""
+def conformal(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Transverse-Mercator coordinates on the sphere (xi north, eta east)."""
+    ecc = F.lit(krueger_series()["ecc"])
+    sin_lat = F.sin(F.radians(lat))
+    dlon = F.radians(lon - F.lit(CENTRAL_MERIDIAN))
+    t = F.sinh(F.atanh(sin_lat) - ecc * F.atanh(ecc * sin_lat))
+    return F.atan2(t, F.cos(dlon)), F.atanh(F.sin(dlon) / F.sqrt(F.lit(1.0) + t * t))
+
+
+def onto_ellipsoid(xi: Column, eta: Column) -> tuple[Column, Column]:
+    """(easting, northing) in metres from the spherical coordinates."""
     s = krueger_series()
-    sin_lat = F.sin(F.radians(col(lat)))
-    dlon = F.radians(col(lon) - F.lit(CENTRAL_MERIDIAN))
-    t = F.sinh(F.atanh(sin_lat) - F.lit(s["ecc"]) * F.atanh(F.lit(s["ecc"]) * sin_lat))
-    xi, eta = F.atan2(t, F.cos(dlon)), F.atanh(F.sin(dlon) / F.sqrt(F.lit(1.0) + t * t))
     x, y = eta, xi
     for j, a in enumerate(s["alpha"], start=1):
         x = x + F.lit(a) * F.cos(F.lit(2.0 * j) * xi) * F.sinh(F.lit(2.0 * j) * eta)
@@ -45,6 +50,19 @@ def utm_forward(lat: Column | str, lon: Column | str) -> tuple[Column, Column]:
     return F.lit(FALSE_EASTING_M) + k * x, k * y
 
 
+def utm_forward(lat: Column | str, lon: Column | str) -> tuple[Column, Column]:
+    """(easting, northing) in metres, northern hemisphere."""
+    return onto_ellipsoid(*conformal(col(lat), col(lon)))
+
+
+def project(df: DataFrame, lat: str, lon: str, x: str, y: str, unit_m: float = 1000.0) -> DataFrame:
+    """Adds projected coordinates. In two steps, so the spherical part is written, and computed, once per row."""
+    xi, eta = conformal(F.col(lat), F.col(lon))
+    px, py = onto_ellipsoid(F.col("_xi"), F.col("_eta"))
+    return df.withColumns({"_xi": xi, "_eta": eta}).withColumns(
+        {x: px / F.lit(unit_m), y: py / F.lit(unit_m)}).drop("_xi", "_eta")
+
+
 def utm_inverse(x: Column | str, y: Column | str) -> tuple[Column, Column]:
     """(lat, lon) in degrees."""
     s = krueger_series()
@@ -61,11 +79,6 @@ def utm_inverse(x: Column | str, y: Column | str) -> tuple[Column, Column]:
     return F.degrees(lat), F.lit(CENTRAL_MERIDIAN) + F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0)))
 
 
-def utm_km(lat: Column | str, lon: Column | str) -> tuple[Column, Column]:
-    x, y = utm_forward(lat, lon)
-    return x / F.lit(1000.0), y / F.lit(1000.0)
-
-
 def bearing(dx: Column | str, dy: Column | str) -> Column:
     """Clockwise from north."""
     return F.atan2(col(dx), col(dy))

@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvian.functions import constants as K
-from pluvian.functions.geo import utm_forward, utm_inverse, utm_km, in_land_mask
+from pluvian.functions.geo import in_land_mask, project, utm_forward, utm_inverse
 from pluvian.functions.scalars import grid_id
 from pluvian.functions.skew import HOT_ROWS, exact_quantiles, first_row, salted_join
 
 
 def project_km(df: DataFrame, lat: str, lon: str, x: str = "x_km", y: str = "y_km") -> DataFrame:
-    px, py = utm_km(lat, lon)
-    return df.withColumns({x: px, y: py})
+    return project(df, lat, lon, x, y)
 
 
 def cell_of(c: str, size: float) -> Column:

@@ -91,6 +91,8 @@ def score_cells(long: DataFrame, keys: Sequence[str], thresholds: Sequence[float
 def roll_up(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Merge cells into coarser ones."""
     sums = [c for c in cells.columns if c.startswith(("s_", "o_", "w_", "h_")) or c in ("n", "n_pair")]
+    if set(cells.columns) - set(sums) - {"min_o", "max_o", "min_p", "max_p"} == set(keys):
+        return cells  # already at this grain
     return cells.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in sums],
         *[F.min(c).alias(c) for c in ("min_o", "min_p")], *[F.max(c).alias(c) for c in ("max_o", "max_p")])
@@ -158,7 +160,7 @@ def threshold_rows(cells: DataFrame, keys: Sequence[str], names: Sequence[str],
 
 # ---- rank correlation and quantiles ----
 
-def spearman(long: DataFrame, keys: Sequence[str], scored: DataFrame | None = None) -> DataFrame:
+def spearman(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rank correlation per key with average ranks for ties; 0 where either side is constant.
 
     Average rank of a value = rows below it + (its copies + 1) / 2, taken from the value histogram, so no group is ever
@@ -168,32 +170,34 @@ def spearman(long: DataFrame, keys: Sequence[str], scored: DataFrame | None = No
     rows = long.where(finite("obs", "pred", "raw"))
     # copies of the same (obs, pred) fold into one weighted row before anything is shuffled further
     pairs = rows.groupBy(*keys, "obs", "pred").agg(F.count(F.lit(1)).alias("_w"))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("_side"), F.col(s).alias("_v")) for s in ("obs", "pred")]))
+    hist = pairs.select(*keys, "_w", sides.alias("_s")).groupBy(*keys, "_s._side", "_s._v").agg(F.sum("_w").alias("_n"))
+    ranks = rows_below(hist, [*keys, "_side"], "_v", "_n", "_below").withColumn(
+        "_rank", F.col("_below") + (F.col("_n") + 1) / F.lit(2.0))
 
-    def ranks(side: str) -> DataFrame:
-        hist = pairs.groupBy(*keys, side).agg(F.sum("_w").alias("_n"))
-        below = rows_below(hist, keys, side, "_n", "_below")
-        return below.select(*keys, side, (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)).alias(f"_r_{side}"))
+    def rank_of(side: str) -> DataFrame:
+        return ranks.where(F.col("_side") == side).select(*keys, F.col("_v").alias(side), F.col("_rank").alias(f"_r_{side}"))
 
-    ranked = pairs.join(ranks("obs"), [*keys, "obs"]).join(ranks("pred"), [*keys, "pred"])
-    # both rank sums are known in closed form: the mean rank is (n + 1) / 2
-    n = pairs.groupBy(*keys).agg(F.sum("_w").alias("_total"))
-    mid = (F.col("_total") + 1) / F.lit(2.0)
-    do, dp = F.col("_r_obs") - mid, F.col("_r_pred") - mid
-    sums = (ranked.join(n, keys) if keys else ranked.withColumn("_total", n.select("_total").scalar()))
-    w = F.col("_w")
-    agg = sums.groupBy(*keys).agg(F.sum(w * do * dp).alias("_c"), F.sum(w * do * do).alias("_o"),
-                                  F.sum(w * dp * dp).alias("_p"))
-    rho = F.when((F.col("_o") > 0) & (F.col("_p") > 0), F.col("_c") / (F.sqrt("_o") * F.sqrt("_p"))).otherwise(F.lit(0.0))
-    return agg.select(*keys, rho.alias("spearman_rho"))
+    ranked = pairs.join(rank_of("obs"), [*keys, "obs"]).join(rank_of("pred"), [*keys, "pred"])
+    w, ro, rp = F.col("_w"), F.col("_r_obs"), F.col("_r_pred")
+    sums = ranked.groupBy(*keys).agg(
+        F.sum(w).alias("_t"), F.sum(w * ro * rp).alias("_op"), F.sum(w * ro * ro).alias("_oo"), F.sum(w * rp * rp).alias("_pp"),
+        ((F.max(ro) > F.min(ro)) & (F.max(rp) > F.min(rp))).alias("_varies"))
+    # the mean rank is (n + 1) / 2 on both sides
+    square = F.col("_t") * F.pow((F.col("_t") + 1) / F.lit(2.0), F.lit(2.0))
+    rho = (F.col("_op") - square) / (F.sqrt(F.col("_oo") - square) * F.sqrt(F.col("_pp") - square))
+    return sums.select(*keys, F.when(F.col("_varies"), rho).otherwise(F.lit(0.0)).alias("spearman_rho"))
 
 
 def qq_pairs(df: DataFrame, keys: Sequence[str], observed: str, predicted: str, points: int = 50) -> DataFrame:
     """Matched percentiles 1..99 of observations and predictions (exact, linear interpolation)."""
     probs = [(1.0 + 98.0 * i / (points - 1)) / 100.0 for i in range(points)]
-    ok = df.where(finite(observed, predicted))
-    o = exact_quantiles(ok, list(keys), observed, probs, "q_obs")
-    p = exact_quantiles(ok, list(keys), predicted, probs, "q_pred")
-    return o.join(p, [*keys, "prob"])
+    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).cast("double").alias("v"))
+                                for n, c in (("obs", observed), ("pred", predicted))]))
+    stacked = df.where(finite(observed, predicted)).select(*keys, sides.alias("_s")).select(*keys, "_s.*")
+    q = exact_quantiles(stacked, [*keys, "side"], "v", probs, "q")
+    return q.groupBy(*keys, "prob").agg(*[F.max(F.when(F.col("side") == n, F.col("q"))).alias(f"q_{n}")
+                                          for n in ("obs", "pred")])
 
 
 # ---- reports ----
