@@ -13,6 +13,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,12 @@ class TreeSettings:
 
 
 def assembled(df: DataFrame, features: Sequence[str], settings: TreeSettings) -> DataFrame:
+    """Split rows with their feature vector, kept while a model reads them (callers let go of it after the fit)."""
     df = df.where(F.col("is_train") | F.col("is_val"))
     if settings.partitions:
         df = df.repartition(settings.partitions)
-    return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="error").transform(df)
+    out = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="error").transform(df)
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def boosted_residual(df: DataFrame, features: Sequence[str], loss: str = "squared", target: str = "target_bias",
@@ -50,6 +53,7 @@ def boosted_residual(df: DataFrame, features: Sequence[str], loss: str = "square
                            maxBins=settings.bins, seed=settings.seed, subsamplingRate=settings.subsample,
                            checkpointInterval=10, **stop)
     fitted = learner.fit(rows if stop else rows.where("is_train"))
+    rows.unpersist()
     return fitted, fitted.transform(rows.where("is_val")).drop("_x", "_y")
 
 
@@ -57,26 +61,26 @@ def hurdle(df: DataFrame, features: Sequence[str], threshold: float = 0.1, obser
            raw: str = "nwp_rain_raw", settings: TreeSettings = TreeSettings(rounds=80)):
     """P(wet) times the amount expected when wet, minus the raw forecast.
 
-    The amount model learns from wet rows only, or from all rows when fewer than two are wet (one bounded look). A
-    training set with a single class has a constant probability.
+    The amount model learns from wet rows only, or from all rows when fewer than two are wet (two counts decide). A training
+    set with a single class has a constant probability.
     """
     ensure_checkpoint_dir(df.sparkSession)
     rows = assembled(df.withColumns({"_wet": wet(observed, threshold).cast("double"),
                                      "_amount": F.col(observed).cast("double")}), features, settings)
     train, val = rows.where("is_train"), rows.where("is_val")
-    classes = {r[0] for r in train.select("_wet").distinct().collect()}
-    wet_rows = train.where("_wet = 1.0")
-    amounts = wet_rows if wet_rows.limit(2).count() == 2 else train
+    seen = train.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("_wet") == 1.0).alias("wet")).first()
+    amounts = train.where("_wet = 1.0") if seen["wet"] >= 2 else train
     shared = dict(featuresCol="_x", maxIter=settings.rounds, maxDepth=settings.depth, maxBins=settings.bins,
                   seed=settings.seed, subsamplingRate=settings.subsample, checkpointInterval=10)
     amount = GBTRegressor(labelCol="_amount", predictionCol="_amount_hat", stepSize=settings.step, **shared).fit(amounts)
     scored = amount.transform(val)
-    if len(classes) > 1:
+    if 0 < seen["wet"] < seen["all"]:
         occurrence = GBTClassifier(labelCol="_wet", predictionCol="_class", stepSize=0.08, **shared).fit(train)
         scored = occurrence.transform(scored).withColumn("_p", vector_to_array("probability").getItem(1))
     else:
         occurrence = None
-        scored = scored.withColumn("_p", F.lit(float(next(iter(classes), 0.0))))
+        scored = scored.withColumn("_p", F.lit(1.0 if seen["wet"] else 0.0))
+    rows.unpersist()
     expected = F.col("_p") * F.greatest(F.lit(float(threshold)), F.col("_amount_hat"))
     out = scored.withColumn("predicted_bias", expected - F.coalesce(F.col(raw).cast("double"), F.lit(0.0)))
     return (occurrence, amount), out.drop("_x", "_wet", "_amount", "_amount_hat", "probability", "rawPrediction", "_class", "_p")

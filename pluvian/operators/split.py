@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvian.functions.skew import rows_below
 from pluvian.operators.guards import assert_not_frozen, time_column
+from pluvian.session import stored
 
 
 def order_number(df: DataFrame, name: str) -> Column:
@@ -21,6 +22,17 @@ def order_number(df: DataFrame, name: str) -> Column:
     return F.xxhash64(name) if kind in ("string", "binary") else F.col(name)
 
 
+SMALL_HISTOGRAM = 200_000
+
+
+def running_count(hist: DataFrame, order: str) -> DataFrame:
+    """Rows before each value: one ordered window while the counted histogram is small, bucketed beyond that."""
+    if hist.count() > SMALL_HISTOGRAM:
+        return rows_below(hist, [], order, "_n", "_before")
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return hist.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+
 def chronological_split(df: DataFrame, time: str, key: Sequence[str], share: float = 0.7) -> DataFrame:
     """Adds `is_train`: the first floor(share * n) rows by (time, key).
 
@@ -34,7 +46,7 @@ def chronological_split(df: DataFrame, time: str, key: Sequence[str], share: flo
     part = rows
     for i in range(len(key) + 1):
         hist = part.groupBy(f"_o{i}").agg(F.count(F.lit(1)).alias("_n"))
-        last = (rows_below(hist, [], f"_o{i}", "_n", "_before").where(F.col("_before") < budget)
+        last = (running_count(stored(hist), f"_o{i}").where(F.col("_before") < budget)
                 .agg(F.max(F.struct(f"_o{i}", "_before", "_n")).alias("c")).first())["c"]
         if last is None:
             return df.withColumn("is_train", F.lit(False))

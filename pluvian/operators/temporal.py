@@ -22,6 +22,11 @@ def bucket_of(ts: Column | str, width: int) -> Column:
     return F.floor(epoch_seconds(ts) / F.lit(width)).cast("bigint")
 
 
+def latest(tiebreak: Sequence[str]) -> Column:
+    """Order of observations. A bare time keeps the aggregate fixed-width (hash table); ties need a struct."""
+    return F.struct("_t", *tiebreak) if tiebreak else F.col("_t")
+
+
 def asof_lookback(requests: DataFrame, observations: DataFrame, on: Sequence[str] = (), request_time: str = "run_time",
                   time: str = "observed_at", lookback_hours: int = 3, value: str = "value",
                   series: Sequence[str] = ("station_code", "variable_type"), tiebreak: Sequence[str] = (),
@@ -43,8 +48,7 @@ def asof_lookback(requests: DataFrame, observations: DataFrame, on: Sequence[str
     hit = asks.join(obs, [*on, "_b"]).where(
         (F.col("_t") <= F.col(request_time)) & (F.col("_t") >= shift(request_time, hours=-lookback_hours)))
     keys = list(dict.fromkeys([*on, request_time, *series]))
-    return (hit.groupBy(*keys).agg(F.max_by(F.struct("_v", "_t"), F.struct("_t", *tiebreak)).alias("_m"))
-            .select(*keys, F.col("_m._v").alias(value), F.col("_m._t").alias(time)))
+    return hit.groupBy(*keys).agg(F.max_by("_v", latest(tiebreak)).alias(value), F.max("_t").alias(time))
 
 
 def observations_at_runs(runs: DataFrame, telemetry: DataFrame, lookback_hours: int = 3,
@@ -85,7 +89,7 @@ def interval_labels(requests: DataFrame, observations: DataFrame, station: str =
     obs = observations.select(station, *[c for c in tiebreak if c != station], F.col(time).alias("_t"),
                               F.col(value).alias("_v"), bucket_of(time, width).alias("_b"))
     hit = asks.join(obs, [station, "_b"]).where((F.col("_t") > lo) & (F.col("_t") <= hi))
-    last = F.max_by("_v", F.struct("_t", *tiebreak))
+    last = F.max_by("_v", latest(tiebreak))
     # a sum over missing values only is 0, as a plain skip-missing sum gives
     total = F.coalesce(F.sum("_v"), F.lit(0.0))
     return (hit.groupBy(station, valid, step).agg(last.alias("_last"), total.alias("_total"), F.count(F.lit(1)).alias("n_obs"))

@@ -33,6 +33,11 @@ def features(spark, stations):
     return GR.ground_features(grid.select(F.lit(1).alias("run_time"), "grid_id"), pairs, obs).first()
 
 
+def fit(df, value, with_height):
+    sums = df.agg(*GR.gradient_sums(value, with_height))
+    return GR.central_moments(sums, value, with_height).select(GR.gradient_magnitude(value, with_height).alias("g")).first()["g"]
+
+
 def test_projection_round_trip(spark):
     df = spark.createDataFrame([(LAT0, LON0), (5.6, 97.4), (20.4, 105.6), (18.78, 98.98)], "lat double, lon double")
     x, y = geo.utm_forward("lat", "lon")
@@ -71,16 +76,16 @@ def test_gradient_against_least_squares_with_heights(spark):
         dx, dy, z = rng.uniform(-40, 40, n), rng.uniform(-40, 40, n), rng.uniform(0, 900, n)
         v = 1010 + 0.03 * dx - 0.05 * dy - 0.1 * z + rng.normal(0, .2, n)
         pdf = pd.DataFrame({"dx": dx, "dy": dy, "elevation_m": z, "pressure": v})
-        got = spark.createDataFrame(pdf).agg(*GR.gradient_sums("pressure", True)).select(GR.gradient_magnitude("pressure", True).alias("g")).first()["g"]
+        got = fit(spark.createDataFrame(pdf), "pressure", True)
         c, *_ = np.linalg.lstsq(np.column_stack([dx, dy, z / 1000, np.ones(n)]), v, rcond=None)
         assert got == pytest.approx(min(50.0, math.hypot(c[0], c[1]) * 100), rel=1e-6)
 
 
 def test_collinear_and_few_stations(spark):
     line = pd.DataFrame({"dx": [0., 3., 6.], "dy": [0., 4., 8.], "v": [0., 1., 2.], "elevation_m": 0.0})
-    got = spark.createDataFrame(line).agg(*GR.gradient_sums("v", False)).select(GR.gradient_magnitude("v", False).alias("g")).first()["g"]
+    got = fit(spark.createDataFrame(line), "v", False)
     assert got == pytest.approx(20.0)
-    got = spark.createDataFrame(line.head(2)).agg(*GR.gradient_sums("v", False)).select(GR.gradient_magnitude("v", False).alias("g")).first()["g"]
+    got = fit(spark.createDataFrame(line.head(2)), "v", False)
     assert got == 0.0
 
 
