@@ -202,3 +202,23 @@ def station_flags(catalogs: DataFrame) -> DataFrame:
         has("hourly_rain").alias("has_rain"), has("pressure").alias("has_pressure"),
         has("humidity").alias("has_humidity")).where("has_rain")
     return flags.withColumn("has_all_three", F.col("has_rain") & F.col("has_pressure") & F.col("has_humidity"))
+
+
+def fill_short_gaps(classified: DataFrame, max_gap_hours: int = 3,
+                    keys: Sequence[str] = ("station_code", "variable_type")) -> DataFrame:
+    """Valid hours plus linearly filled hours of gaps up to `max_gap_hours`, the latter flagged INTERPOLATED (P2).
+
+    Only the gaps between neighbouring valid hours are opened up; longer gaps stay empty.
+    """
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy("observed_at")
+    valid = classified.where("is_valid").select(*keys, "observed_at", F.col("value").cast("double").alias("value"))
+    pairs = valid.withColumns({"_next": F.lead("observed_at").over(w), "_to": F.lead("value").over(w)})
+    gap = F.timestamp_diff("HOUR", F.col("observed_at"), F.col("_next")) - 1
+    opened = (pairs.withColumn("_gap", gap.cast("int")).where(F.col("_gap").between(1, max_gap_hours))
+              .withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_gap")))))
+    filled = opened.select(
+        *keys, (F.col("observed_at") + F.make_dt_interval(F.lit(0), F.col("_k"))).alias("observed_at"),
+        (F.col("value") + (F.col("_to") - F.col("value")) * F.col("_k") / (F.col("_gap") + 1)).alias("value"),
+        F.lit("INTERPOLATED").alias("quality_flag"))
+    return valid.withColumn("quality_flag", F.lit("VALID")).unionByName(filled)

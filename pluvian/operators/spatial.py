@@ -222,3 +222,34 @@ def inverse_distance(targets: DataFrame, sites: DataFrame, target_id: str, site_
     def mean(v: str) -> Column:
         return (F.sum(w * F.col(v)) / F.sum(F.when(F.col(v).isNotNull(), w))).alias(v)
     return pairs.groupBy(target_id).agg(*[mean(v) for v in values], F.count(F.lit(1)).alias("n_sites"))
+
+
+def grid_to_gauge_nearest(predictions: DataFrame, gauges: DataFrame, value: str, time: str = "valid_time",
+                          cell: str = "grid_id", gauge: str = "station_code") -> DataFrame:
+    """Prediction of the nearest cell at each gauge and valid time (P5). The cell is found once per gauge."""
+    layout = first_row(predictions.select(cell, "lat", "lon"), [cell], [F.col("lat"), F.col("lon")])
+    near = nearest_site(gauges.select(gauge, "lat", "lon"), layout, gauge, cell).select(gauge, cell)
+    return predictions.select(cell, time, value).join(near, cell).select(gauge, time, cell, value)
+
+
+def grid_to_gauge_bilinear(predictions: DataFrame, gauges: DataFrame, value: str, step: float, time: str = "valid_time",
+                           gauge: str = "station_code") -> DataFrame:
+    """Bilinear prediction at each gauge from the four corners of a regular degree lattice (P5).
+
+    Corners are integer lattice keys, so this is an equi join; missing corners drop out of the weights.
+    """
+    s = F.lit(float(step))
+
+    def index(c: str) -> Column:
+        return F.rint(F.col(c) / s).cast("bigint")
+
+    i, j = F.floor(F.col("lat") / s).cast("bigint"), F.floor(F.col("lon") / s).cast("bigint")
+    fy, fx = F.col("lat") / s - i, F.col("lon") / s - j
+    corners = F.explode(F.array(*[F.struct((i + a).alias("_i"), (j + b).alias("_j"),
+                                           ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("_w"))
+                                  for a in (0, 1) for b in (0, 1)]))
+    wanted = gauges.select(gauge, corners.alias("_c")).select(gauge, "_c.*").where(F.col("_w") > 1e-9)
+    lattice = predictions.where(F.col(value).isNotNull()).select(time, F.col(value).cast("double").alias("_v"),
+                                                                 index("lat").alias("_i"), index("lon").alias("_j"))
+    return lattice.join(wanted, ["_i", "_j"]).groupBy(gauge, time).agg(
+        (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias(value), F.count(F.lit(1)).alias("n_corners"))

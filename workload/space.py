@@ -118,12 +118,12 @@ FEATS = f"""{PAIRS}, {OBS}, pj AS MATERIALIZED (SELECT p.*, ob.run_time, rain, p
  rq AS (SELECT DISTINCT cell_id, run_time FROM v_grid, ob)"""
 
 
-def features(spark, sf_dir):
+def features(spark, sf_dir, extra_rings=False):
     obs = observations(spark, sf_dir)
     pairs = GR.station_pairs(grid(spark, sf_dir), view(spark, sf_dir, "v_station"))
     runs = F.explode(F.array(*[F.expr(f"timestamp_ntz'2024-01-01 {h}:00:00'") for h in ("00", "12")]))
     requests = grid(spark, sf_dir).select("grid_id", runs.alias("run_time"))
-    return GR.ground_features(requests, pairs, obs)
+    return GR.ground_features(requests, pairs, obs, extra_rings=extra_rings)
 
 
 def near_sql(v: str) -> str:
@@ -302,3 +302,36 @@ def inverse_distance(spark, sf_dir):
     targets = SP.project_km(grid(spark, sf_dir), "lat", "lon")
     sites = SP.project_km(view(spark, sf_dir, "v_station"), "latitude", "longitude")
     return SP.inverse_distance(targets, sites, "grid_id", "station_code", ["elevation_m"])
+
+
+# ---- P5 ----
+CELLS = f"""{PIX}, {oracle_view('v_station')}, cl AS (SELECT timestamp, i, j, 5.5+0.5*i AS clat, 97.0+0.5*j AS clon, round(m, 2) AS v FROM full_ LEFT JOIN agg USING (timestamp, i, j))"""
+
+
+def cells_and_gauges(spark, sf_dir):
+    pixels = view(spark, sf_dir, "v_pixels").withColumn("timestamp", S.floor_to("scan_time", 86400))
+    gauges = view(spark, sf_dir, "v_station").select("station_code", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    return RS.satellite_cells(pixels), gauges
+
+
+@REG.add("gauge_bilinear", f"""{CELLS}, w AS (SELECT station_code, timestamp, v, (1 - abs(latitude - clat)/0.5)*(1 - abs(longitude - clon)/0.5) AS w FROM v_station, cl
+  WHERE v IS NOT NULL AND abs(latitude - clat) < 0.5 - 1e-9 AND abs(longitude - clon) < 0.5 - 1e-9)
+SELECT station_code, timestamp, {r('sum(w*v)/sum(w)', 'bt_mean')}, count(*) AS n_corners FROM w GROUP BY ALL""")
+def gauge_bilinear(spark, sf_dir):
+    cells, gauges = cells_and_gauges(spark, sf_dir)
+    return SP.grid_to_gauge_bilinear(cells, gauges, "bt_mean", 0.5, "timestamp")
+
+
+@REG.add("gauge_nearest", f"""{CELLS}, d AS (SELECT station_code, timestamp, v, 'G_' || CAST(round_even(clat*50, 0) AS BIGINT) || '_' || CAST(round_even(clon*50, 0) AS BIGINT) AS gid, power(latitude-clat, 2)+power(longitude-clon, 2) AS d FROM v_station, cl)
+SELECT station_code, timestamp, arg_min(gid, struct_pack(a := d, b := gid)) AS grid_id FROM d GROUP BY ALL""")
+def gauge_nearest(spark, sf_dir):
+    cells, gauges = cells_and_gauges(spark, sf_dir)
+    return SP.grid_to_gauge_nearest(cells, gauges, "bt_mean", "timestamp").select("station_code", "timestamp", "grid_id")
+
+
+# ---- P3 ----
+@REG.add("middle_ring", f"""{FEATS}, {RINGS}, m AS (SELECT run_time, cell_id, avg(pressure) FILTER (dist > 10.0 AND dist <= 20.0) AS p3, avg(humidity) FILTER (dist > 10.0 AND dist <= 20.0) AS h3 FROM pj GROUP BY run_time, cell_id)
+SELECT rq.run_time, rq.cell_id AS grid_id, {r('coalesce(p3, n_pressure.x)', 'pressure_mean_10_20km')}, {r('coalesce(h3, n_humidity.x)', 'humidity_mean_10_20km')}
+FROM rq LEFT JOIN a USING (run_time, cell_id) LEFT JOIN m USING (run_time, cell_id)""")
+def middle_ring(spark, sf_dir):
+    return features(spark, sf_dir, True).select("run_time", "grid_id", "pressure_mean_10_20km", "humidity_mean_10_20km")

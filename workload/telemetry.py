@@ -320,3 +320,14 @@ def leakage_violations(spark, sf_dir):
 @REG.add("lookback_filter", f"{WITH_RUN} SELECT * FROM w WHERE observed_at <= run_time AND observed_at >= run_time - INTERVAL 2 HOUR")
 def lookback_filter(spark, sf_dir):
     return G.lookback_filter(with_run(spark, sf_dir), max_lookback_hours=2)
+
+
+# ---- P2 ----
+@REG.add("gap_fill", f"""{QC}, ok AS (SELECT station_code, variable_type, observed_at, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v, lead(observed_at) OVER w AS nx, lead(CAST(CAST(v AS FLOAT) AS DOUBLE)) OVER w AS nv
+  FROM cls WHERE status = 'VALID' WINDOW w AS (PARTITION BY station_code, variable_type ORDER BY observed_at)),
+ g AS (SELECT *, date_diff('hour', observed_at, nx) - 1 AS gap FROM ok),
+ e AS (SELECT *, unnest(generate_series(1, gap)) AS k FROM g WHERE gap BETWEEN 1 AND 3)
+SELECT station_code, variable_type, observed_at, round(v, 6) + 0.0 AS value, 'VALID' AS quality_flag FROM ok
+UNION ALL SELECT station_code, variable_type, observed_at + k * INTERVAL 1 HOUR, round(v + (nv - v)*k/(gap + 1), 6) + 0.0, 'INTERPOLATED' FROM e""")
+def gap_fill(spark, sf_dir):
+    return Q.fill_short_gaps(hourly(spark, sf_dir))
