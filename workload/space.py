@@ -36,11 +36,11 @@ GEO = f"""WITH {oracle_view('v_grid')}, {oracle_view('v_station')},
  s AS MATERIALIZED (SELECT *, {SX}/1000.0 AS sx, {SY}/1000.0 AS sy FROM v_station)"""
 PAIRS = f"""{GEO}, p0 AS (SELECT cell_id, station_code, elevation_m, sx-gx AS dx, sy-gy AS dy, sqrt((sx-gx)*(sx-gx)+(sy-gy)*(sy-gy)) AS dist FROM g, s),
  p AS MATERIALIZED (SELECT * FROM p0 WHERE dist BETWEEN 2.0 AND 50.0)"""
-# one reading per station, with gaps, as of two runs
+# one reading per station, with gaps, as of two runs; factors with many digits keep averages away from rounding ties
 OBS = """ob AS (SELECT station_code, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '12' HOUR * k AS run_time,
-  CASE WHEN (CAST(station_code AS INT) + k) % 7 <> 0 THEN elevation_m * 0.01e0 + k END AS rain,
-  CASE WHEN (CAST(station_code AS INT) + k) % 5 <> 0 THEN 1010.0e0 - elevation_m * 0.02e0 + k END AS pressure,
-  CASE WHEN (CAST(station_code AS INT) + k) % 3 <> 0 THEN 50.0e0 + elevation_m * 0.03e0 END AS humidity FROM v_station, (VALUES (0), (1)) AS t(k))"""
+  CASE WHEN (CAST(station_code AS INT) + k) % 7 <> 0 THEN elevation_m * 0.0100731e0 + k END AS rain,
+  CASE WHEN (CAST(station_code AS INT) + k) % 5 <> 0 THEN 1010.0e0 - elevation_m * 0.0200317e0 + k END AS pressure,
+  CASE WHEN (CAST(station_code AS INT) + k) % 3 <> 0 THEN 50.0e0 + elevation_m * 0.0300719e0 END AS humidity FROM v_station, (VALUES (0), (1)) AS t(k))"""
 
 
 def grid(spark, sf_dir):
@@ -52,9 +52,9 @@ def observations(spark, sf_dir):
     code = F.col("station_code").cast("int") + F.col("k")
     return st.select(
         "station_code", S.shift(F.expr("timestamp_ntz'2024-01-01 00:00:00'"), hours=F.col("k") * 12).alias("run_time"),
-        F.when(code % 7 != 0, F.col("elevation_m") * 0.01 + F.col("k")).alias("rain"),
-        F.when(code % 5 != 0, F.lit(1010.0) - F.col("elevation_m") * 0.02 + F.col("k")).alias("pressure"),
-        F.when(code % 3 != 0, F.lit(50.0) + F.col("elevation_m") * 0.03).alias("humidity"))
+        F.when(code % 7 != 0, F.col("elevation_m") * 0.0100731 + F.col("k")).alias("rain"),
+        F.when(code % 5 != 0, F.lit(1010.0) - F.col("elevation_m") * 0.0200317 + F.col("k")).alias("pressure"),
+        F.when(code % 3 != 0, F.lit(50.0) + F.col("elevation_m") * 0.0300719).alias("humidity"))
 
 
 # ---- G1, B10, B11, C15, C16 ----

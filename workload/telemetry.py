@@ -298,10 +298,10 @@ def rolling_cycles(spark, sf_dir):
     return T.rolling_cycles(series(spark, sf_dir))
 
 
-@REG.add("rolling_cycle_sums", f"""WITH {CYCLES} SELECT run_time, count(*) AS n, {', '.join(r(f'avg({c})', c) for c in ('tp', 'sp', 'u10', 'v10'))} FROM cyc GROUP BY run_time""")
+@REG.add("rolling_cycle_sums", f"""WITH {CYCLES} SELECT run_time, count(*) AS n, {', '.join(r(f'sum({c})', c) for c in ('tp', 'sp', 'u10', 'v10'))} FROM cyc GROUP BY run_time""")
 def rolling_cycle_sums(spark, sf_dir):
     return T.rolling_cycles(series(spark, sf_dir)).groupBy("run_time").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("tp", "sp", "u10", "v10")])
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("tp", "sp", "u10", "v10")])
 
 
 WITH_RUN = f"WITH {oracle_view('v_obs')}, w AS (SELECT event_id, observed_at, to_timestamp(floor(epoch(observed_at) / 43200) * 43200)::TIMESTAMP + INTERVAL 3 HOUR AS run_time FROM v_obs)"
