@@ -22,7 +22,6 @@ def build_session(app: str = "pluvian", cores: str | int = "*", shuffle_partitio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", memory)
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")  # longer methods are never compiled by the JVM
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site lookup per column expression
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
