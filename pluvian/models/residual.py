@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pluvian.functions import constants as K
 from pluvian.functions.scalars import sorted_quantiles, wet
-from pluvian.session import ensure_checkpoint_dir
+from pluvian.session import shared_dir
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,7 @@ def assembled(df: DataFrame, features: Sequence[str], settings: TreeSettings) ->
 def boosted_residual(df: DataFrame, features: Sequence[str], loss: str = "squared", target: str = "target_bias",
                      settings: TreeSettings = TreeSettings(), early_stop_tol: float | None = 0.01):
     """Boosted trees on the residual (`absolute` or `squared` loss), stopped early on the validation rows."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     rows = assembled(df.withColumn("_y", F.col(target).cast("double")), features, settings)
     stop = {} if early_stop_tol is None else {"validationIndicatorCol": "is_val", "validationTol": early_stop_tol}
     learner = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="predicted_bias", lossType=loss,
@@ -64,7 +64,7 @@ def hurdle(df: DataFrame, features: Sequence[str], threshold: float = 0.1, obser
     The amount model learns from wet rows only, or from all rows when fewer than two are wet (two counts decide). A training
     set with a single class has a constant probability.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     rows = assembled(df.withColumns({"_wet": wet(observed, threshold).cast("double"),
                                      "_amount": F.col(observed).cast("double")}), features, settings)
     train, val = rows.where("is_train"), rows.where("is_val")

@@ -6,6 +6,7 @@ On a cluster the session comes from the launcher and is used as it is; the setti
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,25 +24,55 @@ def build_session(app: str = "pluvian", cores: str | int = "*", shuffle_partitio
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with the results
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site lookup per column expression
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     )
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a scratch folder only where none is set (tests)."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pluvian-ckpt-"))
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for intermediate results: the one the cluster names in `spark.checkpoint.dir`.
+
+    Only a `local[...]` master, where driver and executors are one process, may fall back to a scratch folder of this
+    machine (tests); any other master without a named folder is an error.
+    """
+    context = spark.sparkContext
+    folder = context.getCheckpointDir()
+    if folder is None:
+        folder = scratch_or_named(spark.conf.get("spark.checkpoint.dir", None), context.master)
+        context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def scratch_or_named(named: str | None, master: str) -> str:
+    if named:
+        return named
+    if master.split("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir names no shared folder, which master {master} needs")
+    return tempfile.mkdtemp(prefix="pluvian-ckpt-")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the checkpoint folder and go on from there.
+    """Checkpoint an intermediate result in the shared folder and go on from there.
 
     For results that several later steps read: they are computed once, the plan stays short, and a lost executor only costs
     a re-read.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like `stored`, as a compressed Parquet table in the shared folder, so later steps read only the columns they name.
+
+    The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
