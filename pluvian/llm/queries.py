@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pluvian.llm.mixing import mix_sources
 from pluvian.llm.quality import quality_rules
 from pluvian.llm.secrets import KINDS, find_secrets, spelled
+from pluvian.llm.simhash import near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(kind))).cast("bigint")
