@@ -9,6 +9,7 @@ from pluvian.llm.mixing import mix_sources
 from pluvian.llm.quality import quality_rules
 from pluvian.llm.secrets import KINDS, find_secrets, spelled
 from pluvian.llm.simhash import near_duplicates
+from pluvian.llm.substrings import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +38,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:3]],
                         F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
