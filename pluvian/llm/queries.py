@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvian.llm.decontaminate import benchmark_overlaps
 from pluvian.llm.mixing import mix_sources
 from pluvian.llm.quality import quality_rules
 from pluvian.llm.secrets import KINDS, find_secrets, spelled
@@ -21,6 +22,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per contaminated document, with the test items it repeats."""
+    found = benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy(F.col("key").alias("doc_id")).agg(
+        F.array_sort(F.collect_set("item")).alias("item_ids"), F.count(F.lit(1)).alias("n_overlaps"),
+        F.max(F.col("end") - F.col("start")).cast("bigint").alias("longest"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
