@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvian.llm.decontaminate import benchmark_overlaps
+from pluvian.llm.html import extract_main_text
 from pluvian.llm.mixing import mix_sources
 from pluvian.llm.quality import quality_rules
 from pluvian.llm.secrets import KINDS, find_secrets, spelled
@@ -52,3 +53,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"), ["page_id", "url"]).withColumn(
+        "n_chars", F.length("text").cast("bigint"))
