@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvian.llm.chats import format_chats, read_back
 from pluvian.llm.decontaminate import benchmark_overlaps
 from pluvian.llm.html import extract_main_text
 from pluvian.llm.mixing import mix_sources
@@ -12,6 +13,7 @@ from pluvian.llm.quality import quality_rules
 from pluvian.llm.secrets import KINDS, find_secrets, spelled
 from pluvian.llm.simhash import near_duplicates
 from pluvian.llm.substrings import remove_repeats
+from pluvian.llm.urls import Rule, filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,37 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+URL_RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"),
+             Rule("allow", "org", "/fr/"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls end in the number of the document they show; its labels mark the url as bad."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract("url", r"/([0-9]{1,18})(?:/|\.html)?(?:[?#]|$)", 1)
+    shown = pages.select("url", F.when(number != "", number).cast("bigint").alias("doc_id"))
+    marks = shown.join(labels, "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return filter_urls(pages, marks, URL_RULES)
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit("</s>[INST] ok [/INST]").alias("text"))
+    read = read_back(format_chats(chats.unionByName(probe)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    one = read.select("conv_id", "example", F.size("turns").cast("bigint").alias("n_turns"),
+                      F.sha2(turns, 256).alias("turns_sha256"), "loss_text", "n_chars")
+    loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss_text"))),
+                                    lambda x: x["loss_text"]), "")
+    return one.groupBy("conv_id").agg(
+        F.max("n_turns").alias("n_turns"), F.max_by("turns_sha256", "example").alias("turns_sha256"),
+        loss.alias("loss"), F.sum("n_chars").alias("formatted_chars")).select(
+        "conv_id", "n_turns", "turns_sha256", F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
