@@ -26,6 +26,16 @@ def own_names(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{n}`"] for n in names])
 
 
+def with_row(df: DataFrame, *names: str) -> DataFrame:
+    """All columns packed into `_row`, beside the named ones: rows pass an operator whole, whatever their columns are called."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row"), *[df[f"`{n}`"] for n in dict.fromkeys(names)])
+
+
+def identity(key: Column, text_hash: Column) -> Column:
+    """64 bits that rows with the same key and text share; null keys count as equal."""
+    return F.xxhash64(key, text_hash)
+
+
 def ln_gamma(x: Column) -> Column:
     """Natural log of the gamma function for x >= 1: Stirling's series past x + 8, the product of eight factors below it."""
     z = x + F.lit(8.0)

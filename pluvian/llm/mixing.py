@@ -85,28 +85,28 @@ def thresholds(units: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
                 weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, cap: float = 3.0,
-                seed: int = 42) -> DataFrame:
-    """How often the mix takes each document: (key, size, source, source_size, target, copies, taken).
+                seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """How often the mix takes each document: (key, size, source, source_size, target, copies, taken, then `carry`).
 
     A source whose target is r times its size takes every document floor(r) times, and once more those below the hash
     threshold of the rest. Null texts have size 0, null sources form one source of their own, rows with the same key (or,
     without a key, the same text) have one hash and are taken together, and a source of size 0 takes nothing. An empty
     table gives no rows. Columns beyond the named ones are ignored.
     """
-    rows = own_names(docs, *dict.fromkeys([key, text, source]))
+    rows = own_names(docs, *dict.fromkeys([key, text, source, *carry]))
     units = written(rows.select(F.col(key).alias("key"), F.col(source).alias("source"),
                                 F.size(words(F.col(text))).cast("bigint").alias("size"),
-                                order_hash(F.col(key), F.col(text), seed).alias("h")))
+                                order_hash(F.col(key), F.col(text), seed).alias("h"), *carry))
     sizes = units.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = written(capped_targets(weighted(sizes, weights), share, cap)
                    .withColumn("full", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("bigint")))
     budgets = plan.select("source", F.col("full").alias("level"),
                           (F.col("target") - F.col("full") * F.col("source_size")).alias("budget"))
-    cut = thresholds(units, budgets).select(F.col("source").alias("_source"), "threshold")
+    cut = thresholds(units.select("source", "size", "h"), budgets).select(F.col("source").alias("_source"), "threshold")
     per = plan.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").select(
         F.col("source").alias("_source"), "source_size", "target", "full",
         F.coalesce("threshold", F.lit(-1)).alias("threshold"))
     copies = F.col("full") + (F.col("h") <= F.col("threshold")).cast("bigint")
     return (units.join(per, F.col("source").eqNullSafe(F.col("_source")))
             .select(F.col("key").alias(key), "size", "source", "source_size", "target", copies.alias("copies"),
-                    (copies * F.col("size")).alias("taken")))
+                    (copies * F.col("size")).alias("taken"), *carry))

@@ -162,17 +162,18 @@ def judged(counts: DataFrame, cutoffs: DataFrame, stratum: str, rules: tuple[Rul
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang",
-                  alpha: float = 0.02, delta: float = 0.05, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts and verdict of every document.
+                  alpha: float = 0.02, delta: float = 0.05, rules: tuple[Rule, ...] = RULES,
+                  carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and verdict of every document, with its key, stratum and the columns to `carry`.
 
     `labels` has `key` and `quality`; a document is good if any label says 1, unlabelled if its labels are all null. Null
     or empty texts have no words and fail the base rule; a null key has no label; repeated rows are judged one by one and
     each counts in the holdout; no labels at all means that only the base rule rejects. Columns beyond the named ones are
     ignored.
     """
-    counts = measured(docs, [key, stratum], text)
+    counts = measured(docs, [key, stratum, *carry], text)
     known = (own_names(labels, key, "quality").where(F.col("quality").isNotNull() & F.col(key).isNotNull())
              .groupBy(F.col(key).alias("_key")).agg((F.max("quality") == 1).alias("_good")))
-    holdout = counts.join(known, F.col(key) == F.col("_key"))
+    holdout = counts.drop(*carry).join(known, F.col(key) == F.col("_key"))
     cutoffs = written(risk_cutoffs(holdout, stratum, "_good", rules, alpha, delta))
     return judged(counts, cutoffs, stratum, rules)

@@ -10,6 +10,7 @@ from pluvian.llm.decontaminate import benchmark_overlaps
 from pluvian.llm.html import extract_main_text
 from pluvian.llm.mixing import mix_sources
 from pluvian.llm.quality import quality_rules
+from pluvian.llm.scoring import pseudo_likelihood
 from pluvian.llm.secrets import KINDS, find_secrets, spelled
 from pluvian.llm.simhash import near_duplicates
 from pluvian.llm.substrings import remove_repeats
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a network trained on all of them."""
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")

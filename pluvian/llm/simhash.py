@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvian.llm.columns import own_names
+from pluvian.llm.columns import identity, own_names, with_row
 from pluvian.llm.components import connected
 from pluvian.session import written
 
@@ -101,9 +101,11 @@ def meeting(a: np.ndarray, b: np.ndarray, radius: int, block: int = 64) -> tuple
 def links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """Links (u, v) that connect what the distinct fingerprints `fp` within `radius` bits connect, repeats possible."""
     bits = F.bit_count("fp").cast("int")
-    sizes = prints.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n"))  # at most 65 rows
-    parts = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    cut = (prints.select("fp", bits.alias("bits")).join(sizes, "bits")
+    sizes = prints.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 65 rows
+    parts = F.lit(1)
+    for b, n in sizes:
+        parts = F.when(F.col("bits") == b, F.lit(-(-n // tile))).otherwise(parts)
+    cut = (prints.select("fp", bits.alias("bits"))
            .select("fp", "bits", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part")))
     # a tile has about `tile` fingerprints, by the hash, so the list is bounded
     tiles = written(cut.groupBy("bits", "part").agg(F.collect_list("fp").alias("fps"))
@@ -126,7 +128,14 @@ def links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     return met.mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint: root names its component."""
+    nodes = written(prints.select("fp").distinct())
+    roots = connected(links(nodes, radius))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4,
                     radius: int = 4) -> DataFrame:
     """(key, fp, component_id) of every document; component_id is the smallest key reachable over links of `radius` bits.
 
@@ -135,10 +144,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     empty table gives no rows. Columns beyond the named ones are ignored.
     """
     prints = written(fingerprints(docs, key, text, shingle))
-    nodes = written(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = connected(links(nodes.select("fp"), radius))
-    member = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    member = _grouped(prints, radius).join(prints.groupBy("fp").agg(F.min("key").alias("least")), "fp")
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     group = member.join(named, "root").select("fp", "component_id")
     return prints.join(group, "fp").select(F.col("key").alias(key), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of `docs` that stay when one document of every component does: that with the smallest key.
+
+    Rows with a key go before those without; among equal keys the text's hash decides, and of rows that agree in both one
+    stays. All columns of `docs` are returned, whatever their names.
+    """
+    rows = with_row(docs, key, text).toDF("_row", "key", "text").withColumn("h1", F.xxhash64("text"))
+    rows = rows.withColumn("id", identity(F.col("key"), F.col("h1")))
+    known = rows.select(F.struct("key", "h1", "id").alias("k"), "text")
+    prints = written(fingerprints(known, "k", "text", shingle)).select("key.*", "fp")
+    order = F.struct(F.col("key").isNull(), "key", "h1")
+    first = (prints.join(_grouped(prints, radius), "fp").groupBy("root")
+             .agg(F.min_by(F.struct("id", "h1"), order).alias("k")).select("k.*"))
+    return rows.join(first, ["id", "h1"], "left_semi").dropDuplicates(["id", "h1"]).select("_row.*")
