@@ -30,19 +30,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def rolling(values: np.ndarray, length: int) -> np.ndarray:
-    """Hash of every run of `length` values, by place; equal runs have equal hashes wherever they stand."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def stretches(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of values[begin:end] for each pair; equal stretches have equal hashes wherever they stand."""
     n = len(values)
-    if n < length:
-        return np.zeros(0, dtype=np.uint64)
-    powers = np.full(n, BASE, dtype=np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    back = np.full(n - length + 1, INVERSE, dtype=np.uint64)
-    back[0] = 1
-    back = np.cumprod(back, dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * powers, dtype=np.uint64)])
-    return mixed((sums[length:] - sums[:n - length + 1]) * back)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * _powers(BASE, n), dtype=np.uint64)])
+    size = (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed((sums[end] - sums[begin]) * _powers(INVERSE, n + 1)[begin] ^ size)
+
+
+def rolling(values: np.ndarray, length: int) -> np.ndarray:
+    """Hash of every run of `length` values, by place."""
+    begin = np.arange(max(0, len(values) - length + 1))
+    return stretches(values, begin, begin + length)
 
 
 def lowest(values: np.ndarray, width: int) -> np.ndarray:

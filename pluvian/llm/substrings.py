@@ -1,11 +1,14 @@
 """Substring dedup by level-wise doubling.
 
-Windows of half the length that occur in more than one document are extended to the full length; windows whose half is
-unique cannot repeat and are dropped. At the lower level only the halves are looked at that have the smallest hash among
-all halves of some full window: equal full windows agree on that half, so none is missed, and a thirteenth of the halves is
-shuffled instead of all. The doubling goes on from `start` up to `length`; a level without candidates ends it.
+Level 1 looks at windows of half the length: only halves that occur in more than one document are extended, as windows whose
+half is unique cannot repeat. Of all halves, those are taken that have the smallest hash among the halves of some full window:
+equal windows agree on that half, so none is missed, and a thirteenth of the halves is shuffled instead of all. The windows that
+took the same half lie next to each other; together they are a stretch of up to twice the full length.
 
-Whole texts that repeat are settled first by their hash, so a large group of exact copies sends one document to the levels.
+Level 2 extends repeated halves to their stretches. A stretch that also stands in an earlier document is covered whole, and
+only the earliest document of each stretch goes on, so large groups of copies shrink to one member here.
+
+Level 3 is left with halves that stand in differing stretches, and compares their full windows one by one.
 """
 
 from __future__ import annotations
@@ -14,113 +17,107 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvian.llm.columns import own_names
-from pluvian.llm.hashing import WordHashes, groups, lowest, rolling
+from pluvian.llm.hashing import WordHashes, groups, lowest, rolling, stretches
 from pluvian.session import written
 
 CHUNK_WORDS = 1 << 17
-INT = pa.list_(pa.int32())
-LONG = pa.list_(pa.int64())
+INT, LONG = pa.list_(pa.int32()), pa.list_(pa.int64())
 
 
-def _flat(docs: list[list[bytes]], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all documents in a row, and the place of each document's end."""
-    ends = np.cumsum([len(d) for d in docs])
-    return np.array([memo[w] for d in docs for w in d], dtype=np.uint64), ends
+def _flat(docs: list[list[bytes]], memo: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all documents in a row, and each document's begin and end."""
+    sizes = np.array([len(d) for d in docs])
+    ends = np.cumsum(sizes)
+    return np.array([memo[w] for d in docs for w in d], dtype=np.uint64), ends - sizes, ends
 
 
-def _inside(ends: np.ndarray, length: int, n: int) -> np.ndarray:
-    """For each start, whether a window of `length` words stays in its document."""
-    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
-    return left >= length
+def _lists(rows: np.ndarray, docs: int, *values: np.ndarray) -> list[pa.Array]:
+    """List columns from flat values; `rows` holds the document of each value, ascending."""
+    offsets = pa.array(np.searchsorted(rows, np.arange(docs + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int32)))
+            for v in values]
 
 
-def _anchors(values: np.ndarray, ends: np.ndarray, half: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the halves; starts of the full windows; the chosen half of each."""
-    grams = rolling(values, half)
-    chosen = lowest(grams, length - half + 1)
-    starts = np.flatnonzero(_inside(ends, length, len(values)))
-    return grams, starts, chosen[starts] if len(starts) else starts
+def _packed(docs: DataFrame) -> DataFrame:
+    """(key, h1, body): texts compressed, as they pass a shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            body = [pack.compress((t.as_py() or "").encode()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(body, pa.binary())], ["key", "h1", "body"])
+    kind = docs.schema["key"].dataType.simpleString()
+    return docs.mapInArrow(run, f"key {kind}, h1 bigint, body binary")
 
 
-def _lists(rows: np.ndarray, docs: int, values: list[tuple[np.ndarray, pa.DataType]]) -> list[pa.Array]:
-    """List columns from flat values; `rows` holds the document of each value, ascending."""
-    offsets = pa.array(np.searchsorted(rows, np.arange(docs + 1)).astype(np.int32))
-    return [pa.ListArray.from_arrays(offsets, pa.array(v.view(np.int64) if v.dtype == np.uint64 else v, kind.value_type))
-            for v, kind in values]
+def _unpacked(column: pa.Array) -> Iterator[list[bytes]]:
+    unpack = zstandard.ZstdDecompressor()
+    return (unpack.decompress(t.as_py()).split() for t in column)
 
 
 def _halves(docs: DataFrame, half: int, length: int) -> DataFrame:
-    """(key, h1, h2, pos, gram): the chosen halves of every document, one row per document."""
+    """One row per document with lists: starts of the `first` and `last` window that took a half, its hash `gram`, and the
+    hash of the `stretch` from the first window's start to the last one's end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for b in batches:
-            texts = ((i, (t.as_py() or "").encode().split()) for i, t in enumerate(b.column(3)))
-            for part in groups(texts, lambda x: len(x[1]), CHUNK_WORDS):
-                values, ends = _flat([d for _, d in part], memo)
-                grams, _, chosen = _anchors(values, ends, half, length)
-                place = np.unique(chosen)
-                row = np.searchsorted(ends, place, side="right")
-                starts = ends - np.array([len(d) for _, d in part])
-                pos = (place - starts[row]).astype(np.int32) if len(place) else place.astype(np.int32)
-                cols = _lists(row, len(part), [(pos, INT), (grams[place] if len(place) else place.astype(np.uint64), LONG)])
+            rows = ((i, (t.as_py() or "").encode().split()) for i, t in enumerate(b.column(2)))
+            for part in groups(rows, lambda x: len(x[1]), CHUNK_WORDS):
+                values, begins, ends = _flat([d for _, d in part], memo)
+                grams = rolling(values, half)
+                chosen = lowest(grams, length - half + 1)
+                row = np.searchsorted(ends, np.arange(len(chosen)), side="right")
+                starts = np.flatnonzero(ends[row] - np.arange(len(chosen)) >= length)
+                took = chosen[starts]
+                new = np.diff(took, prepend=-1) > 0  # places of halves ascend with the windows
+                first = starts[new]
+                last = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)] if len(starts) else starts
+                at = row[first]
+                cols = _lists(at, len(part), first - begins[at], last - begins[at], grams[took[new]],
+                              stretches(values, first, last + length))
                 keep = b.slice(part[0][0], len(part))
-                yield pa.RecordBatch.from_arrays([*(keep.column(k) for k in range(3)), *cols],
-                                                 ["key", "h1", "h2", "pos", "gram"])
+                yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1), *cols],
+                                                 ["key", "h1", "first", "last", "gram", "stretch"])
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, h1 bigint, h2 bigint, pos array<int>, gram array<bigint>")
+    return docs.mapInArrow(run, f"key {kind}, h1 bigint, first array<int>, last array<int>, gram array<bigint>, "
+                                "stretch array<bigint>")
 
 
-def _windows(docs: DataFrame, half: int, length: int) -> DataFrame:
-    """(key, h1, start, gram, hash): the full windows whose chosen half is among `pos`; one row per document."""
+def _windows(docs: DataFrame, length: int) -> DataFrame:
+    """One row per document with lists of `start`, `gram` and `hash` of every window from `first` to `last` of `open`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for b in batches:
-            rows = ((i, (t.as_py() or "").encode().split()) for i, t in enumerate(b.column(2)))
-            for part in groups(rows, lambda x: len(x[1]), CHUNK_WORDS):
-                values, ends = _flat([d for _, d in part], memo)
-                begins = ends - np.array([len(d) for _, d in part])
-                grams, starts, chosen = _anchors(values, ends, half, length)
-                wanted = np.zeros(len(values) + 1, dtype=bool)
-                for k, (i, d) in enumerate(part):
-                    pos = b.column(3)[i].values.to_numpy()
-                    wanted[begins[k] + pos[pos < len(d)]] = True
-                take = wanted[chosen]
-                starts, chosen = starts[take], chosen[take]
-                row = np.searchsorted(ends, starts, side="right")
-                full = rolling(values, length)
-                empty = np.zeros(0, dtype=np.uint64)
-                cols = _lists(row, len(part), [
-                    ((starts - begins[row]).astype(np.int32), INT),
-                    (grams[chosen] if len(chosen) else empty, LONG), (full[starts] if len(starts) else empty, LONG)])
-                keep = b.slice(part[0][0], len(part))
-                yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1), *cols],
+            for i, ws in enumerate(_unpacked(b.column(2))):
+                full = rolling(np.array([memo[w] for w in ws], dtype=np.uint64), length)
+                first, last, gram = (b.column(3)[i].values.field(c).to_numpy() for c in range(3))
+                size = last - first + 1
+                start = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                cols = _lists(np.zeros(len(start), dtype=int), 1, start, np.repeat(gram, size).view(np.uint64), full[start])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *cols],
                                                  ["key", "h1", "start", "gram", "hash"])
     kind = docs.schema["key"].dataType.simpleString()
     return docs.mapInArrow(run, f"key {kind}, h1 bigint, start array<int>, gram array<bigint>, hash array<bigint>")
 
 
 def _stripped(docs: DataFrame, length: int) -> DataFrame:
-    """Texts without the words that the windows at `start` cover; `whole` removes all if there is a window at all."""
+    """Texts without the words that the windows from `first` to `last` of `gone` cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            for t, starts, whole in zip(b.column(1), b.column(2), b.column(3)):
-                ws = (t.as_py() or "").encode().split()
-                gone = np.zeros(len(ws) + 1, dtype=np.int64)
-                if whole.as_py() and len(ws) >= length:
-                    gone[0] += 1
-                elif starts.is_valid:
-                    at = starts.values.to_numpy()
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + length, -1)
-                stays = np.cumsum(gone[:-1]) == 0
+            for ws, gone in zip(_unpacked(b.column(1)), b.column(2)):
                 n_words.append(len(ws))
-                n_removed.append(int(len(ws) - stays.sum()))
-                kept.append(b" ".join(ws if not n_removed[-1] else [ws[i] for i in np.flatnonzero(stays)]).decode())
+                if gone.is_valid:
+                    edges = np.zeros(len(ws) + 1, dtype=np.int64)
+                    np.add.at(edges, gone.values.field(0).to_numpy(), 1)
+                    np.add.at(edges, gone.values.field(1).to_numpy() + length, -1)
+                    ws = [ws[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0)]
+                n_removed.append(n_words[-1] - len(ws))
+                kept.append(b" ".join(ws).decode())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
                 ["key", "n_words", "n_removed", "text"])
@@ -128,6 +125,11 @@ def _stripped(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, f"key {kind}, n_words bigint, n_removed bigint, text string")
 
 
+def _exploded(lists: DataFrame, *names: str) -> DataFrame:
+    return (lists.where(F.col("key").isNotNull()).select("key", "h1", F.explode(F.arrays_zip(*names)).alias("z"))
+            .select("key", "h1", *[F.col(f"z.{n}").alias(n) for n in names]))
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
     """(key, n_words, n_removed, text): every document without the words that a repeated window covers.
 
@@ -136,32 +138,24 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     shorter than a window stay, rows without a key stay whole and are no one's origin, rows with the same key do not
     remove from each other, and an empty table gives no rows. Columns beyond the named ones are ignored.
     """
-    half = length // 2
-    rows = own_names(docs, key, text).toDF("key", "text").withColumns({
-        "h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))})
-    halves = written(_halves(rows.select("key", "h1", "h2", "text"), half, length))
-    named = halves.where(F.col("key").isNotNull())
-    origin = named.groupBy("h1", "h2").agg(F.min("key").alias("origin"))
-    copies = named.select("key", "h1", "h2").distinct().join(origin, ["h1", "h2"])
-
-    grams = (named.select("key", F.explode(F.arrays_zip("pos", "gram")).alias("z"))
-             .select("key", F.col("z.pos").alias("pos"), F.col("z.gram").alias("gram")))
-    shared = grams.groupBy("gram").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("gram")
-    first = copies.where(F.col("key") == F.col("origin")).select("key").distinct()
-    candidates = (grams.join(shared, "gram").groupBy("key").agg(F.collect_set("pos").alias("pos"))
-                  .join(first, "key", "left_semi"))
-    # the same words may stand under one key and several texts: positions are a filter only, so their union does no harm
-    windows = written(_windows(rows.join(candidates, "key").select("key", "h1", "text", "pos"), half, length))
-
-    each = (windows.select("key", "h1", F.explode(F.arrays_zip("start", "gram", "hash")).alias("z"))
-            .select("key", "h1", F.col("z.start").alias("start"), F.col("z.gram").alias("gram"), F.col("z.hash").alias("hash")))
-    earliest = (each.groupBy("gram", "hash").agg(F.min("key").alias("least"), F.max("key").alias("last"))
-                .where("least < last").drop("last"))
-    covered = (each.join(earliest, ["gram", "hash"]).where(F.col("key") > F.col("least"))
-               .groupBy("key", "h1").agg(F.collect_list("start").alias("start")))
-    whole = copies.where(F.col("key") > F.col("origin")).select(
-        "key", "h1", F.lit(None).cast("array<int>").alias("start"), F.lit(True).alias("whole"))
-    todo = covered.withColumn("whole", F.lit(False)).unionByName(whole).groupBy("key", "h1").agg(
-        F.flatten(F.collect_list("start")).alias("start"), F.max("whole").alias("whole"))
-    return (_stripped(rows.join(todo, ["key", "h1"], "left").select("key", "text", "start", "whole"), length)
+    rows = own_names(docs, key, text).toDF("key", "text").select("key", F.xxhash64("text").alias("h1"), "text")
+    halves = _exploded(written(_halves(rows, length // 2, length)), "first", "last", "gram", "stretch")
+    repeated = halves.groupBy("gram").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("gram")
+    shared = written(halves.join(repeated, "gram"))
+
+    earliest = written(shared.groupBy("gram", "stretch").agg(F.min("key").alias("least")))
+    placed = shared.join(earliest, ["gram", "stretch"])
+    covered = placed.where(F.col("key") > F.col("least")).select("key", "h1", "first", "last")
+    differing = earliest.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    open_ = (placed.where(F.col("key") == F.col("least")).join(differing, "gram", "left_semi").groupBy("key", "h1")
+             .agg(F.collect_list(F.struct("first", "last", "gram")).alias("open")))  # as many as the document has halves
+
+    met = _packed(rows).join(open_, ["key", "h1"]).select("key", "h1", "body", "open")
+    windows = _exploded(written(_windows(met, length)), "start", "gram", "hash")
+    origin = (windows.groupBy("gram", "hash").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+              .where("least < most").drop("most"))
+    single = windows.join(origin, ["gram", "hash"]).where(F.col("key") > F.col("least")).select(
+        "key", "h1", F.col("start").alias("first"), F.col("start").alias("last"))
+    gone = covered.unionByName(single).groupBy("key", "h1").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
+    return (_stripped(_packed(rows).join(gone, ["key", "h1"], "left").select("key", "body", "gone"), length)
             .withColumnRenamed("key", key))
