@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pluvian.session import written
+
 HOT_ROWS = 2_000_000
 
 
@@ -29,32 +31,22 @@ def salted_join(big: DataFrame, other: DataFrame, on: list[str], how: str = "inn
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def rows_below(hist: DataFrame, groups: list[str], order: str, count: str, out: str = "n_below",
-               sample_one_in: int = 4096, buckets: int = 256) -> DataFrame:
+def rows_below(hist: DataFrame, groups: list[str], order: str, count: str, out: str = "n_below") -> DataFrame:
     """Exact running count of smaller values inside each group, without ordering a group in one task.
 
-    `hist` holds one row per (group, value) with its multiplicity. Values are cut into at most `buckets` ordered
-    buckets per group. The cut points come from a hash-chosen subset of the values, which only decides where rows are
-    ordered and never which rows count; the hash makes them the same in every evaluation, also after a lost executor.
-    Inside a bucket a window adds up; across buckets the totals (<= `buckets` rows per group) are added and joined back.
+    `hist` holds one row per (group, value) with its multiplicity. It is dealt by ranges of (group, value), as a global sort
+    would, and stored with the number of its range, so every later step sees the same cut and the input is read once. Inside
+    a range a window adds up; across ranges the totals (one row per group and range) are added and joined back. Works for any
+    type that has an order; text is ordered as text.
     """
-    cuts = (hist.where(F.pmod(F.xxhash64(F.col(order)), F.lit(sample_one_in)) == 0)
-            .groupBy(*groups)
-            .agg(F.percentile(F.col(order).cast("double"),
-                              F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias("_cuts")))
-    tagged = (hist.join(cuts, groups, "left") if groups else hist.withColumn("_cuts", cuts.select("_cuts").scalar()))
-    bucket = F.coalesce(F.size(F.filter(F.col("_cuts"), lambda b: b <= F.col(order).cast("double"))), F.lit(0))
-    bucket = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(bucket)
-    tagged = tagged.withColumn("_bucket", bucket).drop("_cuts")
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (tagged.groupBy(*groups, "_bucket").agg(F.sum(count).alias("_n"))
+    tagged = written(hist.repartitionByRange(*groups, order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (tagged.groupBy(*groups, "_range").agg(F.sum(count).alias("_n"))
                .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
-    inside = (Window.partitionBy(*groups, "_bucket").orderBy(order)
-              .rowsBetween(Window.unboundedPreceding, -1))
+    inside = Window.partitionBy(*groups, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (tagged.withColumn("_inside", F.coalesce(F.sum(count).over(inside), F.lit(0)))
-            .join(offsets, [*groups, "_bucket"])
-            .withColumn(out, F.col("_offset") + F.col("_inside"))
-            .drop("_bucket", "_offset", "_inside"))
+            .join(offsets, [*groups, "_range"])
+            .withColumn(out, F.col("_offset") + F.col("_inside")).drop("_range", "_offset", "_inside"))
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float], out: str = "value",

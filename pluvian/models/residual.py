@@ -9,17 +9,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvian.functions import constants as K
 from pluvian.functions.scalars import sorted_quantiles, wet
-from pluvian.session import shared_dir
+from pluvian.session import written
 
 
 @dataclass(frozen=True)
@@ -34,18 +33,21 @@ class TreeSettings:
 
 
 def assembled(df: DataFrame, features: Sequence[str], settings: TreeSettings) -> DataFrame:
-    """Split rows with their feature vector, kept while a model reads them (callers let go of it after the fit)."""
+    """Split rows with their feature vector, written once; fits and scores all read the table."""
     df = df.where(F.col("is_train") | F.col("is_val"))
     if settings.partitions:
         df = df.repartition(settings.partitions)
     out = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="error").transform(df)
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
+    return written(out)
 
 
 def boosted_residual(df: DataFrame, features: Sequence[str], loss: str = "squared", target: str = "target_bias",
-                     settings: TreeSettings = TreeSettings(), early_stop_tol: float | None = 0.01):
-    """Boosted trees on the residual (`absolute` or `squared` loss), stopped early on the validation rows."""
-    shared_dir(df.sparkSession)
+                     settings: TreeSettings = TreeSettings(), early_stop_tol: float | None = 1e-6):
+    """Boosted trees on the residual (`absolute` or `squared` loss), stopped early on the validation rows.
+
+    A round counts as no gain only if the validation error falls by less than a share `early_stop_tol`; a step of a few
+    percent gains little per round, so the tolerance is near zero.
+    """
     rows = assembled(df.withColumn("_y", F.col(target).cast("double")), features, settings)
     stop = {} if early_stop_tol is None else {"validationIndicatorCol": "is_val", "validationTol": early_stop_tol}
     learner = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="predicted_bias", lossType=loss,
@@ -53,7 +55,6 @@ def boosted_residual(df: DataFrame, features: Sequence[str], loss: str = "square
                            maxBins=settings.bins, seed=settings.seed, subsamplingRate=settings.subsample,
                            checkpointInterval=10, **stop)
     fitted = learner.fit(rows if stop else rows.where("is_train"))
-    rows.unpersist()
     return fitted, fitted.transform(rows.where("is_val")).drop("_x", "_y")
 
 
@@ -64,7 +65,6 @@ def hurdle(df: DataFrame, features: Sequence[str], threshold: float = 0.1, obser
     The amount model learns from wet rows only, or from all rows when fewer than two are wet (two counts decide). A training
     set with a single class has a constant probability.
     """
-    shared_dir(df.sparkSession)
     rows = assembled(df.withColumns({"_wet": wet(observed, threshold).cast("double"),
                                      "_amount": F.col(observed).cast("double")}), features, settings)
     train, val = rows.where("is_train"), rows.where("is_val")
@@ -80,7 +80,6 @@ def hurdle(df: DataFrame, features: Sequence[str], threshold: float = 0.1, obser
     else:
         occurrence = None
         scored = scored.withColumn("_p", F.lit(1.0 if seen["wet"] else 0.0))
-    rows.unpersist()
     expected = F.col("_p") * F.greatest(F.lit(float(threshold)), F.col("_amount_hat"))
     out = scored.withColumn("predicted_bias", expected - F.coalesce(F.col(raw).cast("double"), F.lit(0.0)))
     return (occurrence, amount), out.drop("_x", "_wet", "_amount", "_amount_hat", "probability", "rawPrediction", "_class", "_p")
@@ -119,3 +118,24 @@ def quantile_forest(df: DataFrame, features: Sequence[str], target: str = "targe
     ordered = scored.select(*df.columns, *sorted_quantiles(tags))
     median = tags[list(quantiles).index(0.5)] if 0.5 in quantiles else tags[0]
     return forest, ordered.withColumn("predicted_bias", F.col(median))
+
+
+def place(folder: str, weather_model: str, model: str, ablation: str) -> str:
+    """Folder of one fitted model."""
+    return f"{folder}/weather_model={weather_model}/model={model}/ablation={ablation}"
+
+
+def save(fitted, folder: str) -> None:
+    """Write a fitted model, or the stages of one, replacing what was there."""
+    stages = fitted if isinstance(fitted, tuple) else (fitted,)
+    for i, stage in enumerate(stages):
+        if stage is not None:
+            stage.write().overwrite().save(f"{folder}/{i}-{type(stage).__name__}")
+
+
+def load(spark: SparkSession, folder: str) -> tuple:
+    """The stages of a saved model, in order."""
+    kinds = {k.__name__: k for k in (GBTRegressionModel, GBTClassificationModel, RandomForestRegressionModel)}
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = sorted(f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+    return tuple(kinds[n.split("-", 1)[1]].load(f"{folder}/{n}") for n in names)

@@ -34,22 +34,6 @@ def standard_columns(df: DataFrame) -> DataFrame:
     return out
 
 
-def verification_columns(df: DataFrame) -> DataFrame:
-    """Defaults of a verification table: hold-out flag, basin, raw and observed rain."""
-    out = df
-    if "is_holdout" not in out.columns:
-        out = out.withColumn("is_holdout", F.lit(False))
-    if "basin_id" not in out.columns:
-        out = out.withColumn("basin_id", F.lit(1))
-    if "basin_name" not in out.columns:
-        out = out.withColumn("basin_name", F.lit("General"))
-    if "nwp_raw_rain" not in out.columns:
-        out = out.withColumn("nwp_raw_rain", first_present(out, ("nwp_rain_raw",), F.lit(0.0)))
-    if "corrected_rain" not in out.columns and "predicted_bias" in out.columns:
-        out = out.withColumn("corrected_rain", corrected_rain("nwp_raw_rain", "predicted_bias"))
-    return out
-
-
 def observed_or_fallback(df: DataFrame) -> Column:
     """Observed rain, else raw + residual, else raw - by what the table has."""
     if "observed_rain" in df.columns:
@@ -77,19 +61,15 @@ def with_target(df: DataFrame, observed: str = "observed_rain", raw: str = "nwp_
     return df.withColumn("target_bias", target_bias(observed, raw))
 
 
-def of_weather_model(df: DataFrame, name: str, strict: bool = True) -> DataFrame:
-    """Rows of one weather model under any of its names.
-
-    With `strict=False` a table without a single such row is kept whole (a check that reads at most one row).
-    """
+def of_weather_model(df: DataFrame, name: str) -> DataFrame:
+    """Rows of one weather model under any of its names; none if the table has none."""
     column = next((c for c in ("weather_model", "origin") if c in df.columns), None)
     if column is None:
         return df
     wanted = name.strip().lower()
     canonical = K.VERIFICATION_ALIASES.get(wanted, wanted)
     accepted = sorted({wanted, canonical, *(a for a, c in K.VERIFICATION_ALIASES.items() if c == canonical)})
-    mine = df.where(F.lower(F.col(column).cast("string")).isin(accepted))
-    return df if not strict and mine.limit(1).isEmpty() else mine
+    return df.where(F.lower(F.col(column).cast("string")).isin(accepted))
 
 
 def ablation_features(df: DataFrame, ablation: str) -> list[str]:

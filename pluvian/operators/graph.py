@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvian.operators.spatial import within_radius
+from pluvian.session import written
 
 RADIUS_KM, DECAY_KM = 50.0, 25.0
 KM_PER_DEG_LAT, KM_PER_DEG_LON = 111.0, 105.0
@@ -58,24 +59,22 @@ def smooth(rows: DataFrame, time: str, features: Sequence[str], lat: str = "lat"
     keyed = rows.withColumns({"_t": F.col(time), "_place": place,
                               **{f"{f}{suffix}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features}})
     cols = [f"{f}{suffix}" for f in features]
-    weights = neighbour_weights(rows, lat, lon)
-    nodes = keyed.groupBy("_t", "_place").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in cols])
+    weights = written(neighbour_weights(rows, lat, lon))
+    nodes = written(keyed.groupBy("_t", "_place").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in cols]))
     size = nodes.groupBy("_t").agg(F.sum("_n").alias("_size"))
-
-    gathered = None
-    state = nodes
-    for hop in range(hops):
-        sent = state.withColumnRenamed("_place", "src").join(weights, "src")
+    # weights between places that have rows in the same snapshot; sums are folded before they travel on
+    state = nodes.withColumns({f"{c}_g": F.lit(0.0) for c in cols})
+    for _ in range(hops):
+        sent = state.select("_t", F.col("_place").alias("src"), "_n", *cols).join(weights, "src")
         w = F.col("weight")
         folded = sent.groupBy("_t", F.col("dst").alias("_place")).agg(
-            F.sum(w * F.col("_n")).alias("_row"), *[F.sum(w * F.col(c)).alias(c) for c in cols])
-        means = folded.join(size, "_t").select("_t", "_place", *[
-            F.when(F.col("_size") == 1, F.col(c)).otherwise(F.col(c) / (F.col("_row") + F.lit(ROW_EPSILON)))
-            .alias(f"{c}_m{hop}") for c in cols])
-        # a place without rows in this snapshot gathers too, but nobody there reads it
-        state = state.join(means, ["_t", "_place"], "left").select(
-            "_t", "_place", "_n", *[(F.col(c) + F.col("_n") * F.col(f"{c}_m{hop}")).alias(c) for c in cols])
-        gathered = means if gathered is None else gathered.join(means, ["_t", "_place"])
+            F.sum(w * F.col("_n")).alias("_row"), *[F.sum(w * F.col(c)).alias(f"{c}_s") for c in cols])
+        met = state.join(folded, ["_t", "_place"]).join(size, "_t")
+
+        def mean(c: str):
+            return F.when(F.col("_size") == 1, F.col(f"{c}_s")).otherwise(F.col(f"{c}_s") / (F.col("_row") + F.lit(ROW_EPSILON)))
+        state = written(met.select("_t", "_place", "_n", *[(F.col(c) + F.col("_n") * mean(c)).alias(c) for c in cols],
+                                   *[(F.col(f"{c}_g") + mean(c)).alias(f"{c}_g") for c in cols]))
+    gathered = state.select("_t", "_place", *[f"{c}_g" for c in cols])
     out = keyed.join(gathered, ["_t", "_place"], "left")
-    return out.withColumns({c: sum((F.col(f"{c}_m{h}") for h in range(hops)), F.col(c)) for c in cols}) \
-        .select(*rows.columns, *cols)
+    return out.withColumns({c: F.col(c) + F.col(f"{c}_g") for c in cols}).select(*rows.columns, *cols)

@@ -61,17 +61,22 @@ def within(c: str, extent: float) -> Column:
 
 
 def nearest_site(targets: DataFrame, sites: DataFrame, target_id: str, site_id: str, x: str = "lon", y: str = "lat",
-                 leaf: float = 0.02, ratio: int = 8, extent: float = 360.0) -> DataFrame:
+                 leaf: float = 0.02, ratio: int = 8, extent: float = 360.0, keyed: float = 1.5,
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Nearest site of every target at any distance, exactly: (target_id, site_id, dist).
 
     Sites are summarised by a pyramid of square cells, each with the tight box of its sites. A target starts from all
     cells of the top level and goes down level by level. At each level it keeps only the cells whose nearest corner is not
     farther than the best guarantee any cell gives (each side of a tight box holds at least one site). So a target carries
-    a handful of cells at any time, however far away or crowded the sites are, and site tables only meet it through a
-    parent-cell key. Levels are added until the top cells are at least an eighth of `extent` wide; coordinates must lie
-    within +-extent (others fail the job), so the top list has at most 18 x 18 entries whatever the data.
+    a handful of cells at any time, however far away or crowded the sites are.
+
+    Levels are added until the top cells are at least an eighth of `extent` wide; coordinates must lie within +-extent
+    (others fail the job). Cells wider than `keyed` are few whatever the data, at most (2 * extent / keyed)^2, and
+    are looked up in scalar lists inside the row. Only below that do targets meet cells by key, and last the sites of a leaf;
+    keys with over `hot_rows` targets are salted there.
     """
     levels = max(1, math.ceil(math.log(extent / 8.0 / leaf, ratio)))
+    bottom = max((v for v in range(levels + 1) if leaf * ratio ** v <= keyed), default=0)
     px, py = within(x, extent), within(y, extent)
     points = first_row(sites.where(px.isNotNull() & py.isNotNull()).select(site_id, px.alias("_sx"), py.alias("_sy")),
                        ["_sx", "_sy"], [F.col(site_id)])
@@ -89,33 +94,42 @@ def nearest_site(targets: DataFrame, sites: DataFrame, target_id: str, site_id:
         cells.append(cells[-1].groupBy(key(level, "x0", "y0").alias("cell")).agg(
             F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")))
 
-    def lower_bound() -> Column:
-        ox = F.greatest(F.lit(0.0), F.col("x0") - F.col("_x"), F.col("_x") - F.col("x1"))
-        oy = F.greatest(F.lit(0.0), F.col("y0") - F.col("_y"), F.col("_y") - F.col("y1"))
+    def lower_bound(b: Column) -> Column:
+        ox = F.greatest(F.lit(0.0), b["x0"] - F.col("_x"), F.col("_x") - b["x1"])
+        oy = F.greatest(F.lit(0.0), b["y0"] - F.col("_y"), F.col("_y") - b["y1"])
         return ox * ox + oy * oy
 
-    def guarantee() -> Column:
-        near_x = F.least(F.abs(F.col("_x") - F.col("x0")), F.abs(F.col("_x") - F.col("x1")))
-        far_x = F.greatest(F.abs(F.col("_x") - F.col("x0")), F.abs(F.col("_x") - F.col("x1")))
-        near_y = F.least(F.abs(F.col("_y") - F.col("y0")), F.abs(F.col("_y") - F.col("y1")))
-        far_y = F.greatest(F.abs(F.col("_y") - F.col("y0")), F.abs(F.col("_y") - F.col("y1")))
+    def guarantee(b: Column) -> Column:
+        to_x = F.abs(F.col("_x") - b["x0"]), F.abs(F.col("_x") - b["x1"])
+        to_y = F.abs(F.col("_y") - b["y0"]), F.abs(F.col("_y") - b["y1"])
+        near_x, far_x, near_y, far_y = F.least(*to_x), F.greatest(*to_x), F.least(*to_y), F.greatest(*to_y)
         return F.least(near_x * near_x + far_y * far_y, far_x * far_x + near_y * near_y)
 
-    def prune(kept: DataFrame) -> DataFrame:
-        best = F.min("_ub").over(Window.partitionBy("_x", "_y"))
-        # a hair of slack keeps rounding from dropping the winner
-        return (kept.withColumns({"_lb": lower_bound(), "_ub": guarantee()}).withColumn("_best", best)
-                .where(F.col("_lb") <= F.col("_best") * F.lit(1 + 1e-12) + F.lit(1e-18))
-                .select("_x", "_y", F.col("cell").alias("parent")))
-
-    top = cells[-1].agg(F.collect_list(F.struct("cell", "x0", "x1", "y0", "y1")).alias("l")).select("l").scalar()
-    frontier = prune(places.withColumn("_c", F.explode(top)).select("_x", "_y", "_c.*"))
-    for level in range(levels - 1, -1, -1):
-        children = cells[level].withColumn("parent", key(level + 1, "x0", "y0"))
-        frontier = prune(frontier.join(children, "parent"))
+    def reachable(lower: Column, best: Column) -> Column:
+        return lower <= best * F.lit(1 + 1e-12) + F.lit(1e-18)  # a hair of slack keeps rounding from dropping the winner
+
+    def prune_list(boxes: Column) -> Column:
+        return F.filter(boxes, lambda b: reachable(lower_bound(b), F.array_min(F.transform(boxes, guarantee))))
+
+    box = F.struct("cell", "x0", "x1", "y0", "y1")
+    frontier = places.withColumn("_boxes", cells[levels].agg(F.collect_list(box).alias("l")).select("l").scalar())
+    for level in range(levels, bottom, -1):
+        frontier = frontier.withColumn("_boxes", prune_list(F.col("_boxes")))
+        by_parent = (cells[level - 1].groupBy(key(level, "x0", "y0").alias("p")).agg(F.collect_list(box).alias("l"))
+                     .agg(F.map_from_entries(F.collect_list(F.struct("p", "l"))).alias("m")).select("m").scalar())
+        frontier = frontier.withColumn("_kids", by_parent).select("_x", "_y", F.flatten(F.transform(
+            "_boxes", lambda b: F.element_at(F.col("_kids"), b["cell"]))).alias("_boxes"))
+    frontier = frontier.select("_x", "_y", F.explode(prune_list(F.col("_boxes"))).alias("b")).select(
+        "_x", "_y", F.col("b.cell").alias("parent"))
+    for level in range(bottom - 1, -1, -1):
+        children = cells[level].select(key(level + 1, "x0", "y0").alias("parent"), box.alias("b"))
+        kept = (salted_join(frontier, children, ["parent"], hot_rows=hot_rows)
+                .withColumn("_best", F.min(guarantee(F.col("b"))).over(Window.partitionBy("_x", "_y"))))
+        frontier = kept.where(reachable(lower_bound(F.col("b")), F.col("_best"))).select(
+            "_x", "_y", F.col("b.cell").alias("parent"))
     leaf_points = points.withColumn("parent", key(0))
     ddx, ddy = F.col("_sx") - F.col("_x"), F.col("_sy") - F.col("_y")
-    found = (frontier.join(leaf_points, "parent").withColumn("_d", ddx * ddx + ddy * ddy)
+    found = (salted_join(frontier, leaf_points, ["parent"], hot_rows=hot_rows).withColumn("_d", ddx * ddx + ddy * ddy)
              .groupBy("_x", "_y").agg(F.min_by(F.struct(site_id, "_d"), F.struct("_d", site_id)).alias("_m")))
     return (targets.select(target_id, px.alias("_x"), py.alias("_y")).join(found, ["_x", "_y"])
             .select(target_id, F.col(f"_m.{site_id}").alias(site_id), F.sqrt("_m._d").alias("dist")))
@@ -145,12 +159,12 @@ def attach_terrain(forecast: DataFrame, terrain: DataFrame, cell: str = "grid_id
                    cycle: Sequence[str] = ("origin", "run_time")) -> DataFrame:
     """Terrain columns of each forecast row; what is still missing takes the cycle's median (10 if it has none) or 0.
 
-    Whether anything is missing is asked of the small cell table first, so the medians are only worked out when needed.
-    They come from the value histogram (`exact_quantiles`), all columns in one pass.
+    A row without terrain counts as missing whatever the reason: no such cell, or a cell with gaps. The medians are only
+    worked out if there is such a row; they come from the value histogram (`exact_quantiles`), all columns in one pass.
     """
     measured = [c for c in ("elevation_m", "elevation_std", "slope_deg", "dist_coast_km") if c in terrain.columns]
     out = forecast.join(terrain, cell, "left")
-    gaps = terrain.where(F.greatest(*[F.col(c).isNull() for c in measured], F.lit(False)))
+    gaps = out.where(F.greatest(*[F.col(c).isNull() for c in measured], F.lit(False)))
     if not gaps.limit(1).isEmpty():
         stacked = out.select(*cycle, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v"))
                                                          for c in measured])).alias("_s")).select(*cycle, "_s.*")

@@ -10,54 +10,34 @@ from pyspark.sql import functions as F
 
 from pluvian.functions.skew import rows_below
 from pluvian.operators.guards import assert_not_frozen, time_column
-from pluvian.session import stored
-
-
-def order_number(df: DataFrame, name: str) -> Column:
-    """A number that orders a column: itself, microseconds of a time, or the hash of a text."""
-    kind = dict(df.dtypes)[name]
-    if kind.startswith("timestamp") or kind == "date":
-        return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"),
-                                F.col(name).cast("timestamp_ntz"))
-    return F.xxhash64(name) if kind in ("string", "binary") else F.col(name)
-
-
-SMALL_HISTOGRAM = 200_000
-
-
-def running_count(hist: DataFrame, order: str) -> DataFrame:
-    """Rows before each value: one ordered window while the counted histogram is small, bucketed beyond that."""
-    if hist.count() > SMALL_HISTOGRAM:
-        return rows_below(hist, [], order, "_n", "_before")
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return hist.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
 def chronological_split(df: DataFrame, time: str, key: Sequence[str], share: float = 0.7) -> DataFrame:
-    """Adds `is_train`: the first floor(share * n) rows by (time, key).
+    """Adds `is_train`: the first floor(share * n) rows by (time, key), each in the order of its own type.
 
     No global sort. The rows per time give the cut time; the rows of that one time are cut by the first key column, the
     rows of that value by the next, and so on. Each step reads back one row (the cut value), so the split itself is a
     comparison with literals that can reach the scan. Rows equal in time and key stay together on the side of the first.
     """
-    rows = df.select(*[order_number(df, c).alias(f"_o{i}") for i, c in enumerate([time, *key])])
+    names = [time, *key]
+    rows = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(names)])
+    kinds = [f.dataType for f in rows.schema.fields]
     budget = math.floor(rows.count() * share)
-    cuts: list[int | float] = []
+    cuts: list[Column] = []
     part = rows
-    for i in range(len(key) + 1):
+    for i, kind in enumerate(kinds):
         hist = part.groupBy(f"_o{i}").agg(F.count(F.lit(1)).alias("_n"))
-        last = (running_count(stored(hist), f"_o{i}").where(F.col("_before") < budget)
+        last = (rows_below(hist, [], f"_o{i}", "_n", "_before").where(F.col("_before") < budget)
                 .agg(F.max(F.struct(f"_o{i}", "_before", "_n")).alias("c")).first())["c"]
         if last is None:
             return df.withColumn("is_train", F.lit(False))
-        cuts.append(last[f"_o{i}"])
+        cuts.append(F.lit(last[f"_o{i}"]).cast(kind))
         budget -= last["_before"]
         if budget >= last["_n"]:
             break  # the cut falls between two values, so no tie is split
-        part = part.where(F.col(f"_o{i}") == F.lit(cuts[-1]))
-    names = [time, *key][:len(cuts)]
-    inside = F.struct(*[order_number(df, c).alias(f"o{i}") for i, c in enumerate(names)]) <= F.struct(
-        *[F.lit(v).cast(dict(rows.dtypes)[f"_o{i}"]).alias(f"o{i}") for i, v in enumerate(cuts)])
+        part = part.where(F.col(f"_o{i}").eqNullSafe(cuts[-1]))
+    inside = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(names[:len(cuts)])]) <= F.struct(
+        *[v.alias(f"o{i}") for i, v in enumerate(cuts)])
     return df.withColumn("is_train", F.coalesce(inside, F.lit(False)))
 
 
@@ -71,10 +51,11 @@ def train_validation_split(df: DataFrame, key: Sequence[str], time: str | None =
     if c is None:
         raise ValueError("a time column is needed to split")
     assert_not_frozen(df, c)
-    year = F.year(c)
-    seen = df.agg(F.bool_or(year < val_year).alias("train"), F.bool_or(year == val_year).alias("val")).first()
+    start, end = (F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz") for y in (val_year, val_year + 1))
+    train, val = F.col(c) < start, (F.col(c) >= start) & (F.col(c) < end)  # ranges, which reach the scan
+    seen = df.agg(F.bool_or(train).alias("train"), F.bool_or(val).alias("val")).first()
     if seen["train"] and seen["val"]:
-        return df.withColumns({"is_train": year < val_year, "is_val": year == val_year})
+        return df.withColumns({"is_train": train, "is_val": val})
     return chronological_split(df, c, key).withColumn("is_val", ~F.col("is_train"))
 
 
@@ -96,27 +77,22 @@ def standardise(df: DataFrame, features: Sequence[str], train: str = "is_train")
     return df.withColumns({f: scaled(f) for f in features})
 
 
-def strided_cycles(df: DataFrame, max_rows: int, cycle: str = "run_time") -> DataFrame:
-    """Row budget for small machines: evenly strided cycles, enough for `max_rows` at the size of the first cycle.
+def train_row_budget(df: DataFrame, max_rows: int, cycle: str = "run_time") -> DataFrame:
+    """At most about `max_rows` training rows of a split table (`is_train`), as whole, evenly strided cycles.
 
-    Reads the number of cycles and the first cycle's size (two numbers), then keeps whole cycles.
+    The bound is for the fit of a model only: rows that are not for training, and so every score, stay as they are. Reads the
+    number of training cycles and the first one's size (two numbers).
     """
-    sizes = df.groupBy(cycle).agg(F.count(F.lit(1)).alias("n"))
+    sizes = df.where("is_train").groupBy(cycle).agg(F.count(F.lit(1)).alias("n"))
     seen = sizes.agg(F.count(F.lit(1)).alias("cycles"), F.min_by("n", cycle).alias("first")).first()
     if not seen["cycles"] or seen["cycles"] * seen["first"] <= max_rows:
         return df
     needed = min(seen["cycles"], max(1, -(-max_rows // max(1, seen["first"]))))
     stride = max(1, seen["cycles"] // needed)
-    hist = sizes.select(F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(cycle)).alias("_t"),
-                        cycle).withColumn("_one", F.lit(1))
-    index = rows_below(hist, [], "_t", "_one", "_i")
+    index = rows_below(sizes.withColumn("_one", F.lit(1)), [], cycle, "_one", "_i")
     chosen = index.where((F.col("_i") % stride == 0) & (F.col("_i") < stride * needed)).select(cycle)
-    return df.join(chosen, cycle, "left_semi")
-
-
-def limit_rows(df: DataFrame, max_rows: int | None, order: Sequence[str]) -> DataFrame:
-    """The first `max_rows` rows in a fixed order."""
-    return df.orderBy(*order).limit(max_rows) if max_rows else df
+    other = df.where(~F.col("is_train"))
+    return df.where("is_train").join(chosen, cycle, "left_semi").select(*df.columns).unionByName(other)
 
 
 def year_folds(df: DataFrame, folds: Sequence[tuple[int, int, int]] = ((2021, 2022, 2023), (2021, 2023, 2024)),

@@ -23,8 +23,8 @@ def bucket_of(ts: Column | str, width: int) -> Column:
 
 
 def latest(tiebreak: Sequence[str]) -> Column:
-    """Order of observations. A bare time keeps the aggregate fixed-width (hash table); ties need a struct."""
-    return F.struct("_t", *tiebreak) if tiebreak else F.col("_t")
+    """Order of observations: by time, then by the tiebreak, then by the value, so no result is left to chance."""
+    return F.struct("_t", *tiebreak, "_v")
 
 
 def asof_lookback(requests: DataFrame, observations: DataFrame, on: Sequence[str] = (), request_time: str = "run_time",

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from pluvian.functions import constants as K
 from pluvian.functions.scalars import clip, finite, safe_ratio, season
-from pluvian.functions.skew import exact_quantiles, rows_below
+from pluvian.functions.skew import exact_quantiles, rows_below, salted_join
+from pluvian.session import written
 
 TINY = 1e-9
 
@@ -169,7 +170,7 @@ def spearman(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     rows = long.where(finite("obs", "pred", "raw"))
     # copies of the same (obs, pred) fold into one weighted row before anything is shuffled further
-    pairs = rows.groupBy(*keys, "obs", "pred").agg(F.count(F.lit(1)).alias("_w"))
+    pairs = written(rows.groupBy(*keys, "obs", "pred").agg(F.count(F.lit(1)).alias("_w")))
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("_side"), F.col(s).alias("_v")) for s in ("obs", "pred")]))
     hist = pairs.select(*keys, "_w", sides.alias("_s")).groupBy(*keys, "_s._side", "_s._v").agg(F.sum("_w").alias("_n"))
     ranks = rows_below(hist, [*keys, "_side"], "_v", "_n", "_below").withColumn(
@@ -178,7 +179,8 @@ def spearman(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     def rank_of(side: str) -> DataFrame:
         return ranks.where(F.col("_side") == side).select(*keys, F.col("_v").alias(side), F.col("_rank").alias(f"_r_{side}"))
 
-    ranked = pairs.join(rank_of("obs"), [*keys, "obs"]).join(rank_of("pred"), [*keys, "pred"])
+    # most rain is zero, so one value of `obs` may hold most pairs of a key
+    ranked = salted_join(salted_join(pairs, rank_of("obs"), [*keys, "obs"]), rank_of("pred"), [*keys, "pred"])
     w, ro, rp = F.col("_w"), F.col("_r_obs"), F.col("_r_pred")
     sums = ranked.groupBy(*keys).agg(
         F.sum(w).alias("_t"), F.sum(w * ro * rp).alias("_op"), F.sum(w * ro * ro).alias("_oo"), F.sum(w * rp * rp).alias("_pp"),

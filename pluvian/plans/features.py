@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pluvian.functions.geo import coast_distance_km, coriolis
 from pluvian.functions.scalars import to_utc
+from pluvian.functions.skew import salted_join
 from pluvian.operators import ground, spatial, temporal
 from pluvian.operators.columns import forecast_features, labelled, with_target
 from pluvian.operators.guards import no_leakage
@@ -26,10 +27,15 @@ def attach_labels(rows: DataFrame, telemetry: DataFrame, label_gauge: DataFrame,
 
     Labels are worked out per (gauge, valid time, step), which many cells and runs share, and then looked up.
     """
-    placed = rows.join(label_gauge, cell, "left").join(temporal.step_hours(rows), ["origin", "run_time"], "left")
+    placed = salted_join(rows, label_gauge, [cell], "left").join(temporal.step_hours(rows), ["origin", "run_time"], "left")
     rain = telemetry.where(F.col("variable_type") == "hourly_rain").withColumn("observed_at", to_utc("observed_at"))
-    labels = temporal.interval_labels(placed.where(F.col("station_code").isNotNull()), rain).drop("n_obs")
-    return placed.join(labels, ["station_code", "valid_time", "step_hours"], "left").select(*rows.columns, "observed_rain")
+    known = F.col("station_code").isNotNull()
+    # cells without a gauge never meet the labels: they would all share one null key
+    asked = placed.where(known)
+    labels = temporal.interval_labels(asked, rain).drop("n_obs")
+    found = salted_join(asked, labels, ["station_code", "valid_time", "step_hours"], "left")
+    none = placed.where(~known).withColumn("observed_rain", F.lit(None).cast(labels.schema["observed_rain"].dataType))
+    return found.select(*rows.columns, "observed_rain").unionByName(none.select(*rows.columns, "observed_rain"))
 
 
 def feature_matrix(forecast: DataFrame, grid: DataFrame, stations: DataFrame, telemetry: DataFrame,

@@ -3,48 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 
 from pluvian.models import residual
 from pluvian.operators import columns, guards, split, verify
 
-META = ["valid_time", "run_time", "lead_time_hours", "lead_time", "weather_model", "station_id", "grid_id", "lat", "lon",
-        "target_lat", "target_lon", "basin_id", "basin_name", "observed_rain", "nwp_rain_raw", "target_bias"]
-
-
-def training_rows(features: DataFrame, weather_model: str | None = None, max_rows: int | None = None,
-                  held_out: Sequence[str] = (), strict_model: bool = True) -> DataFrame:
+def training_rows(features: DataFrame, weather_model: str | None = None, held_out: Sequence[str] = ()) -> DataFrame:
     """Rows a model may learn from: before the frozen year, labelled, of one weather model, without held-out networks."""
     if held_out:
         guards.assert_not_held_out(features, list(held_out))
-    rows = guards.before_frozen(features)
-    if max_rows:
-        rows = split.strided_cycles(rows, max_rows)
-    rows = columns.labelled(columns.standard_columns(rows))
-    return columns.of_weather_model(rows, weather_model, strict_model) if weather_model else rows
+    rows = columns.labelled(columns.standard_columns(guards.before_frozen(features)))
+    return columns.of_weather_model(rows, weather_model) if weather_model else rows
 
 
 def train_and_score(rows: DataFrame, ablation: str, model: str, key: Sequence[str], weather_model: str = "ecmwf_ifs",
-                    val_year: int = 2024, settings: residual.TreeSettings | None = None):
-    """(fitted model, prediction table of the validation rows). The marked input is cached while a model reads it."""
+                    val_year: int = 2024, settings: residual.TreeSettings | None = None, max_train_rows: int | None = None,
+                    save_to: str | None = None):
+    """(fitted model, prediction table of all validation rows).
+
+    `max_train_rows` bounds the rows a model learns from, never those it is scored on. `save_to` keeps the model below
+    that folder, by weather model, model and ablation.
+    """
     features = columns.ablation_features(rows, ablation)
     marked = split.train_validation_split(rows, key, val_year=val_year)
-    keep = [c for c in META if c in rows.columns and c not in features] + ["is_train", "is_val"]
-    table = columns.ablation_matrix_input(marked, ablation, keep)
-    kw = {"settings": settings} if settings else {}
-    quantiles: list[str] = []
-    if model == "gbt_l1":
-        fitted, scored = residual.boosted_residual(table, features, "absolute", **kw)
-    elif model == "gbt_l2":
-        fitted, scored = residual.boosted_residual(table, features, "squared", **kw)
-    elif model == "hurdle":
-        fitted, scored = residual.hurdle(table, features, **kw)
-    elif model == "quantile":
-        fitted, scored = residual.quantile_forest(table, features, **kw)
-        quantiles = [c for c in scored.columns if c.startswith("q") and c[1:].isdigit()]
-    else:
+    if max_train_rows:
+        marked = split.train_row_budget(marked, max_train_rows)
+    table = columns.ablation_matrix_input(marked, ablation, [c for c in marked.columns if c not in features])
+    fit = {"gbt_l1": partial(residual.boosted_residual, loss="absolute"), "gbt_l2": partial(residual.boosted_residual, loss="squared"),
+           "hurdle": residual.hurdle, "quantile": residual.quantile_forest}
+    if model not in fit:
         raise ValueError(f"unknown model {model!r}")
+    fitted, scored = fit[model](table, features, **({"settings": settings} if settings else {}))
+    if save_to:
+        residual.save(fitted, residual.place(save_to, weather_model, model, ablation))
+    quantiles = [c for c in scored.columns if c.startswith("q") and c[1:].isdigit()] if model == "quantile" else []
     return fitted, columns.prediction_frame(scored, model, ablation, weather_model, quantiles=quantiles)
 
 

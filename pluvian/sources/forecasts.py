@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pluvian.functions import constants as K
 from pluvian.functions.scalars import finite, grid_id, nan_to_null, shift
 from pluvian.operators.deaccum import deaccumulate_buckets
 
@@ -23,11 +24,23 @@ def run_tags(df: DataFrame, path: Column | str = "_metadata.file_path") -> DataF
                            "file_origin": F.regexp_extract(p, r"([^/=]+)/[^/]*$", 1)})
 
 
-def prediction_tags(path: Column, models: Sequence[str], ablations: Sequence[str] = ("m1", "m2", "m3")) -> tuple[Column, Column]:
-    """(model, ablation) named by a prediction file; the longest matching model name wins."""
-    pattern = "(" + "|".join(sorted(models, key=len, reverse=True)) + ")_(" + "|".join(ablations) + ")"
-    name = F.lower(F.regexp_extract(path, r"([^/]+)$", 1))
-    return (F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(name, pattern, 2), F.lit("")))
+def prediction_tags(path: Column, models: Sequence[str], ablations: Sequence[str] = ("m1", "m2", "m3"),
+                    weather_models: Sequence[str] = tuple(sorted(set(K.VERIFICATION_ALIASES.values())))) -> tuple[Column, Column, Column]:
+    """(weather model, model, ablation) named by a prediction file; the longest matching name wins, none is NULL.
+
+    The weather model stands in the file name, or in the folder the file lies in.
+    """
+    def one_of(names: Sequence[str]) -> str:
+        return "(" + "|".join(sorted(names, key=len, reverse=True)) + ")"
+    pattern = one_of(models) + "_" + one_of(ablations)
+    low = F.lower(path)
+    name = F.regexp_extract(low, r"([^/]+)$", 1)
+
+    def found(text: Column, wanted: str, group: int) -> Column:
+        return F.nullif(F.regexp_extract(text, wanted, group), F.lit(""))
+    weather = one_of(weather_models)
+    return (F.coalesce(found(name, weather, 1), found(F.regexp_extract(low, r"([^/]*)/[^/]*$", 1), weather, 1)),
+            found(name, pattern, 1), found(name, pattern, 2))
 
 
 def scan_runs(spark: SparkSession, path: str, schema: T.StructType | None = None, tags: bool = False) -> DataFrame:

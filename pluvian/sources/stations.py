@@ -12,7 +12,6 @@ from pluvian.functions.scalars import parse_number, snake_case
 from pluvian.functions.skew import first_row
 from pluvian.operators.quality import station_flags
 
-REPLACEMENT = "�"
 THAI_BYTES = "".join(chr(b) for b in range(0xA1, 0xFC))
 THAI_LETTERS = "".join(chr(b + 0x0D60) for b in range(0xA1, 0xFC))  # single-byte Thai is an offset into the Thai block
 
@@ -20,30 +19,32 @@ THAI_LETTERS = "".join(chr(b + 0x0D60) for b in range(0xA1, 0xFC))  # single-byt
 def scan_station_csv(spark: SparkSession, path: str | Sequence[str], catalog: str, encoding: str = "auto") -> DataFrame:
     """Station CSV: every column as trimmed text, names in snake case, catalog tag.
 
-    `encoding`: utf-8 (with or without a byte-order mark), tis-620 or cp874 (single-byte Thai), or auto, which reads UTF-8
-    and falls back to Thai when a text holds undecodable bytes (one aggregate over a small file).
+    `encoding`: utf-8 (with or without a byte-order mark), tis-620 or cp874 (single-byte Thai), or auto, which takes each
+    file as UTF-8 if all its bytes are and as Thai otherwise. Files are read as bytes once; a row per file holds the choice.
     """
-    def read(charset: str) -> DataFrame:
-        df = spark.read.option("header", True).option("encoding", charset).csv(path)
-        names = [snake_case(c) for c in df.columns]
-        if charset == "ISO-8859-1":
-            names = [n.translate(str.maketrans(THAI_BYTES, THAI_LETTERS)).replace("ï»¿", "") for n in names]
-        return df.toDF(*names)
-
-    def thai() -> DataFrame:
-        df = read("ISO-8859-1")
-        return df.select([F.translate(F.col(c), THAI_BYTES, THAI_LETTERS).alias(c) for c in df.columns])
-
+    raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
     wanted = encoding.lower()
-    if wanted in ("tis-620", "cp874"):
-        df = thai()
+    single = wanted in ("tis-620", "cp874")
+
+    def named(c: str) -> str:
+        try:
+            text = None if single else c.encode("latin-1").decode("utf-8-sig")
+        except UnicodeDecodeError:
+            text = None
+        return snake_case(text if text is not None else c.translate(str.maketrans(THAI_BYTES, THAI_LETTERS)))
+
+    names = [named(c) for c in raw.columns]
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_file")).toDF(*names, "_file")
+    thai = {c: F.translate(F.col(c), THAI_BYTES, THAI_LETTERS) for c in names}
+    utf8 = {c: F.encode(F.col(c), "ISO-8859-1").cast("string") for c in names}
+    if wanted == "auto":
+        good = rows.groupBy("_file").agg(F.bool_and(F.coalesce(F.expr("AND".join(
+            [f"(coalesce(is_valid_utf8(cast(encode(`{c}`, 'ISO-8859-1') as string)), true))" for c in names])), F.lit(True))).alias("_utf8"))
+        rows = rows.join(good, "_file")
+        texts = {c: F.when(F.col("_utf8"), utf8[c]).otherwise(thai[c]) for c in names}
     else:
-        df = read("UTF-8")
-        if wanted == "auto":
-            broken = F.concat_ws("", *[F.col(c) for c in df.columns]).contains(REPLACEMENT)
-            if not df.where(broken).limit(1).isEmpty():
-                df = thai()
-    return df.select([F.trim(c).alias(c) for c in df.columns]).withColumn("catalog", F.lit(catalog))
+        texts = thai if single else {c: F.make_valid_utf8(utf8[c]) for c in names}
+    return rows.select([F.trim(texts[c]).alias(c) for c in names]).withColumn("catalog", F.lit(catalog))
 
 
 def all_station_codes(catalogs: Sequence[DataFrame]) -> DataFrame:

@@ -14,11 +14,16 @@ from pluvian.sources.forecasts import prediction_tags
 
 
 def scan_features(spark: SparkSession, path: str | Sequence[str], before_year: int | None = K.FROZEN_YEAR) -> DataFrame:
-    """Feature Parquet up to the frozen year (the predicate is pushed into the scan), narrowed to f32 and i32."""
+    """Feature Parquet up to the frozen year, narrowed to f32 and i32.
+
+    The time predicate is pushed into the scan; where the table is laid out by year, later folders are not opened at all.
+    """
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.option("mergeSchema", len(paths) > 1).parquet(*paths)
     if before_year is not None:
         df = before_frozen(df, year=before_year)
+        if "year" in df.columns:
+            df = df.where(F.col("year") < before_year)
     return nan_to_null(narrow(df))
 
 
@@ -48,20 +53,24 @@ def scan_snapshots(spark: SparkSession, path: str, start: str | None = None, end
 
 
 def write_predictions(df: DataFrame, path: str, csv_path: str | None = None, mode: str = "overwrite") -> None:
-    """Parquet by model and ablation; CSV only when asked for."""
-    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("model_name", "ablation").parquet(path)
+    """Parquet by weather model, model and ablation; only the folders that `df` has rows for are replaced. CSV when asked for."""
+    def writer():
+        return (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+                .partitionBy("weather_model", "model_name", "ablation"))
+    writer().parquet(path)
     if csv_path:
-        df.write.mode(mode).option("header", True).partitionBy("model_name", "ablation").csv(csv_path)
+        writer().option("header", True).csv(csv_path)
 
 
 def scan_predictions(spark: SparkSession, path: str, models: Sequence[str] | None = None) -> DataFrame:
-    """Partitioned predictions, or loose files named `<model>_<ablation>_pred` when `models` is given."""
+    """Partitioned predictions, or loose files that name weather model, model and ablation when `models` is given."""
     if models is None:
         return spark.read.parquet(path)
     df = spark.read.option("recursiveFileLookup", True).parquet(path)
-    model, ablation = prediction_tags(F.col("_metadata.file_path"), models)
-    return df.withColumns({"model_name": model, "ablation": ablation}).where(F.col("model_name").isNotNull())
+    weather, model, ablation = prediction_tags(F.col("_metadata.file_path"), models)
+    known = F.coalesce(weather, F.col("weather_model")) if "weather_model" in df.columns else weather
+    return (df.withColumns({"weather_model": known, "model_name": model, "ablation": ablation})
+            .where(F.col("model_name").isNotNull()))
 
 
 def write_reports(reports: Mapping[str, DataFrame], folder: str) -> None:

@@ -16,7 +16,6 @@ CLEAN_SCHEMA = T.StructType([
     T.StructField("variable_type", T.StringType()), T.StructField("value", T.FloatType()),
     T.StructField("quality_flag", T.StringType()), T.StructField("is_golden", T.BooleanType())])
 RAW_COLUMNS = ["station_code", "observed_at", "variable_type", "raw_value", "raw_quality_flag"]
-MAX_COLUMNS = 16
 
 
 def scan_clean(spark: SparkSession, base: str, variables: Sequence[str] | None = None,
@@ -46,19 +45,32 @@ def parse_time(text: Column, formats: Sequence[str] = ()) -> Column:
     return F.coalesce(*tries)
 
 
+def csv_cells(line: Column) -> Column:
+    """Cells of a CSV line without leading blanks; quoted cells may hold commas and doubled quotes."""
+    cut = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',(\s*"(?:[^"]|"")*"\s*|[^,]*)'), F.lit(1))
+
+    def bare(c: Column) -> Column:
+        inner = F.replace(F.regexp_replace(c, r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"'))
+        text = F.when(c.rlike(r'^\s*"'), inner).otherwise(F.ltrim(c))
+        return F.nullif(text, F.lit(""))
+    return F.transform(cut, bare)
+
+
 def parse_telemetry(spark: SparkSession, paths: str | Sequence[str], station_pattern: str = r"([^/]+)\.csv$",
                     catalog_pattern: str = r"(hourly_rain|pressure|humidity)", formats: Sequence[str] = ("dd/MM/yyyy HH:mm",),
                     encoding: str = "UTF-8") -> DataFrame:
     """Raw CSV files of both generations -> long rows.
 
-    The header row decides the generation of its file. All files are read in one scan without headers; the header rows are
-    one per file and meet the data rows of their file through an equi join, so files are never visited one by one. A file
-    without a known header fails the job. Of rows with the same gauge, variable and time the first is kept.
+    The header row decides the generation of its file; rows may have any number of columns. All files are read in one scan
+    of lines without headers; the header rows are one per file and meet the data rows of their file through an equi join, so
+    files are never visited one by one. A file without a known header fails the job. Of rows with the same gauge, variable
+    and time the first of the first file (by name) is kept, whatever its value.
     """
-    names = [f"c{i}" for i in range(MAX_COLUMNS)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = (spark.read.schema(schema).option("ignoreLeadingWhiteSpace", True).option("encoding", encoding)
-           .csv(paths).select(F.array(*names).alias("_cells"), F.col("_metadata.file_path").alias("_file")))
+    lines = (spark.read.schema("_line string").option("sep", "\u0001").option("quote", "").option("encoding", encoding)
+             .csv(paths).select("_line", F.col("_metadata.file_path").alias("_file"),
+                                F.col("_metadata.file_block_start").alias("_block"),
+                                F.monotonically_increasing_id().alias("_row")))  # ascends within a block
+    raw = lines.where(F.col("_line").isNotNull()).select(csv_cells(F.col("_line")).alias("_cells"), "_file", "_block", "_row")
     clean = F.transform("_cells", lambda c: F.lower(F.trim(F.replace(c, F.lit("﻿"), F.lit("")))))
     raw = raw.withColumn("_names", clean)
     modern = F.array_contains("_names", "measure_datetime")
@@ -91,6 +103,6 @@ def parse_telemetry(spark: SparkSession, paths: str | Sequence[str], station_pat
         F.get("_cells", place - 1).alias("raw_value"),
         F.when(has_modern & (F.array_position("_h", "quality_flag") > 0), at("quality_flag"))
         .otherwise(F.lit("VALID")).alias("raw_quality_flag"),
-        "_file").where(F.col("observed_at").isNotNull())
+        "_file", "_block", "_row").where(F.col("observed_at").isNotNull())
     keys = ["station_code", "variable_type", "observed_at"]
-    return first_row(out, keys, [F.col("_file"), F.col("raw_value")]).select(*RAW_COLUMNS)
+    return first_row(out, keys, [F.col("_file"), F.col("_block"), F.col("_row")]).select(*RAW_COLUMNS)

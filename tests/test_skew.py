@@ -11,7 +11,7 @@ def test_rows_below_matches_a_sort(spark):
     values = pd.DataFrame({"g": rng.integers(0, 3, 5000), "v": rng.normal(0, 100, 5000)})
     hist = spark.createDataFrame(values).groupBy("g", "v").agg(F.count("*").alias("n"))
     # a tiny divisor makes many cut points, so the bucket path is exercised
-    got = skew.rows_below(hist, ["g"], "v", "n", sample_one_in=7, buckets=16).toPandas()
+    got = skew.rows_below(hist, ["g"], "v", "n").toPandas()
     for g, part in values.groupby("g"):
         want = {v: int((part.v < v).sum()) for v in part.v.unique()}
         mine = got[got.g == g].set_index("v").n_below.to_dict()

@@ -24,6 +24,46 @@ def test_parse_both_csv_generations(spark, tmp_path):
                    ("S9", "2025-01-01 01:00:00", "pressure", None, "N")]
 
 
+def test_wide_rows_repeated_hours_and_quotes(spark, tmp_path):
+    (tmp_path / "pressure").mkdir()
+    filler = ",".join(f"c{i}" for i in range(16))
+    blank = ",".join("1" for _ in range(16))
+    (tmp_path / "pressure" / "W.csv").write_text(
+        f"station_code,measure_datetime,{filler},rain,quality_flag\nW,2025-01-01 00:00:00,{blank},5.0,E\n"
+        f"W,2025-01-01 01:00:00,{blank},,N\nW,2025-01-01 01:00:00,{blank},12.0,N\n"
+        f"W,2025-01-01 02:00:00,{blank},12.0,N\nW,2025-01-01 02:00:00,{blank},5.0,N\n"
+        f'"W",2025-01-01 03:00:00,{blank.replace("1", chr(34) + "a,""b" + chr(34), 1)},3.0,"N"\n')
+    rows = TL.parse_telemetry(spark, str(tmp_path / "pressure")).orderBy("observed_at").collect()
+    assert [(r["variable_type"], r["raw_value"], r["raw_quality_flag"]) for r in rows] == [
+        ("hourly_rain", "5.0", "E"), ("hourly_rain", None, "N"), ("hourly_rain", "12.0", "N"), ("hourly_rain", "3.0", "N")]
+
+
+def test_encoding_is_chosen_per_file(spark, tmp_path):
+    text = "Station_Code,Station Name\n {} , กรุงเทพ \n"
+    (tmp_path / "a.csv").write_bytes(text.format("A").encode("utf-8"))
+    (tmp_path / "b.csv").write_bytes(text.format("B").encode("tis-620"))
+    rows = {r["station_code"]: r["station_name"] for r in ST.scan_station_csv(spark, str(tmp_path), "x").collect()}
+    assert rows == {"A": "กรุงเทพ", "B": "กรุงเทพ"}
+
+
+def test_a_second_weather_model_erases_nothing(spark, tmp_path):
+    def rows(name):
+        return spark.createDataFrame([(1.0, name, "lightgbm", "m1")], "v double, weather_model string, model_name string, ablation string")
+    path, csv = str(tmp_path / "p"), str(tmp_path / "c")
+    for name in ("gfs", "ecmwf_ifs", "gfs"):
+        TB.write_predictions(rows(name), path, csv)
+    assert sorted(r["weather_model"] for r in TB.scan_predictions(spark, path).collect()) == ["ecmwf_ifs", "gfs"]
+    assert spark.read.option("header", True).csv(csv).count() == 2
+
+
+def test_shared_folder_rules():
+    from pluvian.session import scratch_or_named
+    assert scratch_or_named("s3a://x/y", "spark://h:7077") == "s3a://x/y" and scratch_or_named(None, "local[4]")
+    for master in ("spark://h:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="shared folder"):
+            scratch_or_named(None, master)
+
+
 def test_unknown_header_fails(spark, tmp_path):
     (tmp_path / "x.csv").write_text("foo,bar\n1,2\n")
     with pytest.raises(Exception, match="unrecognised telemetry header"):
@@ -97,13 +137,14 @@ def test_lead_json(spark, tmp_path):
 
 
 def test_prediction_files_and_tags(spark, tmp_path):
-    df = spark.createDataFrame([(1.0, "hurdle", "m1"), (2.0, "gbt", "m3")], "corrected_rain double, model_name string, ablation string")
+    df = spark.createDataFrame([(1.0, "gfs", "hurdle", "m1"), (2.0, "gfs", "gbt", "m3")], "corrected_rain double, weather_model string, model_name string, ablation string")
     TB.write_predictions(df, str(tmp_path / "p"), str(tmp_path / "c"))
     assert TB.scan_predictions(spark, str(tmp_path / "p")).count() == 2
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
-    m, a = FS.prediction_tags(F.col("p"), ["lightgbm", "hurdle"])
-    row = spark.createDataFrame([("x/ecmwf_ifs_hurdle_m2_pred.parquet",)], "p string").select(m.alias("m"), a.alias("a")).first()
-    assert (row["m"], row["a"]) == ("hurdle", "m2")
+    w, m, a = FS.prediction_tags(F.col("p"), ["lightgbm", "hurdle"])
+    rows = spark.createDataFrame([("x/ecmwf_ifs_hurdle_m2_pred.parquet",), ("x/ncep_gfs/lightgbm_m1_pred.parquet",)], "p string")
+    got = {(r["w"], r["m"], r["a"]) for r in rows.select(w.alias("w"), m.alias("m"), a.alias("a")).collect()}
+    assert got == {("ecmwf_ifs", "hurdle", "m2"), ("ncep_gfs", "lightgbm", "m1")}
 
 
 def test_features_scan_pushes_the_year(spark, tmp_path):

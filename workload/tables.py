@@ -241,8 +241,9 @@ def hourly_json(spark, sf_dir):
 FEATURES = ["nwp_rain_raw", "lead_time_hours", "gfs", "month"]
 
 
-def small(spark):
-    return M.TreeSettings(rounds=4, depth=3, step=0.1, bins=32, partitions=spark.sparkContext.defaultParallelism)
+def settings(spark, rounds=100):
+    """The defaults, with the training rows spread over the cores."""
+    return M.TreeSettings(rounds=rounds, partitions=spark.sparkContext.defaultParallelism)
 
 
 def training_table(spark, sf_dir):
@@ -254,24 +255,34 @@ def training_table(spark, sf_dir):
     return P.train_validation_split(rows, ["l_orderkey"], val_year=2000)
 
 
-KEEP = ["l_orderkey", "l_partkey", "station_id", "l_linenumber", "predicted_bias"]
+VALIDATION = f"""WITH {oracle_view('v_forecast_obs')} SELECT l_orderkey, l_partkey, station_id, l_linenumber, true AS finite, true AS corrected_ok, true AS beats_raw{{more}} FROM v_forecast_obs WHERE year(valid_time) = 2000"""
 
 
-@REG.add("gbt_l1")
+def facts(scored, *more):
+    """Keys of the validation rows, and what must hold: finite residuals, corrected rain from 0 up, a lower squared error than raw."""
+    bias, raw, obs = (F.col(c).cast("double") for c in ("predicted_bias", "nwp_rain_raw", "observed_rain"))
+    scored = scored.withColumn("_c", S.corrected_rain(raw, bias))
+    error = scored.agg((F.avg((F.col("_c") - obs) * (F.col("_c") - obs)) < F.avg((raw - obs) * (raw - obs))).alias("b"))
+    return scored.select("l_orderkey", "l_partkey", "station_id", "l_linenumber", S.finite("predicted_bias").alias("finite"),
+                         (F.col("_c") >= 0).alias("corrected_ok"), error.select("b").scalar().alias("beats_raw"), *more)
+
+
+@REG.add("gbt_l1", VALIDATION.format(more=""))
 def gbt_l1(spark, sf_dir):
-    return M.boosted_residual(training_table(spark, sf_dir), FEATURES, "absolute", settings=small(spark))[1].select(*KEEP)
+    return facts(M.boosted_residual(training_table(spark, sf_dir), FEATURES, "absolute", settings=settings(spark))[1])
 
 
-@REG.add("gbt_l2")
+@REG.add("gbt_l2", VALIDATION.format(more=""))
 def gbt_l2(spark, sf_dir):
-    return M.boosted_residual(training_table(spark, sf_dir), FEATURES, "squared", settings=small(spark))[1].select(*KEEP)
+    return facts(M.boosted_residual(training_table(spark, sf_dir), FEATURES, "squared", settings=settings(spark))[1])
 
 
-@REG.add("hurdle")
+@REG.add("hurdle", VALIDATION.format(more=""))
 def hurdle(spark, sf_dir):
-    return M.hurdle(training_table(spark, sf_dir), FEATURES, settings=small(spark))[1].select(*KEEP)
+    return facts(M.hurdle(training_table(spark, sf_dir), FEATURES, settings=settings(spark, 80))[1])
 
 
-@REG.add("quantile_forest")
+@REG.add("quantile_forest", VALIDATION.format(more=", true AS ordered"))
 def quantile_forest(spark, sf_dir):
-    return M.quantile_forest(training_table(spark, sf_dir), FEATURES, trees=8, depth=4, settings=small(spark))[1].select(*KEEP, "q10", "q50", "q90", "q95")
+    scored = M.quantile_forest(training_table(spark, sf_dir), FEATURES, settings=settings(spark))[1]
+    return facts(scored, ((F.col("q10") <= F.col("q50")) & (F.col("q50") <= F.col("q90")) & (F.col("q90") <= F.col("q95"))).alias("ordered"))

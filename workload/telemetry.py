@@ -83,13 +83,13 @@ def hourly_frame(spark, sf_dir):
     return out.withColumn("value", F.col("value").cast("double"))
 
 
-MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)][:80]
+MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
 MCOLS = ", ".join(f"max(CASE WHEN strftime(o_orderdate, '%Y-%m') = '{m}' THEN 1 ELSE 0 END) AS m_{m.replace('-', '_')}" for m in MONTHS)
 
 
 @REG.add("presence_matrix", f"""WITH p AS (SELECT CAST(l_suppkey AS VARCHAR) AS station_code, 'catalog_' || l_returnflag AS catalog, {MCOLS},
   count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
- SELECT * EXCLUDE (n), CAST(n AS INT) AS months_present_count, {r('round_even(n * 100.0 / 80, 2)', 'presence_rate_pct')} FROM p""")
+ SELECT * EXCLUDE (n), CAST(n AS INT) AS months_present_count, {r('round_even(n * 100.0 / 84, 2)', 'presence_rate_pct')} FROM p""")
 def presence_matrix(spark, sf_dir):
     return Q.presence_matrix(presence_rows(spark, sf_dir), MONTHS)
 
@@ -103,8 +103,8 @@ def presence_rows(spark, sf_dir):
 
 @REG.add("continuity_summary", """WITH p AS (SELECT l_suppkey, 'catalog_' || l_returnflag AS catalog, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS n
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
- SELECT catalog, count(*) AS stations, count(*) FILTER (n = 80) AS stations_all_months, """
-         + r("round_even(count(*) FILTER (n = 80) * 100.0 / count(*), 2)", "continuity_pct") + " FROM p GROUP BY catalog")
+ SELECT catalog, count(*) AS stations, count(*) FILTER (n = 84) AS stations_all_months, """
+         + r("round_even(count(*) FILTER (n = 84) * 100.0 / count(*), 2)", "continuity_pct") + " FROM p GROUP BY catalog")
 def continuity_summary(spark, sf_dir):
     return Q.continuity_summary(Q.presence_matrix(presence_rows(spark, sf_dir), MONTHS), len(MONTHS))
 
@@ -224,7 +224,7 @@ def observations_at_runs(spark, sf_dir):
     return T.observations_at_runs(run_times(spark, sf_dir), view(spark, sf_dir, "v_obs"))
 
 
-LABEL_REQ = """q AS (SELECT DISTINCT CAST(user_id % 20 AS VARCHAR) AS station_code, date_trunc('hour', ts) AS valid_time, CAST(CASE WHEN user_id % 3 = 0 THEN 6 ELSE 1 END AS INT) AS step_hours FROM events)"""
+LABEL_REQ = """q AS (SELECT DISTINCT CAST(user_id % (SELECT count(*) FROM supplier) AS VARCHAR) AS station_code, date_trunc('hour', ts) AS valid_time, CAST(CASE WHEN user_id % 3 = 0 THEN 6 ELSE 1 END AS INT) AS step_hours FROM events)"""
 
 
 @REG.add("interval_labels", f"""WITH {oracle_view('v_obs')}, {LABEL_REQ}, rain AS (SELECT * FROM v_obs WHERE variable_type = 'hourly_rain'),
@@ -234,8 +234,9 @@ SELECT station_code, valid_time, step_hours, {r('CASE WHEN step_hours = 1 THEN a
  count(*) AS n_obs FROM j GROUP BY station_code, valid_time, step_hours""")
 def interval_labels(spark, sf_dir):
     from workload.views import table
+    gauges = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     asks = table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 20).cast("string").alias("station_code"), S.floor_to("ts", 3600).alias("valid_time"),
+        (F.col("user_id") % gauges).cast("string").alias("station_code"), S.floor_to("ts", 3600).alias("valid_time"),
         F.when(F.col("user_id") % 3 == 0, 6).otherwise(1).cast("int").alias("step_hours"))
     rain = view(spark, sf_dir, "v_obs").where("variable_type = 'hourly_rain'")
     return T.interval_labels(asks, rain, tiebreak=["event_id"])

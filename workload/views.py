@@ -44,15 +44,15 @@ SELECT l_orderkey, l_partkey, l_suppkey AS station_id, l_linenumber, (l_suppkey
        (l_partkey % 5) = 0 AS is_holdout,
        o_orderdate AS run_time, CAST((l_partkey % 24) + 1 AS INT) AS lead_time,
        o_orderdate + INTERVAL '1' HOUR * CAST((l_partkey % 24) + 1 AS INT) AS valid_time,
-       CASE WHEN l_linenumber % 3 = 0 THEN 0.0e0 ELSE l_quantity * 0.5e0 END AS observed_rain,
-       greatest(0.0e0, l_quantity * 0.5e0 + (l_tax - 0.04e0) * 200.0e0) AS nwp_raw_rain,
-       greatest(0.0e0, l_quantity * 0.5e0 + (l_discount - 0.05e0) * 180.0e0) AS gfs_raw_pred,
-       greatest(0.0e0, l_quantity * 0.5e0 + (l_tax - 0.04e0) * 150.0e0) AS lightgbm_m1_pred,
-       greatest(0.0e0, l_quantity * 0.5e0 + (l_tax - 0.04e0) * 160.0e0) AS lightgbm_m2_pred,
-       greatest(0.0e0, l_quantity * 0.5e0 + (l_tax - 0.04e0) * 100.0e0) AS lightgbm_m3_pred,
-       greatest(0.0e0, l_quantity * 0.45e0 + (l_discount - 0.05e0) * 110.0e0) AS hurdle_m1_pred,
-       greatest(0.0e0, l_quantity * 0.45e0 + (l_discount - 0.05e0) * 120.0e0) AS hurdle_m2_pred,
-       greatest(0.0e0, l_quantity * 0.45e0 + (l_discount - 0.05e0) * 70.0e0) AS hurdle_m3_pred
+       CASE WHEN l_linenumber % 3 = 0 THEN 0.0e0 ELSE l_quantity * 0.5000731e0 END AS observed_rain,
+       greatest(0.0e0, l_quantity * 0.5000379e0 + (l_tax - 0.04e0) * 200.0137e0) AS nwp_raw_rain,
+       greatest(0.0e0, l_quantity * 0.5000113e0 + (l_discount - 0.05e0) * 180.0291e0) AS gfs_raw_pred,
+       greatest(0.0e0, l_quantity * 0.5000173e0 + (l_tax - 0.04e0) * 150.0173e0) AS lightgbm_m1_pred,
+       greatest(0.0e0, l_quantity * 0.5000197e0 + (l_tax - 0.04e0) * 160.0119e0) AS lightgbm_m2_pred,
+       greatest(0.0e0, l_quantity * 0.5000233e0 + (l_tax - 0.04e0) * 100.0237e0) AS lightgbm_m3_pred,
+       greatest(0.0e0, l_quantity * 0.4500371e0 + (l_discount - 0.05e0) * 110.0311e0) AS hurdle_m1_pred,
+       greatest(0.0e0, l_quantity * 0.4500397e0 + (l_discount - 0.05e0) * 120.0133e0) AS hurdle_m2_pred,
+       greatest(0.0e0, l_quantity * 0.4500419e0 + (l_discount - 0.05e0) * 70.0351e0) AS hurdle_m3_pred
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
 
@@ -82,7 +82,7 @@ FROM (SELECT station_code, event_id, ts, value, explode(array('hourly_rain', 'pr
 
 # gauge readings: local wall time, one gauge per supplier
 VIEWS["v_obs"] = """
-SELECT CAST(user_id % 20 AS STRING) AS station_code, event_id, ts AS observed_at,
+SELECT CAST(user_id % (SELECT count(*) FROM supplier) AS STRING) AS station_code, event_id, ts AS observed_at,
        CASE event_type WHEN 'click' THEN 'hourly_rain' WHEN 'view' THEN 'hourly_rain' WHEN 'error' THEN 'pressure'
                        WHEN 'signup' THEN 'pressure' ELSE 'humidity' END AS variable_type,
        CASE event_type WHEN 'click' THEN value * 0.1e0 WHEN 'view' THEN value * 0.1e0
