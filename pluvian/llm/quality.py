@@ -121,7 +121,7 @@ def binomial_cdf(k: Column, n: Column, p: float, terms: int = 5000) -> Column:
 
     def closed(a: Column) -> Column:
         r = ratio(F.greatest(k - terms - 1, F.lit(0.0)))
-        return a["s"] + a["t"] * r / (1 - r)
+        return a["s"] + F.coalesce(F.try_divide(a["t"] * r, 1 - r), F.lit(0.0))
     total = let(F.aggregate(steps, start, add), closed)
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(log_top) * total)
 

@@ -54,7 +54,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("url", r"/([0-9]{1,18})(?:/|\.html)?(?:[?#]|$)", 1)
     shown = pages.select("url", F.when(number != "", number).cast("bigint").alias("doc_id"))
     marks = shown.join(labels, "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return filter_urls(pages, marks, URL_RULES)
+    return filter_urls(pages, marks, URL_RULES).withColumn("bad_rate", F.round("bad_rate", 6))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

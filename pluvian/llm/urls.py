@@ -78,7 +78,7 @@ def templates(paths: DataFrame, many: int = 20, rare: float = 3.0, z: float = 1.
         node = child.groupBy("host", "template").agg(
             F.count(F.when(fixed, 1)).alias("_kinds"), F.sum(F.when(fixed, F.col("n"))).alias("_n"),
             F.sum("labelled").alias("_labelled"), F.sum("bad").alias("_bad"))
-        rate = F.col("_bad") / F.col("_labelled")
+        rate = F.try_divide("_bad", "_labelled")
         spread = F.sqrt(F.col("labelled") * rate * (1 - rate))
         alike = (F.abs(F.col("bad") - F.col("labelled") * rate) <= z * spread) | (F.col("_labelled") == 0)
         crowded = (F.col("_kinds") > many) & (F.col("_n") < rare * F.col("_kinds"))
