@@ -14,8 +14,6 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pluvian.llm.columns import own_names
-
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|"
                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -281,7 +279,7 @@ def extract_main_text(pages: DataFrame, keep: list[str], html: str = "html") ->
     breaks off counts as it stands; repeated rows give equal texts, and an empty table no rows. Nothing depends on the
     length of a page. Columns beyond the named ones are ignored; a kept column may not be called `text`.
     """
-    rows = own_names(pages, *keep).select("*", pages[f"`{html}`"].alias("_html"))
+    rows = pages.select(*[pages[f"`{k}`"] for k in keep], pages[f"`{html}`"].alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

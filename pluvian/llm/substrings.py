@@ -140,7 +140,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     rows = own_names(docs, key, text).toDF("key", "text").select("key", F.xxhash64("text").alias("h1"), "text")
     halves = _exploded(written(_halves(rows, length // 2, length)), "first", "last", "gram", "stretch")
-    repeated = halves.groupBy("gram").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("gram")
+    # sums are written before they are joined, so that Spark may split the rows of a very common half
+    repeated = written(halves.groupBy("gram").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b")
+                       .select("gram"))
     shared = written(halves.join(repeated, "gram"))
 
     earliest = written(shared.groupBy("gram", "stretch").agg(F.min("key").alias("least")))
@@ -152,8 +154,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     met = _packed(rows).join(open_, ["key", "h1"]).select("key", "h1", "body", "open")
     windows = _exploded(written(_windows(met, length)), "start", "gram", "hash")
-    origin = (windows.groupBy("gram", "hash").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-              .where("least < most").drop("most"))
+    origin = written(windows.groupBy("gram", "hash").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+                     .where("least < most").drop("most"))
     single = windows.join(origin, ["gram", "hash"]).where(F.col("key") > F.col("least")).select(
         "key", "h1", F.col("start").alias("first"), F.col("start").alias("last"))
     gone = covered.unionByName(single).groupBy("key", "h1").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
