@@ -43,9 +43,13 @@ def prediction_tags(path: Column, models: Sequence[str], ablations: Sequence[str
             found(name, pattern, 1), found(name, pattern, 2))
 
 
-def scan_runs(spark: SparkSession, path: str, schema: T.StructType | None = None, tags: bool = False) -> DataFrame:
-    """Every Parquet file below a folder. With `tags`, run time and origin of the file name are added."""
-    reader = spark.read.option("recursiveFileLookup", True)
+def scan_runs(spark: SparkSession, path: str, schema: T.StructType | None = None, tags: bool = False,
+              recursive: bool = True) -> DataFrame:
+    """Every Parquet file below a folder. With `tags`, run time and origin of the file name are added.
+
+    `recursive=False` reads the layout of `write_runs`, whose folders name origin and run date.
+    """
+    reader = spark.read.option("recursiveFileLookup", recursive)
     df = (reader.schema(schema) if schema else reader).parquet(path)
     return nan_to_null(run_tags(df) if tags else df)
 

@@ -36,13 +36,13 @@ NEAR = ", ".join(f"{r(f'coalesce(n_{v}.x, {d})', f'nearest_{v}_val')}, {r(f'coal
 
 
 @REG.add("feature_matrix", f"""{PAIRS}, {oracle_view('v_obs')}, {FORECAST}, rt AS (SELECT DISTINCT run_time FROM fc),
- lo AS (SELECT run_time, station_code, variable_type, value, row_number() OVER (PARTITION BY run_time, station_code, variable_type ORDER BY observed_at DESC) AS k
+ lo AS (SELECT run_time, station_code, variable_type, value, row_number() OVER (PARTITION BY run_time, station_code, variable_type ORDER BY observed_at DESC, value DESC) AS k
   FROM rt JOIN v_obs ON observed_at - INTERVAL 7 HOUR <= run_time AND observed_at - INTERVAL 7 HOUR >= run_time - INTERVAL 3 HOUR),
  ob AS (SELECT run_time, station_code, max(value) FILTER (variable_type = 'hourly_rain') AS rain, max(value) FILTER (variable_type = 'pressure') AS pressure,
   max(value) FILTER (variable_type = 'humidity') AS humidity FROM lo WHERE k = 1 GROUP BY ALL),
  nr AS (SELECT run_time, cell_id, {near_sql('rain')}, {near_sql('pressure')}, {near_sql('humidity')}, avg(pressure) FILTER (dist > 20.0) AS p4 FROM p JOIN ob USING (station_code) GROUP BY run_time, cell_id),
  ls AS (SELECT cell_id, arg_min(station_code, struct_pack(a := d, b := station_code)) AS sc FROM (SELECT cell_id, station_code, sqrt((sx-gx)*(sx-gx)+(sy-gy)*(sy-gy)) AS d FROM g, s) WHERE d <= 5.0 GROUP BY cell_id),
- lab AS (SELECT fc.run_time, fc.cell_id, lead_time_hours, arg_max(value, observed_at) AS o FROM fc JOIN ls USING (cell_id) JOIN v_obs v ON v.station_code = ls.sc AND variable_type = 'hourly_rain'
+ lab AS (SELECT fc.run_time, fc.cell_id, lead_time_hours, arg_max(value, struct_pack(a := observed_at, b := value)) AS o FROM fc JOIN ls USING (cell_id) JOIN v_obs v ON v.station_code = ls.sc AND variable_type = 'hourly_rain'
   AND observed_at - INTERVAL 7 HOUR > run_time + lead_time_hours * INTERVAL 1 HOUR - INTERVAL 1 HOUR AND observed_at - INTERVAL 7 HOUR <= run_time + lead_time_hours * INTERVAL 1 HOUR + INTERVAL 15 MINUTE GROUP BY ALL),
  te AS (SELECT cell_id, arg_min(elevation_m, power(lat-latitude, 2)+power(lon-longitude, 2)) AS elevation_m FROM g, s GROUP BY cell_id)
 SELECT fc.run_time, CAST(fc.cell_id AS VARCHAR) AS grid_id, fc.lead_time_hours, {r('fc.tp', 'nwp_rain_raw')}, {r('te.elevation_m', 'elevation_m')}, {NEAR}, {r('coalesce(p4, n_pressure.x, 1010.0)', 'pressure_mean_20_50km')}, {r('lab.o', 'observed_rain')}

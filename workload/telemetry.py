@@ -216,7 +216,7 @@ def asof_lookback(spark, sf_dir):
 
 
 @REG.add("observations_at_runs", f"""WITH {oracle_view('v_obs')}, {RUN_TIMES}, j AS (SELECT run_time, station_code, variable_type, value,
-  row_number() OVER (PARTITION BY run_time, station_code, variable_type ORDER BY observed_at DESC) AS k
+  row_number() OVER (PARTITION BY run_time, station_code, variable_type ORDER BY observed_at DESC, value DESC) AS k
   FROM rt JOIN v_obs ON observed_at - INTERVAL 7 HOUR <= run_time AND observed_at - INTERVAL 7 HOUR >= run_time - INTERVAL 3 HOUR)
 SELECT run_time, station_code, {r("max(value) FILTER (variable_type = 'hourly_rain')", 'rain')}, {r("max(value) FILTER (variable_type = 'pressure')", 'pressure')},
  {r("max(value) FILTER (variable_type = 'humidity')", 'humidity')} FROM j WHERE k = 1 GROUP BY run_time, station_code""")

@@ -44,15 +44,15 @@ SELECT l_orderkey, l_partkey, l_suppkey AS station_id, l_linenumber, (l_suppkey
        (l_partkey % 5) = 0 AS is_holdout,
        o_orderdate AS run_time, CAST((l_partkey % 24) + 1 AS INT) AS lead_time,
        o_orderdate + INTERVAL '1' HOUR * CAST((l_partkey % 24) + 1 AS INT) AS valid_time,
-       CASE WHEN l_linenumber % 3 = 0 THEN 0.0e0 ELSE l_quantity * 0.5000731e0 END AS observed_rain,
-       greatest(0.0e0, l_quantity * 0.5000379e0 + (l_tax - 0.04e0) * 200.0137e0) AS nwp_raw_rain,
-       greatest(0.0e0, l_quantity * 0.5000113e0 + (l_discount - 0.05e0) * 180.0291e0) AS gfs_raw_pred,
-       greatest(0.0e0, l_quantity * 0.5000173e0 + (l_tax - 0.04e0) * 150.0173e0) AS lightgbm_m1_pred,
-       greatest(0.0e0, l_quantity * 0.5000197e0 + (l_tax - 0.04e0) * 160.0119e0) AS lightgbm_m2_pred,
-       greatest(0.0e0, l_quantity * 0.5000233e0 + (l_tax - 0.04e0) * 100.0237e0) AS lightgbm_m3_pred,
-       greatest(0.0e0, l_quantity * 0.4500371e0 + (l_discount - 0.05e0) * 110.0311e0) AS hurdle_m1_pred,
-       greatest(0.0e0, l_quantity * 0.4500397e0 + (l_discount - 0.05e0) * 120.0133e0) AS hurdle_m2_pred,
-       greatest(0.0e0, l_quantity * 0.4500419e0 + (l_discount - 0.05e0) * 70.0351e0) AS hurdle_m3_pred
+       CASE WHEN l_linenumber % 3 = 0 THEN 0.0e0 ELSE l_quantity * 0.5000731317e0 END AS observed_rain,
+       greatest(0.0e0, l_quantity * 0.5000379171e0 + (l_tax - 0.04e0) * 200.0137913e0) AS nwp_raw_rain,
+       greatest(0.0e0, l_quantity * 0.5000113719e0 + (l_discount - 0.05e0) * 180.0291373e0) AS gfs_raw_pred,
+       greatest(0.0e0, l_quantity * 0.5000173939e0 + (l_tax - 0.04e0) * 150.0173177e0) AS lightgbm_m1_pred,
+       greatest(0.0e0, l_quantity * 0.5000197351e0 + (l_tax - 0.04e0) * 160.0119731e0) AS lightgbm_m2_pred,
+       greatest(0.0e0, l_quantity * 0.5000233917e0 + (l_tax - 0.04e0) * 100.0237319e0) AS lightgbm_m3_pred,
+       greatest(0.0e0, l_quantity * 0.4500371713e0 + (l_discount - 0.05e0) * 110.0311937e0) AS hurdle_m1_pred,
+       greatest(0.0e0, l_quantity * 0.4500397171e0 + (l_discount - 0.05e0) * 120.0133379e0) AS hurdle_m2_pred,
+       greatest(0.0e0, l_quantity * 0.4500419939e0 + (l_discount - 0.05e0) * 70.0351173e0) AS hurdle_m3_pred
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
 
