@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pluvian.functions.skew import salted_join
 from pluvian.llm.columns import own_names, words
 from pluvian.session import written
 
 #: Bits of the hash, read `DIGIT_BITS` at a time from the top.
 HASH_BITS, DIGIT_BITS = 60, 12
+#: Most sources whose thresholds are sent to every task, a name and four numbers each.
+MOST_SENT = 10_000
 
 
 def order_hash(key: Column, text: Column, seed: int) -> Column:
@@ -24,6 +27,11 @@ def order_hash(key: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
+def _named(source: Column) -> Column:
+    """A join key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def weighted(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     """`weight` per source: `weights` dealt to the sources by code point, null last, again and again."""
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -103,10 +111,12 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     budgets = plan.select("source", F.col("full").alias("level"),
                           (F.col("target") - F.col("full") * F.col("source_size")).alias("budget"))
     cut = thresholds(units.select("source", "size", "h"), budgets).select(F.col("source").alias("_source"), "threshold")
-    per = plan.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").select(
-        F.col("source").alias("_source"), "source_size", "target", "full",
-        F.coalesce("threshold", F.lit(-1)).alias("threshold"))
+    per = written(plan.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").select(
+        _named(F.col("source")).alias("_name"), "source_size", "target", "full",
+        F.coalesce("threshold", F.lit(-1)).alias("threshold")))
+    rows = units.withColumn("_name", _named(F.col("source")))
+    # a few sources go to every task, so that documents stay where they are; a long list of sources is joined by salted key
+    taken = (rows.join(F.broadcast(per), "_name") if per.count() <= MOST_SENT else salted_join(rows, per, ["_name"]))
     copies = F.col("full") + (F.col("h") <= F.col("threshold")).cast("bigint")
-    return (units.join(per, F.col("source").eqNullSafe(F.col("_source")))
-            .select(F.col("key").alias(key), "size", "source", "source_size", "target", copies.alias("copies"),
-                    (copies * F.col("size")).alias("taken"), *carry))
+    return taken.select(F.col("key").alias(key), "size", "source", "source_size", "target", copies.alias("copies"),
+                        (copies * F.col("size")).alias("taken"), *carry)

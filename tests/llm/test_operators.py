@@ -62,7 +62,7 @@ def test_scores_of_odd_rows(spark):
 
 
 # ---- 2 ----
-def test_mix_of_odd_sources(spark):
+def test_mix_of_odd_sources(spark, monkeypatch):
     rows = [(i, "w " * (i % 7), s) for i, s in enumerate([None, "a", "b", "Z", "é", "empty"] * 60)]
     rows = [(i, "" if s == "empty" else t, s) for i, t, s in rows] + [(None, "x y", "a"), (None, None, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, body string, src string").withColumn("source", F.lit(1)).withColumn("h", F.lit(2))
@@ -77,6 +77,9 @@ def test_mix_of_odd_sources(spark):
     again = mixing.mix_sources(df.repartition(5), text="body", source="src").collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert mixing.mix_sources(df.where("false"), text="body", source="src").count() == 0
+    monkeypatch.setattr(mixing, "MOST_SENT", 1)
+    salted = mixing.mix_sources(df, text="body", source="src").collect()
+    assert sorted(map(str, salted)) == sorted(map(str, got))
 
 
 def test_thresholds_are_nested(spark):
