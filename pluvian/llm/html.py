@@ -33,16 +33,17 @@ DROPPED = frozenset("script style noscript iframe template svg canvas object emb
                     "input dialog menu head title audio video map xmp noembed noframes label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 #: Words of class and id names that mark what is not the article, and what may be it.
-UNLIKELY = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|cookies?|"
-                      r"consent|gdpr|notices?|notification|popup|modal|overlay|comments?|commentlist|comment-?list|disqus|respond|"
-                      r"replies|discussion|sidebar|side-?bar|side|aside|widgets?|related|recommended|share|sharing|social|"
-                      r"newsletter|subscribe|subscription|signup|login|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|"
-                      r"footer|masthead|topbar|header|site-?header|page-?header|toolbar|skip|outbrain|taboola|tags|toc|"
-                      r"copyright|legal|disclaimer)(?=$|[-_\s])", re.I)
-NEVER = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|sponsor(?:ed|s)?|promo|cookies?|comments?|sidebar|related|teaser|newsletter)"
-                   r"(?=$|[-_\s])", re.I)
+UNLIKELY = re.compile(r"(?:^|[-_\s])(?:ads?|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner[a-z]*|cookie[a-z]*|consent[a-z]*|gdpr|"
+                      r"notices?|noticebar|notification[a-z]*|popup[a-z]*|modal|overlay|comment[a-z]*|disqus[a-z]*|respond|replies|"
+                      r"discussion|side-?bar[a-z]*|side|aside|widgets?|related[a-z]*|recommend[a-z]*|shar(?:e|ing)[a-z]*|social[a-z]*|"
+                      r"newsletter[a-z]*|subscri[a-z]*|signup|login|menu[a-z]*|nav|navbar|navigation|breadcrumb[a-z]*|pagination|"
+                      r"pager|footer[a-z]*|masthead|topbar|header[a-z]*|toolbar|skip|outbrain|taboola|tags|toc|copyright|legal|"
+                      r"disclaimer)(?=$|[-_\s])", re.I)
+NEVER = re.compile(r"(?:^|[-_\s])(?:ads?|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|cookie[a-z]*|comment[a-z]*|side-?bar[a-z]*|"
+                   r"related[a-z]*|teaser[a-z]*|newsletter[a-z]*)(?=$|[-_\s])", re.I)
 LIKELY = re.compile(r"(?:^|[-_\s])(?:article|articlebody|article-?body|body|content|entry|main|post|story|text|page|prose)"
                     r"(?=$|[-_\s])", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PARAGRAPH = frozenset("p pre td blockquote li dd h2 h3 h4 h5 h6".split())
 
 
@@ -61,7 +62,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 def _judge(tag: str, attrs: dict[str, str]) -> tuple[bool, float]:
     """Whether an element is never part of an article, and the points it starts with."""
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
+    names = CAMEL.sub("-", f"{attrs.get('class', '')} {attrs.get('id', '')}".strip())
     if tag in DROPPED or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True, 0.0
     if re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
@@ -236,7 +237,8 @@ def main_text(page: str | None) -> str:
     for near in best.parent.children:
         if isinstance(near, str) or near.dropped:
             continue
-        if near is best or value.get(id(near), 0.0) >= limit or _lone_paragraph(near):
+        title = near.tag == "h1" and not chosen  # a heading right above its article
+        if title or near is best or value.get(id(near), 0.0) >= limit or _lone_paragraph(near):
             chosen.extend(blocks(near))
     return "\n\n".join(chosen)
 
