@@ -43,6 +43,7 @@ NEVER = re.compile(r"(?:^|[-_\s])(?:ads?|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|
                    r"related[a-z]*|teaser[a-z]*|newsletter[a-z]*)(?=$|[-_\s])", re.I)
 LIKELY = re.compile(r"(?:^|[-_\s])(?:article|articlebody|article-?body|body|content|entry|main|post|story|text|page|prose)"
                     r"(?=$|[-_\s])", re.I)
+HEAD = re.compile(r"(?:^|[-_\s])(?:article|post|entry|story|content)[-_]header(?=$|[-_\s])", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PARAGRAPH = frozenset("p pre td blockquote li dd h2 h3 h4 h5 h6".split())
 
@@ -68,9 +69,9 @@ def _judge(tag: str, attrs: dict[str, str]) -> tuple[bool, float]:
     if re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
         return True, 0.0
     if names and tag not in ("html", "body", "main"):
-        # a mixed name such as "article-header" counts as the article's, unless it names what never is
-        mixed = tag in ("section", "div", "article") and LIKELY.search(names) and not NEVER.search(names)
-        if tag == "article" and NEVER.search(names) or tag != "article" and UNLIKELY.search(names) and not mixed:
+        found = NEVER.search(names) if tag == "article" else UNLIKELY.search(names)
+        # "article-header" is the head of the article, unlike "page-header"
+        if found and not (HEAD.search(names) and not NEVER.search(names)):
             return True, 0.0
     points = {"article": 25.0, "main": 25.0, "section": 3.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0}.get(tag, 0.0)
     return False, points + (25.0 if names and LIKELY.search(names) else 0.0)
@@ -120,6 +121,11 @@ def tree(page: str) -> Node:
         dropped, points = _judge(tag, _attributes(m[3]))
         if tag == "header":
             dropped = dropped or not any(x in ("article", "main") for x in _open(node))
+        if tag in ("article", "main") and not dropped:
+            up = node  # what frames an article is no sidebar, whatever its name says
+            while up is not None:
+                up.dropped = up.dropped and up.tag not in ("div", "section", "form")
+                up = up.parent
         child = Node(tag, node, dropped, points)
         node.children.append(child)
         if tag in RAW:
@@ -237,7 +243,7 @@ def main_text(page: str | None) -> str:
     for near in best.parent.children:
         if isinstance(near, str) or near.dropped:
             continue
-        title = near.tag == "h1" and not chosen  # a heading right above its article
+        title = not chosen and near.chars < 300 and (near.tag == "h1" or _holds(near, "h1"))  # right above its article
         if title or near is best or value.get(id(near), 0.0) >= limit or _lone_paragraph(near):
             chosen.extend(blocks(near))
     return "\n\n".join(chosen)
@@ -265,6 +271,16 @@ def _texts(node: Node) -> Iterator[str]:
                 stack.append(c)
 
 
+def _holds(node: Node, tag: str) -> bool:
+    stack = [node]
+    while stack:
+        inner = [c for c in stack.pop().children if isinstance(c, Node) and not c.dropped]
+        if any(c.tag == tag for c in inner):
+            return True
+        stack.extend(inner)
+    return False
+
+
 def _lone_paragraph(node: Node) -> bool:
     """A paragraph beside the best container that reads as text: long with few links, or a short sentence without any."""
     if node.tag != "p" or not node.chars:

@@ -333,6 +333,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_main_text_of_a_page():
     assert html.main_text(PAGE) == ("Title & more\n\nFirst, second, third.\n\nA bold word next <line>\n\none\n\ntwo\n\n"
                                     "Quoted, at length, with commas.")
+    assert html.main_text("""<body><div class="siteHeader">Menu, of, the, site</div><div class="post-header"><h1>T</h1></div>
+        <div class="content"><p>One, two, three.</p><p>Four.</p></div><div class="cookiebar"><p>We, use, cookies</p></div>
+        <div id="commentSection"><p>nice, very, much so, indeed</p></div><div class="pageFooter">f</div>""") == "T\n\nOne, two, three.\n\nFour."
+    assert html.main_text('<div class="has sidebar"><article><p>In, it.</p></article><div class="sidebar"><p>s, s, s, s</p></div></div>') == "In, it."
     assert html.main_text("<nav><a href=x>menu</a></nav><footer>f</footer>") == ""
     assert html.main_text("<article><p>cut off &am") == "cut off &am"
     assert html.main_text("<b>" * 3000 + "deep" + "<div>" * 3000 + "end").split()[-1] == "end"
