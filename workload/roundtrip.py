@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from pluvian.functions import scalars as S
 from pluvian.operators import columns as C
+from pluvian.operators import verify as V
+from pluvian.operators.deaccum import normalise_runs
 from pluvian.operators.guards import invalid_runs_of
 from pluvian.operators.spatial import attach_satellite, satellite_of_cell
 from pluvian.plans.features import attach_labels
@@ -16,6 +18,7 @@ from pluvian.sources import tables as TB
 from pluvian.sources import telemetry as TL
 from workload.assembly import FORECAST, forecast
 from workload.common import Registry, r
+from workload.telemetry import UNITS
 from workload.views import oracle_view, table, view
 
 REG = Registry()
@@ -170,3 +173,44 @@ def satellite_cells(spark, sf_dir):
     cells = view(spark, sf_dir, "v_grid").select(F.col("cell_id").cast("string").alias("grid_id"), "lat", "lon")
     out = attach_satellite(rows, satellite_of_cell(cells, satellite), satellite)
     return out.select("run_time", "grid_id", "lead_time_hours", "bt_mean_t0")
+
+
+# ---- raw runs to analysis-ready runs in one plan ----
+@REG.add("normalised_runs", f"""WITH {oracle_view('v_nwp')}, {oracle_view('v_station')}, {UNITS},
+ f AS (SELECT run_time, coalesce(median(tp) FILTER (tp > 0) < 0.05 AND max(tp) < 2.0 AND quantile_cont(tp, 0.95) FILTER (tp > 0) < 0.5, false) AS m,
+   avg(sp) > 2000 AS pa, avg(t2m) > 200 AS k FROM u JOIN v_station ON station_code = CAST(cell_id AS VARCHAR) GROUP BY run_time),
+ n AS (SELECT origin, run_time, lead_time_hours, latitude AS lat, longitude AS lon, 'G_' || CAST(round_even(latitude * 50.0, 0) AS BIGINT) || '_' || CAST(round_even(longitude * 50.0, 0) AS BIGINT) AS grid_id,
+   CASE WHEN m THEN tp * 1000.0 ELSE tp END AS tp, greatest(800.0, least(1050.0, CASE WHEN pa THEN sp / 100.0 ELSE sp END)) AS sp,
+   greatest(-10.0, least(50.0, CASE WHEN k THEN t2m - 273.15 ELSE t2m END)) AS t2m FROM u JOIN f USING (run_time) JOIN v_station ON station_code = CAST(cell_id AS VARCHAR)),
+ d AS (SELECT *, tp - lag(tp) OVER (PARTITION BY origin, run_time, grid_id ORDER BY lead_time_hours) AS df FROM n),
+ v AS (SELECT origin, run_time, sum(CASE WHEN df < -0.01 THEN 1 ELSE 0 END) / count(*) < 0.02 AND count(DISTINCT lead_time_hours) > 1 AS cum FROM d GROUP BY origin, run_time)
+SELECT origin, run_time, run_time + lead_time_hours * INTERVAL 1 HOUR AS valid_time, CAST(lead_time_hours AS INT) AS lead_time_hours, grid_id, {r('lat', 'lat')}, {r('lon', 'lon')},
+ {r('greatest(0.0, least(300.0, CASE WHEN cum THEN greatest(0.0, coalesce(df, tp)) ELSE tp END))', 'tp')}, {r('sp', 'sp')}, {r('t2m', 't2m')}, CAST(0.0 AS DOUBLE) AS cape FROM d JOIN v USING (origin, run_time)""")
+def normalised_runs(spark, sf_dir):
+    text = UNITS[UNITS.index("(") + 1:-1].replace("v_nwp", "{nwp}")
+    sites = view(spark, sf_dir, "v_station").select(F.col("station_code").cast("bigint").alias("cell_id"),
+                                                    F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    raw = (spark.sql(text, nwp=view(spark, sf_dir, "v_nwp")).join(sites, "cell_id")
+           .withColumn("valid_time", S.shift("run_time", hours=F.col("lead_time_hours"))).drop("lead_time_hours", "cell_id"))
+    return normalise_runs(raw).withColumn("lead_time_hours", F.col("lead_time_hours").cast("int"))
+
+
+# ---- prediction files of two models to a report table in one job ----
+REPORT = """SELECT model, ablation, lead_time, CAST(count(*) AS BIGINT) AS n, round(sqrt(avg((p - o) * (p - o))), 6) + 0.0 AS rmse, round(avg(abs(p - o)), 6) + 0.0 AS mae FROM l GROUP BY ALL"""
+
+
+@REG.add("prediction_reports", f"""WITH {oracle_view('v_forecast_obs')}, l AS (SELECT 'lightgbm' AS model, 'm1' AS ablation, lead_time, lightgbm_m1_pred AS p, observed_rain AS o FROM v_forecast_obs
+ UNION ALL SELECT 'hurdle', 'm2', lead_time, hurdle_m2_pred, observed_rain FROM v_forecast_obs) {REPORT}""")
+def prediction_reports(spark, sf_dir):
+    path, out = fresh_path(spark, "predictions"), fresh_path(spark, "reports")
+    rows = view(spark, sf_dir, "v_forecast_obs")
+    for model, ablation in (("lightgbm", "m1"), ("hurdle", "m2")):
+        TB.write_predictions(rows.select("lead_time", "observed_rain", "nwp_raw_rain", F.col(f"{model}_{ablation}_pred").alias("corrected_rain"),
+                                         F.lit("gfs").alias("weather_model"), F.lit(model).alias("model_name"), F.lit(ablation).alias("ablation")), path)
+    long = TB.scan_predictions(spark, path).select(
+        F.col("model_name").alias("model"), "ablation", "lead_time", F.col("observed_rain").alias("obs"),
+        F.col("corrected_rain").alias("pred"), F.col("nwp_raw_rain").alias("raw"))
+    cells = V.score_cells(long, ["model", "ablation", "lead_time"], [])
+    scores = V.continuous_columns()
+    TB.write_reports({"lead_time": cells.select("model", "ablation", "lead_time", "n", scores["rmse"].alias("rmse"), scores["mae"].alias("mae"))}, out)
+    return spark.read.option("header", True).schema("model string, ablation string, lead_time int, n bigint, rmse double, mae double").csv(f"{out}/lead_time")
