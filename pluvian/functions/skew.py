@@ -11,8 +11,8 @@ HOT_ROWS = 2_000_000
 
 
 def salted_join(big: DataFrame, other: DataFrame, on: list[str], how: str = "inner",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Equi join that splits every key holding more than `hot_rows` rows of `big`.
+                hot_rows: int | None = None) -> DataFrame:
+    """Equi join that splits every key holding more than `hot_rows` rows of `big` (HOT_ROWS by default).
 
     Keys are counted with a map-side combine; only keys above the limit survive, so that table has at most
     |big| / hot_rows rows. Rows of a hot key get a salt from all their columns, and the matching rows of `other` are
@@ -21,6 +21,7 @@ def salted_join(big: DataFrame, other: DataFrame, on: list[str], how: str = "inn
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
+    hot_rows = hot_rows or HOT_ROWS
     hot = (big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
            .select(*on, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts")))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
