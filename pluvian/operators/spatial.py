@@ -12,6 +12,7 @@ from pluvian.functions import constants as K
 from pluvian.functions.geo import in_land_mask, project, utm_forward, utm_inverse
 from pluvian.functions.scalars import grid_id
 from pluvian.functions.skew import HOT_ROWS, exact_quantiles, first_row, salted_join
+from pluvian.session import written
 
 
 def project_km(df: DataFrame, lat: str, lon: str, x: str = "x_km", y: str = "y_km") -> DataFrame:
@@ -78,8 +79,8 @@ def nearest_site(targets: DataFrame, sites: DataFrame, target_id: str, site_id:
     levels = max(1, math.ceil(math.log(extent / 8.0 / leaf, ratio)))
     bottom = max((v for v in range(levels + 1) if leaf * ratio ** v <= keyed), default=0)
     px, py = within(x, extent), within(y, extent)
-    points = first_row(sites.where(px.isNotNull() & py.isNotNull()).select(site_id, px.alias("_sx"), py.alias("_sy")),
-                       ["_sx", "_sy"], [F.col(site_id)])
+    points = written(first_row(sites.where(px.isNotNull() & py.isNotNull()).select(site_id, px.alias("_sx"), py.alias("_sy")),
+                               ["_sx", "_sy"], [F.col(site_id)]))
     places = targets.where(px.isNotNull() & py.isNotNull()).select(px.alias("_x"), py.alias("_y")).distinct()
 
     def key(level: int, cx: str = "_sx", cy: str = "_sy") -> Column:
@@ -88,8 +89,8 @@ def nearest_site(targets: DataFrame, sites: DataFrame, target_id: str, site_id:
                         F.floor(F.col(cy) / size).cast("bigint").alias("j"))
 
     # the corner of a cell's box falls into the same parent cell as its sites
-    cells = [points.groupBy(key(0).alias("cell")).agg(
-        F.min("_sx").alias("x0"), F.max("_sx").alias("x1"), F.min("_sy").alias("y0"), F.max("_sy").alias("y1"))]
+    cells = [written(points.groupBy(key(0).alias("cell")).agg(
+        F.min("_sx").alias("x0"), F.max("_sx").alias("x1"), F.min("_sy").alias("y0"), F.max("_sy").alias("y1")))]
     for level in range(1, levels + 1):
         cells.append(cells[-1].groupBy(key(level, "x0", "y0").alias("cell")).agg(
             F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")))
@@ -109,7 +110,8 @@ def nearest_site(targets: DataFrame, sites: DataFrame, target_id: str, site_id:
         return lower <= best * F.lit(1 + 1e-12) + F.lit(1e-18)  # a hair of slack keeps rounding from dropping the winner
 
     def prune_list(boxes: Column) -> Column:
-        return F.filter(boxes, lambda b: reachable(lower_bound(b), F.array_min(F.transform(boxes, guarantee))))
+        best = F.array_min(F.transform(boxes, guarantee))  # bound once, not anew for every box
+        return F.transform(F.array(best), lambda m: F.filter(boxes, lambda b: reachable(lower_bound(b), m)))[0]
 
     box = F.struct("cell", "x0", "x1", "y0", "y1")
     frontier = places.withColumn("_boxes", cells[levels].agg(F.collect_list(box).alias("l")).select("l").scalar())
@@ -119,14 +121,15 @@ def nearest_site(targets: DataFrame, sites: DataFrame, target_id: str, site_id:
                      .agg(F.map_from_entries(F.collect_list(F.struct("p", "l"))).alias("m")).select("m").scalar())
         frontier = frontier.withColumn("_kids", by_parent).select("_x", "_y", F.flatten(F.transform(
             "_boxes", lambda b: F.element_at(F.col("_kids"), b["cell"]))).alias("_boxes"))
-    frontier = frontier.select("_x", "_y", F.explode(prune_list(F.col("_boxes"))).alias("b")).select(
-        "_x", "_y", F.col("b.cell").alias("parent"))
+    # written level by level: a salted join reads it twice
+    frontier = written(frontier.select("_x", "_y", F.explode(prune_list(F.col("_boxes"))).alias("b")).select(
+        "_x", "_y", F.col("b.cell").alias("parent")))
     for level in range(bottom - 1, -1, -1):
         children = cells[level].select(key(level + 1, "x0", "y0").alias("parent"), box.alias("b"))
         kept = (salted_join(frontier, children, ["parent"], hot_rows=hot_rows)
                 .withColumn("_best", F.min(guarantee(F.col("b"))).over(Window.partitionBy("_x", "_y"))))
-        frontier = kept.where(reachable(lower_bound(F.col("b")), F.col("_best"))).select(
-            "_x", "_y", F.col("b.cell").alias("parent"))
+        frontier = written(kept.where(reachable(lower_bound(F.col("b")), F.col("_best"))).select(
+            "_x", "_y", F.col("b.cell").alias("parent")))
     leaf_points = points.withColumn("parent", key(0))
     ddx, ddy = F.col("_sx") - F.col("_x"), F.col("_sy") - F.col("_y")
     found = (salted_join(frontier, leaf_points, ["parent"], hot_rows=hot_rows).withColumn("_d", ddx * ddx + ddy * ddy)

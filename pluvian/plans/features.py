@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pluvian.functions.geo import coast_distance_km, coriolis
 from pluvian.functions.scalars import to_utc
-from pluvian.functions.skew import salted_join
 from pluvian.operators import ground, spatial, temporal
 from pluvian.operators.columns import forecast_features, labelled, with_target
 from pluvian.operators.guards import no_leakage
@@ -27,34 +26,39 @@ def attach_labels(rows: DataFrame, telemetry: DataFrame, label_gauge: DataFrame,
 
     Labels are worked out per (gauge, valid time, step), which many cells and runs share, and then looked up.
     """
-    placed = salted_join(rows, label_gauge, [cell], "left").join(temporal.step_hours(rows), ["origin", "run_time"], "left")
+    placed = rows.join(label_gauge, cell, "left").join(temporal.step_hours(rows), ["origin", "run_time"], "left")
     rain = telemetry.where(F.col("variable_type") == "hourly_rain").withColumn("observed_at", to_utc("observed_at"))
-    known = F.col("station_code").isNotNull()
-    # cells without a gauge never meet the labels: they would all share one null key
-    asked = placed.where(known)
-    labels = temporal.interval_labels(asked, rain).drop("n_obs")
-    found = salted_join(asked, labels, ["station_code", "valid_time", "step_hours"], "left")
-    none = placed.where(~known).withColumn("observed_rain", F.lit(None).cast(labels.schema["observed_rain"].dataType))
-    return found.select(*rows.columns, "observed_rain").unionByName(none.select(*rows.columns, "observed_rain"))
+    labels = temporal.interval_labels(placed.where(F.col("station_code").isNotNull()), rain).drop("n_obs")
+    # cells without a gauge would all share one null key; each row gets a key of its own instead, which meets no label
+    own = F.concat(F.lit("\0"), F.xxhash64(cell, "run_time", "valid_time").cast("string"))
+    keyed = placed.withColumn("_gauge", F.coalesce("station_code", own))
+    return (keyed.join(labels.withColumnRenamed("station_code", "_gauge"), ["_gauge", "valid_time", "step_hours"], "left")
+            .select(*rows.columns, "observed_rain"))
 
 
 def feature_matrix(forecast: DataFrame, grid: DataFrame, stations: DataFrame, telemetry: DataFrame,
                    satellite: DataFrame | None = None, lookback_hours: int = 3, require_label: bool = True,
-                   cell: str = "grid_id") -> DataFrame:
+                   cell: str = "grid_id", cells: DataFrame | None = None) -> DataFrame:
     """One row per forecast row with terrain, satellite and ground features, observed rain and residual target.
 
     forecast: analysis-ready runs (UTC). telemetry: clean long rows in local time. satellite: evolution rows with `timestamp`
     equal to the run time they serve; an `observed_at` column, if any, is checked against the run. Nothing is made up: a row
     without a label is dropped, or kept with NULL when `require_label` is off.
 
-    Labels come first, so an unlabelled row is dropped before anything is joined to it. Geometry does not depend on the run, so terrain, gauge pairs and nearest cells are worked out once per distinct cell and
-    stored (tables of cells, not of forecast rows). The forecast rows themselves only meet them through equi keys.
+    Labels come first, so an unlabelled row is dropped before anything is joined to it. Geometry does not depend on the run,
+    so terrain, gauge pairs and nearest cells are worked out once per distinct cell and stored (tables of cells, not of forecast
+    rows); where rows need a label, only for cells that a gauge can label, so ground features of other cells are never summed.
+    The forecast rows themselves only meet these tables through equi keys. `cells` (cell, lat, lon), such as the master grid,
+    saves the pass over the forecasts that finds the distinct cells.
     """
-    cells = stored(spatial.cells_of(forecast, cell))
+    cells = stored(spatial.cells_of(cells if cells is not None else forecast, cell))
+    label_gauge = stored(station_of_cell(cells, stations, cell=cell))
+    if require_label:
+        cells = stored(cells.join(label_gauge.select(cell), cell, "left_semi"))
     terrain = stored(spatial.cell_terrain(cells, grid, cell))
     pairs = stored(ground.station_pairs(cells, stations, cell))
     observed = temporal.observations_at_runs(forecast.select("run_time"), telemetry, lookback_hours)
-    rows = attach_labels(forecast, telemetry, station_of_cell(cells, stations, cell=cell), cell)
+    rows = attach_labels(forecast, telemetry, label_gauge, cell)
     if require_label:
         rows = labelled(rows, "observed_rain")
     rows = spatial.attach_terrain(rows, terrain, cell)

@@ -16,7 +16,7 @@ from pluvian.sources import forecasts as FS
 from pluvian.sources import stations as ST
 from pluvian.sources import tables as TB
 from pluvian.sources import telemetry as TL
-from workload.assembly import FORECAST, forecast
+from workload.assembly import FORECAST, SATELLITE, forecast, satellite
 from workload.common import Registry, r
 from workload.telemetry import UNITS
 from workload.views import oracle_view, table, view
@@ -158,21 +158,12 @@ def labels(spark, sf_dir):
 
 
 # ---- C3, B14 ----
-@REG.add("satellite_cells", f"""WITH {PLACES}, sat AS (SELECT DISTINCT 'S' || station_code AS sid, latitude, longitude FROM v_station),
- nn AS (SELECT cell_id, arg_min(sid, struct_pack(a := power(lat - latitude, 2) + power(lon - longitude, 2), b := sid)) AS sid FROM v_grid, sat GROUP BY cell_id),
- sv AS (SELECT 'S' || CAST(cell_id % (SELECT count(*) FROM v_station) AS VARCHAR) AS sid, run_time, max(tp) + 200.0e0 AS bt FROM fc GROUP BY ALL)
+@REG.add("satellite_cells", f"""WITH {PLACES}, {SATELLITE}
 SELECT fc.run_time, CAST(fc.cell_id AS VARCHAR) AS grid_id, fc.lead_time_hours, {r('coalesce(bt, 285.0)', 'bt_mean_t0')} FROM fc JOIN nn USING (cell_id) LEFT JOIN sv ON sv.sid = nn.sid AND sv.run_time = fc.run_time""")
 def satellite_cells(spark, sf_dir):
-    rows = forecast(spark, sf_dir)
-    n = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    layout = view(spark, sf_dir, "v_station").select(F.concat(F.lit("S"), "station_code").alias("grid_id"),
-                                                     F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    seen = (rows.groupBy(F.concat(F.lit("S"), (F.col("grid_id").cast("bigint") % n).cast("string")).alias("grid_id"),
-                         F.col("run_time").alias("timestamp")).agg((F.max("tp") + 200.0).alias("bt_mean_t0")))
-    satellite = layout.join(seen, "grid_id", "left")
+    rows, seen = forecast(spark, sf_dir), satellite(spark, sf_dir)
     cells = view(spark, sf_dir, "v_grid").select(F.col("cell_id").cast("string").alias("grid_id"), "lat", "lon")
-    out = attach_satellite(rows, satellite_of_cell(cells, satellite), satellite)
-    return out.select("run_time", "grid_id", "lead_time_hours", "bt_mean_t0")
+    return attach_satellite(rows, satellite_of_cell(cells, seen), seen).select("run_time", "grid_id", "lead_time_hours", "bt_mean_t0")
 
 
 # ---- raw runs to analysis-ready runs in one plan ----
