@@ -148,7 +148,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     earliest = written(shared.groupBy("gram", "stretch").agg(F.min("key").alias("least")))
     placed = shared.join(earliest, ["gram", "stretch"])
     covered = placed.where(F.col("key") > F.col("least")).select("key", "h1", "first", "last")
-    differing = earliest.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    differing = written(earliest.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     open_ = (placed.where(F.col("key") == F.col("least")).join(differing, "gram", "left_semi").groupBy("key", "h1")
              .agg(F.collect_list(F.struct("first", "last", "gram")).alias("open")))  # as many as the document has halves
 
