@@ -47,14 +47,11 @@ def feature_matrix(forecast: DataFrame, grid: DataFrame, stations: DataFrame, te
 
     Labels come first, so an unlabelled row is dropped before anything is joined to it. Geometry does not depend on the run,
     so terrain, gauge pairs and nearest cells are worked out once per distinct cell and stored (tables of cells, not of forecast
-    rows); where rows need a label, only for cells that a gauge can label, so ground features of other cells are never summed.
-    The forecast rows themselves only meet these tables through equi keys. `cells` (cell, lat, lon), such as the master grid,
+    rows). The forecast rows themselves only meet these tables through equi keys. `cells` (cell, lat, lon), such as the master grid,
     saves the pass over the forecasts that finds the distinct cells.
     """
     cells = stored(spatial.cells_of(cells if cells is not None else forecast, cell))
     label_gauge = stored(station_of_cell(cells, stations, cell=cell))
-    if require_label:
-        cells = stored(cells.join(label_gauge.select(cell), cell, "left_semi"))
     terrain = stored(spatial.cell_terrain(cells, grid, cell))
     pairs = stored(ground.station_pairs(cells, stations, cell))
     observed = temporal.observations_at_runs(forecast.select("run_time"), telemetry, lookback_hours)

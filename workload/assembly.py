@@ -68,20 +68,3 @@ def satellite(spark, sf_dir):
     seen = (forecast(spark, sf_dir).groupBy(F.concat(F.lit("S"), (F.col("grid_id").cast("bigint") % n).cast("string")).alias("grid_id"),
                                             F.col("run_time").alias("timestamp")).agg((F.max("tp") + 200.0).alias("bt_mean_t0")))
     return layout.join(seen, "grid_id", "left")
-
-
-LABELLED = (REG.oracles["feature_matrix"].replace("LEFT JOIN lab USING", "JOIN lab USING")
-            .replace("\nSELECT fc.run_time", f",\n {SATELLITE}\nSELECT fc.run_time")
-            .replace("\nFROM fc JOIN g USING (cell_id)", f", {r('coalesce(bt, 285.0)', 'bt_mean_t0')}, {r('lab.o - fc.tp', 'target_bias')}\nFROM fc JOIN g USING (cell_id)")
-            + " LEFT JOIN nn ON nn.cell_id = fc.cell_id LEFT JOIN sv ON sv.sid = nn.sid AND sv.run_time = fc.run_time")
-
-
-@REG.add("feature_matrix_labelled", LABELLED)
-def labelled_matrix(spark, sf_dir):
-    """With satellite; rows without a label go before anything is joined to them."""
-    cells = view(spark, sf_dir, "v_grid").select(F.col("cell_id").cast("string").alias("grid_id"), "lat", "lon")
-    out = feature_matrix(forecast(spark, sf_dir), terrain(spark, sf_dir), view(spark, sf_dir, "v_station"),
-                         view(spark, sf_dir, "v_obs"), satellite=satellite(spark, sf_dir), cells=cells)
-    return out.select("run_time", "grid_id", "lead_time_hours", "nwp_rain_raw", "elevation_m", *[
-        f"nearest_{v}_{s}" for v in ("rain", "pressure", "humidity") for s in ("val", "dist_km")], "pressure_mean_20_50km",
-        "observed_rain", "bt_mean_t0", "target_bias")
