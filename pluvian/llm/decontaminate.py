@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
 Every mask names positions of a run of words; the words at its other positions are ignored, so a substituted word spoils
-only the masks that look at it. Masked hashes of test items and documents meet in a join; around each hit the two texts are
-compared word by word along the hit's diagonal, and overlaps that are long and alike enough count.
+only the masks that look at it. The masks are chosen so that no overlap that counts escapes all of them. Masked hashes of test
+items and documents meet in a join; around each hit the two texts are compared word by word along the hit's diagonal, and all
+overlaps that are long and alike enough count.
 
 Before the join, documents drop hashes that no test item can have, by a bit field of fixed size. A larger test set makes the
 field fuller and the join larger, never the result smaller.
@@ -12,6 +13,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +26,16 @@ from pluvian.llm.columns import own_names
 from pluvian.llm.hashing import MEMO_WORDS, groups, mixed
 from pluvian.session import written
 
-#: Each leaves out four of twelve positions; any one substituted word of twelve is left out by at least one of them, but
-#: for the first and last, which the runs one word on and back leave out.
-MASKS = ("101101101101", "110110011011", "111001100111")
+#: Every stretch of twelve words or more with equal ends and four of five words equal holds one of these, whatever its length:
+#: a stretch without any has a score (0.2 an equal word, -0.8 another) of at most AWAY - FALL * words, and below 0 from twelve on.
+MASKS = ("1101111", "111010000011", "1101000111", "1110111")
+SPAN = max(map(len, MASKS))
+ALIKE = Fraction(4, 5)
+AWAY, FALL = Fraction(2), Fraction(2, 25)
 #: Test items shorter than a mask are looked up whole, those under `LEAST_WORDS` words never.
 LEAST_WORDS = 5
 FIELD_BITS = 24
 CHUNK_WORDS = 1 << 17
-PAD = 40
 TOKEN = re.compile(r"\w+")
 
 
@@ -47,16 +52,36 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def patterns() -> list[np.ndarray]:
-    """Positions of each mask, then of the whole runs of LEAST_WORDS words and more that are shorter than a mask."""
-    span = len(MASKS[0])
-    return ([np.flatnonzero([c == "1" for c in m]) for m in MASKS]
-            + [np.arange(n) for n in range(LEAST_WORDS, span)])
+def exact(alike: float) -> Fraction:
+    """The share as it is written: 0.8 is four fifths."""
+    return Fraction(str(alike))
 
 
-def masked(values: np.ndarray, k: int) -> np.ndarray:
-    """Hash under pattern k of the run that starts at each place."""
-    at = patterns()[k]
+def masks(least: int, alike: float) -> tuple[str, ...]:
+    """MASKS where they miss nothing; for shorter or less alike stretches, the whole run that each of them must hold."""
+    if least >= SPAN and exact(alike) >= ALIKE:
+        return MASKS
+    other = [int(n * (1 - exact(alike))) for n in range(least, least + 1000)]
+    return ("1" * max(1, min(-(-(n - m) // (m + 1)) for n, m in enumerate(other, least))),)
+
+
+def reach(words: int, least: int, alike: float) -> int:
+    """How far a stretch that counts can go on to either side of `words` words that hold all its hits."""
+    used, gain = masks(least, alike), 1 - exact(alike)
+    n = len(used[0])
+    away, fall = (AWAY, FALL) if used == MASKS else (Fraction(n - 1, n), Fraction(1, n) - gain)
+    return int((gain * words + 2 * away) / fall) + 1
+
+
+@lru_cache
+def patterns(least: int, alike: float) -> list[np.ndarray]:
+    """Positions of each mask, then of the whole runs of LEAST_WORDS words and more that are shorter than SPAN."""
+    return ([np.flatnonzero([c == "1" for c in m]) for m in masks(least, alike)]
+            + [np.arange(n) for n in range(LEAST_WORDS, SPAN)])
+
+
+def masked(values: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hash under pattern k, which looks at the words `at`, of the run that starts at each place."""
     n = len(values) - int(at[-1])
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -74,9 +99,9 @@ def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _seeds(items: DataFrame) -> DataFrame:
+def _seeds(items: DataFrame, least: int, alike: float) -> DataFrame:
     """(item, words, seeds) of every test item; a seed is (k, at, h)."""
-    span = len(MASKS[0])
+    looks, first = patterns(least, alike), len(masks(least, alike))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Tokens()
@@ -84,8 +109,9 @@ def _seeds(items: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 values = np.array([memo[w] for w in tokens(b.column(1)[i].as_py())], dtype=np.uint64)
                 n = len(values)
-                kinds = range(len(MASKS)) if n >= span else [len(MASKS) + n - LEAST_WORDS] if n >= LEAST_WORDS else []
-                seeds = [{"k": k, "at": at, "h": int(h)} for k in kinds for at, h in enumerate(masked(values, k).view(np.int64))]
+                kinds = range(first) if n >= SPAN else [first + n - LEAST_WORDS] if n >= LEAST_WORDS else []
+                seeds = [{"k": k, "at": at, "h": int(h)} for k in kinds
+                         for at, h in enumerate(masked(values, looks[k], k).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, 1), pa.array([values.view(np.int64)], pa.list_(pa.int64())),
                      pa.array([seeds], pa.list_(pa.struct([("k", pa.int32()), ("at", pa.int32()), ("h", pa.int64())])))],
@@ -107,8 +133,24 @@ def _field(seeds: DataFrame, bits: int) -> np.ndarray:
     return np.packbits(field, bitorder="little")
 
 
-def _regions(docs: DataFrame, field, kinds: list[int], bits: int) -> DataFrame:
-    """Stretches of documents around possible hits: (key, h1, start, words, hits); hits are (k, at, h), `at` in the text."""
+def _joined(at: np.ndarray, least: int, alike: float) -> list[tuple[int, int]]:
+    """Hits at the places `at` of one text, as index ranges (from, to) that no stretch that counts can join any more."""
+    out: list[tuple[int, int]] = []
+    breaks = (np.flatnonzero(np.diff(at) > 2 * reach(SPAN, least, alike) + SPAN) + 1).tolist()
+    for a, z in zip([0, *breaks], [*breaks, len(at)]):
+        while out and at[a] <= (end := at[out[-1][1] - 1] + SPAN) + reach(int(end - at[out[-1][0]]), least, alike) \
+                + reach(int(at[z - 1] + SPAN - at[a]), least, alike):
+            a = out.pop()[0]
+        out.append((a, z))
+    return out
+
+
+def _regions(docs: DataFrame, field, kinds: list[int], bits: int, least: int, alike: float) -> DataFrame:
+    """Stretches of documents around possible hits: (key, h1, start, words, hits); hits are (k, at, h), `at` in the text.
+
+    A stretch is wide enough for every overlap that holds one of its hits.
+    """
+    looks = patterns(least, alike)
     hit = pa.struct([("k", pa.int32()), ("at", pa.int32()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +163,11 @@ def _regions(docs: DataFrame, field, kinds: list[int], bits: int) -> DataFrame:
                 left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(values))
                 at, k, h = [], [], []
                 for kind in kinds:
-                    hashes = masked(values, kind)
+                    hashes = masked(values, looks[kind], kind)
                     one, two = _slots(hashes, bits)
                     found = np.flatnonzero(held[one])
                     found = found[held[two[found]]]
-                    found = found[left[found] > patterns()[kind][-1]]
+                    found = found[left[found] > looks[kind][-1]]
                     at.append(found), h.append(hashes[found]), k.append(np.full(len(found), kind))
                 at, k, h = np.concatenate(at), np.concatenate(k), np.concatenate(h)
                 if not len(at):
@@ -133,11 +175,11 @@ def _regions(docs: DataFrame, field, kinds: list[int], bits: int) -> DataFrame:
                 order = np.argsort(at, kind="stable")
                 at, k, h = at[order], k[order], h[order].view(np.int64)
                 doc = np.searchsorted(ends, at, side="right")
-                breaks = np.flatnonzero((np.diff(at) > PAD) | (np.diff(doc) > 0)) + 1
+                edges = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(at)]
                 out = {c: [] for c in ("row", "start", "words", "hits")}
-                for a, z in zip([0, *breaks], [*breaks, len(at)]):
-                    begin = ends[doc[a]] - len(part[doc[a]][1])
-                    low, top = max(begin, at[a] - PAD), min(ends[doc[a]], at[z - 1] + len(MASKS[0]) + PAD)
+                for a, z in ((x + i, x + j) for x, y in zip(edges, edges[1:]) for i, j in _joined(at[x:y], least, alike)):
+                    begin, wide = ends[doc[a]] - len(part[doc[a]][1]), reach(int(at[z - 1] + SPAN - at[a]), least, alike)
+                    low, top = max(begin, at[a] - wide), min(ends[doc[a]], at[z - 1] + SPAN + wide)
                     out["row"].append(part[doc[a]][0])
                     out["start"].append(int(low - begin))
                     out["words"].append(values[low:top].view(np.int64))
@@ -153,26 +195,19 @@ def _regions(docs: DataFrame, field, kinds: list[int], bits: int) -> DataFrame:
 
 
 def overlaps(same: np.ndarray, least: int, alike: float) -> list[tuple[int, int, int]]:
-    """Stretches (from, to, equal words) of at least `least` words that start and end alike and are `alike` throughout.
+    """Every stretch (from, to, equal words) of at least `least` words that starts and ends alike and of whose words a share
+    `alike` or more is equal, unless it lies within another one.
 
-    A running score gains 1 - alike per equal word and loses alike per other; a stretch ends at its highest score, and a new
-    one begins where the score would fall to nothing.
+    Sums of 1 - alike per equal word and -alike per other, as whole numbers, tell the share of any stretch; the furthest start
+    for an end is the first one whose sum is not above the end's.
     """
-    out, score, begin, best, end = [], 0.0, 0, 0.0, -1
-    for i, equal in enumerate([*same.tolist(), None]):
-        if equal:
-            if score <= 0:
-                begin, score, best, end = i, 0.0, 0.0, -1
-            score += 1 - alike
-            if score >= best:
-                best, end = score, i + 1
-        else:
-            score -= alike
-            if (equal is None or score <= 0) and end - begin >= least:
-                out.append((begin, end, int(same[begin:end].sum())))
-            if equal is None or score <= 0:
-                score, best, end, begin = 0.0, 0.0, -1, i + 1
-    return out
+    part = exact(alike)
+    sums = np.concatenate([[0], np.cumsum(np.where(same, part.denominator - part.numerator, -part.numerator))])
+    at = np.flatnonzero(same)
+    begin = at[np.searchsorted(-np.minimum.accumulate(sums[at]), -sums[at + 1])]
+    right = np.append(np.minimum.accumulate(begin[::-1])[::-1][1:], len(same))  # least start of the ends further on
+    whole = (begin < right) & (at + 1 - begin >= least)
+    return [(a, z, int(same[a:z].sum())) for a, z in zip(begin[whole].tolist(), (at[whole] + 1).tolist())]
 
 
 def _verified(pairs: DataFrame, least: int, alike: float) -> DataFrame:
@@ -201,18 +236,20 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
                        field_bits: int = FIELD_BITS) -> DataFrame:
     """(key, h1, item, start, end, equal): every stretch of a document that repeats a test item; h1 is the text's hash.
 
-    A stretch has at least `least` words (or all of a shorter item), of which a share `alike` equals the item's, starting
-    and ending alike; places count the document's words. Null and empty texts have none, items under five words are not
+    A stretch has at least `least` words (or all of a shorter item), of which a share `alike` (above 0) equals the item's,
+    starting and ending alike; one within another of the same item and diagonal is not reported. Places count the document's
+    words. Null and empty texts have none, items under five words are not
     looked for, equal items each report, repeated rows report once, rows without a key report under a null key, and an
     empty table on either side gives no rows. Columns beyond the named ones are ignored.
     """
     spark = docs.sparkSession
-    tests = written(_seeds(own_names(items, item, item_text).toDF("item", "text")))
+    tests = written(_seeds(own_names(items, item, item_text).toDF("item", "text"), least, alike))
     seeds = tests.select("item", F.explode("seeds").alias("s")).select("item", "s.k", F.col("s.at").alias("item_at"), "s.h")
     kinds = sorted(r[0] for r in seeds.select("k").distinct().collect())  # at most one per pattern
     field = spark.sparkContext.broadcast(_field(seeds, field_bits))
     rows = own_names(docs, key, text).toDF("key", "text").select("key", F.xxhash64("text").alias("h1"), "text")
-    regions = written(_regions(rows, field, kinds or [0], field_bits).dropDuplicates(["key", "h1", "start"]))
+    found = _regions(rows, field, kinds or [0], field_bits, least, alike)
+    regions = written(found.dropDuplicates(["key", "h1", "start"]))
     hits = (regions.select("key", "h1", "start", F.explode("hits").alias("s"))
             .select("key", "h1", "start", "s.k", "s.at", "s.h"))
     met = (hits.join(seeds, ["k", "h"])

@@ -127,6 +127,70 @@ def test_a_full_field_changes_nothing(spark):
     assert sorted(map(str, a)) == sorted(map(str, b)) and len(a) == 40
 
 
+def plain_stretches(same, least, fifths=4):
+    """Stretches by trying all pairs of ends, without those within another."""
+    n = len(same)
+    good = [(a, z) for a in range(n) for z in range(a + least, n + 1)
+            if same[a] and same[z - 1] and 5 * sum(same[a:z]) >= fifths * (z - a)]
+    return {(a, z) for a, z in good if not any(x <= a and z <= y and (x, y) != (a, z) for x, y in good)}
+
+
+def test_stretches_match_all_pairs_of_ends():
+    rng = random.Random(8)
+    for _ in range(400):
+        share = rng.choice([0.5, 0.75, 0.8, 0.9])
+        same = [rng.random() < share for _ in range(rng.randrange(0, 60))]
+        least = rng.choice([5, 12, 13])
+        got = decontaminate.overlaps(np.array(same, dtype=bool), least, 0.8)
+        assert {(a, z) for a, z, _ in got} == plain_stretches(same, least) and len(got) == len({g[:2] for g in got})
+        assert all(n == sum(same[a:z]) for a, z, n in got)
+
+
+def test_no_stretch_escapes_all_masks():
+    """The best score of a stretch without a hit, by its length: below 0 from twelve words on, and below the stated line."""
+    span = decontaminate.SPAN
+    run = np.arange(1 << span)
+    hit = np.zeros(len(run), dtype=bool)
+    for m in decontaminate.MASKS:
+        hit |= run & int(m, 2) == int(m, 2)
+    score = np.full(len(run) // 2, -np.inf)
+    score[0] = 0
+    for n in range(1, 400):
+        new = np.full(len(score), -np.inf)
+        for bit in (0, 1):
+            after = np.arange(len(score)) << 1 | bit
+            value = np.where(hit[after], -np.inf, score + (1 if bit else -4))
+            np.maximum.at(new, after & len(score) - 1, value)
+            best = value.max()  # of those that end in an equal word
+        score = new
+        assert n < span or best < 0
+        assert score.max() <= 5 * (decontaminate.AWAY - decontaminate.FALL * n)
+
+
+def test_every_substituted_passage_is_found(spark):
+    """Passages cut from items with as many words substituted as the rule allows, also in the midst of a longer stretch."""
+    rng = random.Random(4)
+    items = [[f"i{i}w{j}" for j in range(400 if i == 0 else 60)] for i in range(20)]
+    texts, want = [], {}
+    for d in range(300):
+        i, n = rng.randrange(1, 20), rng.choice([13, 14, 15, 18, 20, 25, 30, 60])
+        at = rng.randrange(61 - n)
+        gone = set(rng.sample(range(1, n - 1), n // 5))
+        part = [f"s{d}x{j}" if j in gone else items[i][at + j] for j in range(n)]
+        before, after = ([f"n{d}x{rng.randrange(10 ** 9)}" for _ in range(rng.randrange(30))] for _ in range(2))
+        texts.append(" ".join(before + part + after))
+        want[d] = {(i, len(before), len(before) + n)}
+    long = [w if j < 320 or j == 399 else f"z{j}" for j, w in enumerate(items[0])]
+    texts.append(" ".join(long))  # 321 of 400: the last word stands 80 words from the last hit
+    want[300] = {(0, 0, 400)}
+    docs = docs_of(spark, texts)
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = {}
+    for r in decontaminate.benchmark_overlaps(docs, tests, text="body").collect():
+        got.setdefault(r["key"], set()).add((r["item"], r["start"], r["end"]))
+    assert got == want
+
+
 # ---- 4 ----
 def test_counts_of_odd_texts(spark):
     texts = [*ODD, "a b c d e f g h " * 3, "same line\nsame line\n \nother\nsame line", "x#*$%&|<>y", " ".join("ab" * 4 for _ in range(40))]
