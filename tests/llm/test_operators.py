@@ -61,6 +61,37 @@ def test_scores_of_odd_rows(spark):
     assert scoring.pseudo_likelihood(df.where("false"), text="body").count() == 0
 
 
+def test_rare_words_keep_their_identity(spark, monkeypatch):
+    """In one bucket a junk word scores below a real one by the ratio of their counts, wherever the counts are held."""
+    texts = ["a b c d real junk1"] + ["a b c d real"] * 30 + ["a b c d junk2", "d c b a"]
+    docs, asked = docs_of(spark, texts), ["a b real c", "a b junk1 c", "a b never c", "a b real c", None, "junk1 real never"]
+    shape = scoring.Shape(classes=1, width=5, frequent=4, batch=64)
+    got = []
+    for known in (1 << 17, 0):
+        monkeypatch.setattr(scoring, "KNOWN", known)
+        model = scoring.train(docs, "body", shape)
+        rows = scoring.pseudo_likelihood(docs_of(spark, asked), text="body", shape=shape, model=model).collect()
+        got.append({r["doc_id"]: r["pll"] for r in rows})
+        assert len(model.vocabulary.known) == (7 if known else 4)
+    assert got[0] == pytest.approx(got[1], abs=2e-4)
+    a = got[0]
+    assert a[0] == a[3] and a[4] == 0
+    assert a[0] - a[1] == pytest.approx(math.log(31.5 / 1.5), abs=3e-4)
+    assert a[1] - a[2] == pytest.approx(math.log(1.5 / 0.5), abs=3e-4)
+
+
+def test_ids_follow_the_vocabulary(spark):
+    counts = spark.range(700_000).select(F.encode(F.concat(F.lit("w"), "id"), "utf-8").alias("word"),
+                                         (F.lit(1) + 1000 * (F.col("id") < 5).cast("int")).cast("bigint").alias("n"))
+    vocabulary, n = scoring.vocabulary_of(counts, scoring.Shape())
+    s = vocabulary.shape
+    assert (s.classes, s.width, s.frequent) == (29, 29, 654)
+    assert n.sum() == 705_000 and set(vocabulary.known[:5]) == {b"w%d" % i for i in range(5)}
+    # the shares of a bucket's words, with that of uncounted words, sum to one
+    words = n[s.frequent:].astype(int)
+    assert np.exp(vocabulary.added[-1 - len(words):-1]) * (words * 1.5 + 0.5) == pytest.approx(1)
+
+
 # ---- 2 ----
 def test_mix_of_odd_sources(spark, monkeypatch):
     rows = [(i, "w " * (i % 7), s) for i, s in enumerate([None, "a", "b", "Z", "é", "empty"] * 60)]
