@@ -32,11 +32,15 @@ MASKS = ("1101111", "111010000011", "1101000111", "1110111")
 SPAN = max(map(len, MASKS))
 ALIKE = Fraction(4, 5)
 AWAY, FALL = Fraction(2), Fraction(2, 25)
-#: Test items shorter than a mask are looked up whole, those under `LEAST_WORDS` words never.
+#: Shorter test items are looked up as a whole; those under LEAST_WORDS words must be equal throughout and have LEAST_CHARS
+#: characters, since a word or two stand in any text.
 LEAST_WORDS = 5
+LEAST_CHARS = 12
 FIELD_BITS = 24
 CHUNK_WORDS = 1 << 17
-TOKEN = re.compile(r"\w+")
+#: Letters of Thai, Lao, Burmese, Khmer, Chinese and Japanese, which are written without spaces.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[^\W{UNSPACED}]+|(?=\w)[{UNSPACED}]")
 
 
 class Tokens(dict):
@@ -48,7 +52,7 @@ class Tokens(dict):
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-case runs of letters, digits and underscores; other signs count for nothing."""
+    """Lower-case runs of letters, digits and underscores, single letters in UNSPACED scripts; other signs count for nothing."""
     return TOKEN.findall((text or "").lower())
 
 
@@ -70,14 +74,24 @@ def reach(words: int, least: int, alike: float) -> int:
     used, gain = masks(least, alike), 1 - exact(alike)
     n = len(used[0])
     away, fall = (AWAY, FALL) if used == MASKS else (Fraction(n - 1, n), Fraction(1, n) - gain)
-    return int((gain * words + 2 * away) / fall) + 1
+    return max(least, int((gain * words + 2 * away) / fall) + 1)
 
 
 @lru_cache
-def patterns(least: int, alike: float) -> list[np.ndarray]:
-    """Positions of each mask, then of the whole runs of LEAST_WORDS words and more that are shorter than SPAN."""
-    return ([np.flatnonzero([c == "1" for c in m]) for m in masks(least, alike)]
-            + [np.arange(n) for n in range(LEAST_WORDS, SPAN)])
+def patterns(least: int, alike: float) -> tuple[list[np.ndarray], dict[int, list[int]]]:
+    """Positions of each mask, then those of whole shorter items, and by number of words which of the latter count.
+
+    Where m words may differ, the inner words are cut into m + 1 parts: one of them is equal, and each pattern looks at one.
+    """
+    used = masks(least, alike)
+    looks, whole = [np.flatnonzero([c == "1" for c in m]) for m in used], {}
+    for n in range(1, SPAN if used == MASKS else least):
+        parts = int(n * (1 - exact(alike))) + 1 if n >= LEAST_WORDS else 1
+        inner = np.arange(1, n - 1)
+        kept = [[0, *inner[(inner - 1) * parts // max(1, n - 2) == x].tolist(), n - 1] for x in range(parts)]
+        whole[n] = list(range(len(looks), len(looks) + parts))
+        looks += [np.unique(x) for x in kept]
+    return looks, whole
 
 
 def masked(values: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -101,15 +115,16 @@ def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _seeds(items: DataFrame, least: int, alike: float) -> DataFrame:
     """(item, words, seeds) of every test item; a seed is (k, at, h)."""
-    looks, first = patterns(least, alike), len(masks(least, alike))
+    (looks, whole), first = patterns(least, alike), len(masks(least, alike))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Tokens()
         for b in batches:
             for i in range(b.num_rows):
-                values = np.array([memo[w] for w in tokens(b.column(1)[i].as_py())], dtype=np.uint64)
+                found = tokens(b.column(1)[i].as_py())
+                values = np.array([memo[w] for w in found], dtype=np.uint64)
                 n = len(values)
-                kinds = range(first) if n >= SPAN else [first + n - LEAST_WORDS] if n >= LEAST_WORDS else []
+                kinds = whole.get(n, range(first)) if n >= LEAST_WORDS or sum(map(len, found)) >= LEAST_CHARS else []
                 seeds = [{"k": k, "at": at, "h": int(h)} for k in kinds
                          for at, h in enumerate(masked(values, looks[k], k).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(
@@ -150,7 +165,7 @@ def _regions(docs: DataFrame, field, kinds: list[int], bits: int, least: int, al
 
     A stretch is wide enough for every overlap that holds one of its hits.
     """
-    looks = patterns(least, alike)
+    looks, _ = patterns(least, alike)
     hit = pa.struct([("k", pa.int32()), ("at", pa.int32()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +253,8 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
 
     A stretch has at least `least` words (or all of a shorter item), of which a share `alike` (above 0) equals the item's,
     starting and ending alike; one within another of the same item and diagonal is not reported. Places count the document's
-    words. Null and empty texts have none, items under five words are not
-    looked for, equal items each report, repeated rows report once, rows without a key report under a null key, and an
+    words. Null and empty texts have none, items under five words count
+    if they are equal throughout and have LEAST_CHARS characters, equal items each report, repeated rows report once, rows without a key report under a null key, and an
     empty table on either side gives no rows. Columns beyond the named ones are ignored.
     """
     spark = docs.sparkSession

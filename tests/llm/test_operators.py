@@ -222,6 +222,27 @@ def test_every_substituted_passage_is_found(spark):
     assert got == want
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    ten = [f"t{j}" for j in range(10)]
+    cjk = "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少"
+    items = [(1, "photosynthesis reaction"), (2, "of the"), (3, " ".join(ten)), (4, cjk), (5, "v w x y z")]
+    texts, want = [], {}
+    for a in range(1, 9):
+        for b in range(a, 9):
+            want[len(texts)] = {3}
+            texts.append("so " + " ".join(f"no{j}" if j in (a, b) else w for j, w in enumerate(ten)) + " it")
+    for text, found in (("a Photosynthesis, reaction of the", {1}), ("photosynthesis of reaction", set()), ("前" + cjk + "後", {4}),
+                        ("前" + cjk[:7] + "甲" + cjk[8:], {4}), (cjk[:9], set()), ("v w q y z", {5}), ("v q q y z", set()),
+                        ("q " + " ".join(ten[1:]), set())):
+        want[len(texts)] = found
+        texts.append(text)
+    tests = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {d: set() for d in want}
+    for r in decontaminate.benchmark_overlaps(docs_of(spark, texts), tests, text="body").collect():
+        got[r["key"]].add(r["item"])
+    assert got == want
+
+
 # ---- 4 ----
 def test_counts_of_odd_texts(spark):
     texts = [*ODD, "a b c d e f g h " * 3, "same line\nsame line\n \nother\nsame line", "x#*$%&|<>y", " ".join("ab" * 4 for _ in range(40))]
