@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pluvian.llm.chats import format_chats, read_back
 from pluvian.llm.decontaminate import benchmark_overlaps
 from pluvian.llm.html import extract_main_text
+from pluvian.llm.idfiles import read_ids, write_ids
 from pluvian.llm.mixing import mix_sources
 from pluvian.llm.quality import quality_rules
 from pluvian.llm.scoring import pseudo_likelihood
@@ -15,6 +16,7 @@ from pluvian.llm.secrets import KINDS, find_secrets, spelled
 from pluvian.llm.simhash import near_duplicates
 from pluvian.llm.substrings import remove_repeats
 from pluvian.llm.urls import Rule, filter_urls
+from pluvian.session import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,3 +99,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"), ["page_id", "url"]).withColumn(
         "n_chars", F.length("text").cast("bigint"))
+
+
+def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to id files and read back from them."""
+    import public_tokenizers
+    path = fresh_path(spark, "ids")
+    write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_ids(spark, path).select("doc_id", "start", (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
+                                        F.crc32("ids").alias("ids_crc32"))
