@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvian.llm.chats import format_chats, read_back
+from pluvian.llm.collocations import collocations
 from pluvian.llm.decontaminate import benchmark_overlaps
 from pluvian.llm.html import extract_main_text
 from pluvian.llm.idfiles import read_ids, write_ids
 from pluvian.llm.mixing import mix_sources
 from pluvian.llm.quality import quality_rules
+from pluvian.llm.ranking import search
 from pluvian.llm.scoring import pseudo_likelihood
 from pluvian.llm.secrets import KINDS, find_secrets, spelled
 from pluvian.llm.simhash import near_duplicates
@@ -108,3 +110,12 @@ def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_ids(spark, path).select("doc_id", "start", (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
                                         F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that match each benchmark item best."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))

@@ -1,6 +1,7 @@
 """Plain single-process versions of the operators, straight from their definitions."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -105,3 +106,49 @@ def groups(pairs):
     for k, v in pairs:
         out[k].append(v)
     return out
+
+
+def best_matches(docs, items, k=50):
+    """docs: [(key, text)], items: [(item, text)] -> {place of item: [(rank, key, score)]}."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    low = {c: c + 32 for c in range(65, 91)}
+    tf = [Counter(term.findall((t or "").translate(low))) for _, t in docs]
+    n = [sum(c.values()) for c in tf]
+    many, total = sum(x > 0 for x in n), sum(n)
+    df = Counter(t for c in tf for t in c)
+    out = {}
+    for place, (_, text) in enumerate(items):
+        scored = []
+        for (key, _), c, size in zip(docs, tf, n):
+            m = 100 - 50 + 50 * size * many // max(1, total)
+            s = sum(math.floor(1000 * math.log((2 * many + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 20 * m))
+                    for t in set(term.findall((text or "").translate(low))) if t in c)
+            if s > 0:
+                scored.append((-s, key is None, key))
+        out[place] = [(i + 1, key, -s) for i, (s, _, key) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
+    return out
+
+
+def phrases(docs, least=10, cover=50, top=2000):
+    """docs: [(lang, text)] -> {lang: [(rank, phrase, a, l, r, n, score)]}."""
+    counts = defaultdict(Counter)
+    low = {c: c + 32 for c in range(65, 91)}
+    for lang, text in docs:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(low)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            counts[lang or "und" if lang is None else lang].update(tuple(w[i:i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    out = {}
+    for lang, f in counts.items():
+        n = sum(c for p, c in f.items() if len(p) == 1)
+        most = Counter()
+        for p, a in f.items():
+            if len(p) == 3 and a >= least:
+                for q in (p[:2], p[1:]):
+                    most[q] = max(most[q], a)
+        rows = []
+        for p, a in f.items():
+            if len(p) > 1 and a >= least and not (most[p] and 100 * most[p] >= cover * a):
+                score, _, left, right = min((10 ** 6 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+                rows.append((-score, -a, " ".join(p).encode(), left, right))
+        out[lang] = [(i + 1, p.decode(), -a, left, right, n, -s) for i, (s, a, p, left, right) in enumerate(sorted(rows)[:top])]
+    return {k: v for k, v in out.items() if v}
