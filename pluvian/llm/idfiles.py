@@ -39,8 +39,10 @@ BLOCK = 1 << 16
 FILE_IDS = 1 << 24
 #: Ids that one batch of the reader holds, at least one document.
 BATCH_IDS = 1 << 21
-#: Chunks an encoder remembers.
-MEMO = 1_000_000
+#: Chunks an encoder remembers, besides as many old ones.
+MEMO = 700_000
+#: Chunks that are encoded as one text.
+JOINED = 200
 SEPARATOR = re.compile("[\x1c-\x1f]")
 
 
@@ -49,7 +51,7 @@ class ChunkIds(dict):
 
     The tokenizer drops white space, so a text's ids are those of its chunks in order. A chunk of ASCII letters has the ids of
     its lower-case form, and a full stop or comma behind an ASCII letter is a token of its own: such chunks take their ids from
-    shorter ones. Forgets everything when it has grown too large.
+    shorter ones. When MEMO chunks are known they become the old ones, which stay until as many others have been met.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,22 +59,48 @@ class ChunkIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        special = min((x for x in self.tokenizer.get_added_tokens_decoder().items() if x[1].special and not x[1].normalized), default=None)
+        self.old: dict[str, bytes] = {}
+        self.mark_id, self.mark = (special[0], special[1].content) if special else (None, None)
 
     def _encode(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
+        """Chunks are put between special tokens, which cut a text before anything else is done to it, and taken apart there."""
+        odd = [c for c in chunks if self.mark in c]
+        plain = [c for c in chunks if self.mark not in c]
+        for chunk, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
             self[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+        for at in range(0, len(plain), JOINED):
+            part = plain[at:at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            raw = ids.tobytes()
+            for chunk, a, z in zip(part, [0, *(x + 4 for x in cut)], [*cut, len(raw)], strict=True):
+                self[chunk] = raw[a:z]
 
     def learn(self, chunks: set[str]) -> None:
-        new = chunks - self.keys()
+        new = [c for c in chunks if c not in self]
         if len(self) + len(new) > MEMO:
+            self.old = dict(self)
             self.clear()
-            new = chunks
-        parts = {}
+            new = list(chunks)
+        bodies, tails, old = set(), [], self.old
         for c in new:
-            body, tail = (c[:-1], c[-1]) if c[-1] in ".," and c[-2:-1].isalpha() and c[-2:-1].isascii() else (c, "")
-            parts[c] = (body.lower() if body.isascii() and body.isalpha() else body, tail)
-        self._encode(list({".", ",", *(body for body, _ in parts.values())} - self.keys()))
-        for c, (body, tail) in parts.items():
+            if c in old:
+                self[c] = old[c]
+            elif c[-1] in ".," and (before := c[-2:-1]).isalpha() and before.isascii():
+                body = c[:-1]
+                body = body.lower() if body.isascii() and body.isalpha() else body
+                tails.append((c, body, c[-1]))
+                bodies.add(body)
+            elif c.isascii() and c.isalpha() and not c.islower():
+                body = c.lower()
+                tails.append((c, body, None))
+                bodies.add(body)
+            else:
+                bodies.add(c)
+        bodies |= {".", ","}
+        self._encode([c for c in bodies if c not in self])
+        for c, body, tail in tails:
             self[c] = self[body] + self[tail] if tail else self[body]
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
