@@ -16,6 +16,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column, block: int = 64) -> Column:
+    """Results of `combine` from `zero` up to each element of an array, in a time that hardly grows faster than the array.
+
+    Appending to one array for every element would copy it each time; here only arrays of `block` elements, and one of a
+    `block`-th of the length, grow that way.
+    """
+    def both(x: Column, y: Column) -> Column:
+        return combine(x, y)
+
+    def grown(part: Column, start: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda a, x: F.concat(a, F.array(both(F.element_at(a, F.lit(-1)), x))))
+
+    def whole(v: Column) -> Column:
+        def part(b: Column) -> Column:
+            return F.slice(v, b * block + 1, F.lit(block))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
+        totals = F.transform(blocks, lambda b: F.aggregate(part(b), zero, both))
+        return let(grown(totals, zero), lambda starts: F.flatten(F.transform(
+            blocks, lambda b: F.slice(grown(part(b), F.get(starts, b)), F.lit(2), F.lit(block)))))
+    return F.when(F.size(values) == 0, F.slice(values, 1, 0)).otherwise(let(values, whole))
+
+
 def words(text: Column) -> Column:
     """Runs of characters other than space and \\t to \\r, in order; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -152,3 +152,55 @@ def phrases(docs, least=10, cover=50, top=2000):
                 rows.append((-score, -a, " ".join(p).encode(), left, right))
         out[lang] = [(i + 1, p.decode(), -a, left, right, n, -s) for i, (s, a, p, left, right) in enumerate(sorted(rows)[:top])]
     return {k: v for k, v in out.items() if v}
+
+
+def tail(z):
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def battery(v, m):
+    """Combined p-value of three tests on symbols 0 to m - 1."""
+    n = len(v)
+    chi = sum(c * c for c in Counter(v).values()) * m / n - n
+    free = m - 1
+    z = ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    turns = sum((a >= m / 2) != (b >= m / 2) for a, b in zip(v, v[1:]))
+    runs = (turns - (n - 1) / 2) / (math.sqrt(n - 1) / 2)
+    mid = (m - 1) / 2
+    lag = sum((a - mid) * (b - mid) for a, b in zip(v, v[1:])) / (math.sqrt(n - 1) * (m * m - 1) / 12)
+    x = -sum(math.log(max(p, 1e-12)) for p in (tail(z), 2 * tail(abs(runs)), 2 * tail(abs(lag))))
+    return math.exp(-x) * (1 + x + x * x / 2)
+
+
+def candidates(text):
+    """(start, end, bin, p) of every run of key characters with letters, digits and an alphabet."""
+    from pluvian.llm.secrets import ALPHABETS
+    out = []
+    for t in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text or ""):
+        name, letters = next(((n, a) for n, a in ALPHABETS if set(t[0]) <= set(a)), (None, None))
+        if name and re.search("[0-9]", t[0]) and re.search("[A-Za-z]", t[0]):
+            out.append((t.start(), t.end(), f"{name}:{math.floor(2 * math.log2(len(t[0])))}", battery([letters.index(c) for c in t[0]], len(letters))))
+    return out
+
+
+def all_spans(texts, rate=0.1, steps=50):
+    """Base spans, and random ones that pass their bin's cutoff and overlap no base span."""
+    maybe = [candidates(t) for t in texts]
+    cells = defaultdict(Counter)
+    for c in maybe:
+        for _, _, bin_, p in c:
+            cells[bin_][min(int(p * steps), steps - 1)] += 1
+    cutoff = {}
+    for bin_, n in cells.items():
+        random = 2 * sum(k for c, k in n.items() if c >= steps // 2)
+        for c in sorted(n):
+            taken = sum(k for d, k in n.items() if d >= c)
+            if max(0.0, taken - random * (1 - c / steps)) <= rate * taken:
+                cutoff[bin_] = c / steps
+                break
+    out = {}
+    for d, (text, c) in enumerate(zip(texts, maybe)):
+        base = base_spans(text)
+        more = [(a, 3, z) for a, z, b, p in c if b in cutoff and p >= cutoff[b] and not any(s < z and a < e for s, _, e in base)]
+        out[d] = sorted(base + more)
+    return out
