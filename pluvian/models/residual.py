@@ -1,4 +1,5 @@
-"""Residual-correction models on Spark ML: boosted trees, a wet/dry hurdle and conditional quantiles.
+"""Residual-correction models: leaf-wise boosting (absolute and quantile loss), and on Spark ML boosted trees, a wet/dry hurdle and
+a quantile forest.
 
 Each fit takes a table marked with `is_train` and `is_val` and returns (fitted stages, validation rows with
 `predicted_bias`). Features are already numeric and zero-filled (`ablation_matrix_input`).
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pluvian.functions import constants as K
 from pluvian.functions.scalars import sorted_quantiles, wet
+from pluvian.models import boosting
 from pluvian.session import written
 
 
@@ -58,6 +60,28 @@ def boosted_residual(df: DataFrame, features: Sequence[str], loss: str = "square
     return fitted, fitted.transform(rows.where("is_val")).drop("_x", "_y")
 
 
+def leafwise_residual(df: DataFrame, features: Sequence[str], loss: str = "absolute", target: str = "target_bias",
+                      settings: boosting.BoostSettings = boosting.BoostSettings()):
+    """Boosted trees of 31 leaves on the residual, stopped after five rounds without a gain on the validation rows and cut
+    back to the best round."""
+    models = boosting.fit(df, features, [boosting.Objective(loss)], target, settings)
+    return models[0], boosting.predictions(df.where("is_val"), models, features, ["predicted_bias"])
+
+
+def quantile_boosting(df: DataFrame, features: Sequence[str], target: str = "target_bias", quantiles: Sequence[float] = tuple(K.QUANTILES),
+                      settings: boosting.BoostSettings = boosting.BoostSettings(rounds=80, step=0.08, patience=None)):
+    """Conditional residual quantiles, a booster with pinball loss for each; all of them share the passes over the rows.
+
+    The quantiles of a row are sorted, so they never cross. `predicted_bias` is the median.
+    """
+    tags = [f"q{round(q * 100)}" for q in quantiles]
+    models = boosting.fit(df, features, [boosting.Objective("quantile", q) for q in quantiles], target, settings)
+    scored = boosting.predictions(df.where("is_val"), models, features, tags)
+    ordered = scored.select(*df.columns, *sorted_quantiles(tags))
+    median = tags[list(quantiles).index(0.5)] if 0.5 in quantiles else tags[0]
+    return tuple(models), ordered.withColumn("predicted_bias", F.col(median))
+
+
 def hurdle(df: DataFrame, features: Sequence[str], threshold: float = 0.1, observed: str = "observed_rain",
            raw: str = "nwp_rain_raw", settings: TreeSettings = TreeSettings(rounds=80)):
     """P(wet) times the amount expected when wet, minus the raw forecast.
@@ -129,7 +153,9 @@ def save(fitted, folder: str) -> None:
     """Write a fitted model, or the stages of one, replacing what was there."""
     stages = fitted if isinstance(fitted, tuple) else (fitted,)
     for i, stage in enumerate(stages):
-        if stage is not None:
+        if isinstance(stage, boosting.Booster):
+            stage.save(SparkSession.active(), f"{folder}/{i}-Booster")
+        elif stage is not None:
             stage.write().overwrite().save(f"{folder}/{i}-{type(stage).__name__}")
 
 
@@ -138,4 +164,5 @@ def load(spark: SparkSession, folder: str) -> tuple:
     kinds = {k.__name__: k for k in (GBTRegressionModel, GBTClassificationModel, RandomForestRegressionModel)}
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     names = sorted(f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
-    return tuple(kinds[n.split("-", 1)[1]].load(f"{folder}/{n}") for n in names)
+    return tuple(boosting.Booster.load(spark, f"{folder}/{n}") if n.endswith("-Booster") else kinds[n.split("-", 1)[1]].load(f"{folder}/{n}")
+                 for n in names)
