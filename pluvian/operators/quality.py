@@ -204,21 +204,58 @@ def station_flags(catalogs: DataFrame) -> DataFrame:
     return flags.withColumn("has_all_three", F.col("has_rain") & F.col("has_pressure") & F.col("has_humidity"))
 
 
-def fill_short_gaps(classified: DataFrame, max_gap_hours: int = 3,
-                    keys: Sequence[str] = ("station_code", "variable_type")) -> DataFrame:
-    """Valid hours plus linearly filled hours of gaps up to `max_gap_hours`, the latter flagged INTERPOLATED (P2).
+def fill_short_gaps(classified: DataFrame, max_gap_hours: int = 3, keys: Sequence[str] = ("station_code", "variable_type"),
+                    curve: str = "line", chunk_hours: int = 1440) -> DataFrame:
+    """Valid hours plus the hours of gaps up to `max_gap_hours` between them, the latter flagged INTERPOLATED (P2).
 
-    Only the gaps between neighbouring valid hours are opened up; longer gaps stay empty.
+    `line` joins the known hours next to a gap. `cubic` bends with the known hours before and after those: a Hermite cubic
+    with Fritsch-Carlson slopes, which keeps the shape of the series and never leaves the range of the two hours next to the
+    gap. A known hour that is itself more than a fillable gap away has no say; an end without one is as steep as the line.
+
+    A gauge is cut into chunks of `chunk_hours`, so it is never one window task; hours near an edge also go to the next
+    chunk, as far as a gap and its neighbours can reach, so the cut changes nothing. Longer gaps stay empty.
     """
+    if curve not in ("line", "cubic"):
+        raise ValueError(f"unknown curve {curve!r}")
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("observed_at")
+    reach = max_gap_hours + 2  # one more, since distances are whole hours
     valid = classified.where("is_valid").select(*keys, "observed_at", F.col("value").cast("double").alias("value"))
-    pairs = valid.withColumns({"_next": F.lead("observed_at").over(w), "_to": F.lead("value").over(w)})
+    hour = F.timestamp_diff("HOUR", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("observed_at"))
+
+    def chunk(h: Column) -> Column:
+        return F.floor(h / F.lit(chunk_hours)).cast("int")
+    copies = valid.withColumn("_home", chunk(hour)).withColumn("_chunk", F.explode(F.sequence(chunk(hour - 2 * reach), chunk(hour + reach))))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("observed_at")
+    around = {"_next": F.lead("observed_at").over(w), "_to": F.lead("value").over(w)}
+    if curve == "cubic":
+        around |= {"_t0": F.lag("observed_at").over(w), "_y0": F.lag("value").over(w),
+                   "_t3": F.lead("observed_at", 2).over(w), "_y3": F.lead("value", 2).over(w)}
+    placed = copies.withColumns(around).where("_home = _chunk")
     gap = F.timestamp_diff("HOUR", F.col("observed_at"), F.col("_next")) - 1
-    opened = (pairs.withColumn("_gap", gap.cast("int")).where(F.col("_gap").between(1, max_gap_hours))
-              .withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_gap")))))
-    filled = opened.select(
-        *keys, (F.col("observed_at") + F.make_dt_interval(F.lit(0), F.col("_k"))).alias("observed_at"),
-        (F.col("value") + (F.col("_to") - F.col("value")) * F.col("_k") / (F.col("_gap") + 1)).alias("value"),
-        F.lit("INTERPOLATED").alias("quality_flag"))
-    return valid.withColumn("quality_flag", F.lit("VALID")).unionByName(filled)
+    steps = F.when(gap.between(1, max_gap_hours), gap).otherwise(0).cast("int")
+    opened = placed.withColumn("_gap", steps).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_gap"))))
+    value, k, width = F.col("value"), F.col("_k"), F.col("_gap") + 1
+    if curve == "line":
+        between = value + (F.col("_to") - value) * k / width
+    else:
+        before = F.timestamp_diff("HOUR", F.col("_t0"), F.col("observed_at"))
+        after = F.timestamp_diff("HOUR", F.col("_next"), F.col("_t3"))
+        rise = (F.col("_to") - value) / width
+        left = shape_slope((value - F.col("_y0")) / before, before, rise, width, before.between(1, max_gap_hours + 1))
+        right = shape_slope((F.col("_y3") - F.col("_to")) / after, after, rise, width, after.between(1, max_gap_hours + 1))
+        s = k / width
+        curved = ((2 * s * s * s - 3 * s * s + 1) * value + (s * s * s - 2 * s * s + s) * width * left
+                  + (3 * s * s - 2 * s * s * s) * F.col("_to") + (s * s * s - s * s) * width * right)
+        between = F.greatest(F.least(value, F.col("_to")), F.least(F.greatest(value, F.col("_to")), curved))
+    filled = F.col("_k") > 0
+    return opened.select(*keys, (F.col("observed_at") + F.make_dt_interval(F.lit(0), F.col("_k"))).alias("observed_at"),
+                         F.when(filled, between).otherwise(value).alias("value"),
+                         F.when(filled, "INTERPOLATED").otherwise("VALID").alias("quality_flag"))
+
+
+def shape_slope(other: Column, other_width: Column, inner: Column, inner_width: Column, known: Column) -> Column:
+    """Slope at a known hour: the weighted harmonic mean of the rises on either side, 0 at a turn, the inner rise if there is
+    no other."""
+    a, b = 2 * inner_width + other_width, inner_width + 2 * other_width
+    mean = (a + b) / (a / other + b / inner)
+    return F.when(~F.coalesce(known, F.lit(False)), inner).when(other * inner <= 0, 0.0).otherwise(mean)

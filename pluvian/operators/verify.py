@@ -99,6 +99,29 @@ def roll_up(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         *[F.min(c).alias(c) for c in ("min_o", "min_p")], *[F.max(c).alias(c) for c in ("max_o", "max_p")])
 
 
+def roll_up_sets(cells: DataFrame, sets: dict[str, Sequence[str]]) -> DataFrame:
+    """Merge cells into several coarser grains at once: `grain` names the set of keys, keys outside a set are NULL.
+
+    One aggregation over grouping sets, so all grains come from a single exchange; `grouping_id` tells the sets apart, also
+    where a key itself is NULL.
+    """
+    names = list(dict.fromkeys(k for keys in sets.values() for k in keys))
+    measures = [F.sum(c).alias(c) for c in cells.columns if c.startswith(("s_", "o_", "w_", "h_")) or c in ("n", "n_pair")]
+    measures += [F.min(c).alias(c) for c in ("min_o", "min_p")] + [F.max(c).alias(c) for c in ("max_o", "max_p")]
+    number = {sum(1 << (len(names) - 1 - i) for i, k in enumerate(names) if k not in keys): grain for grain, keys in sets.items()}
+    if len(number) < len(sets):
+        raise ValueError("two grains have the same keys")
+    grain = F.try_element_at(F.create_map(*[F.lit(x) for pair in number.items() for x in pair]), F.grouping_id().cast("int"))
+    merged = cells.groupingSets([[F.col(k) for k in keys] for keys in sets.values()], *[F.col(k) for k in names])
+    return merged.agg(*measures, grain.alias("grain"))
+
+
+def grain_of(rolled: DataFrame, grain: str, keys: Sequence[str]) -> DataFrame:
+    """The cells of one grain of `roll_up_sets`; `roll_up` takes them as they are."""
+    measures = [c for c in rolled.columns if c.startswith(("s_", "o_", "w_", "h_", "min_", "max_")) or c in ("n", "n_pair")]
+    return rolled.where(F.col("grain") == grain).select(*keys, *measures)
+
+
 # ---- scores from cells ----
 
 def continuous_columns() -> dict[str, Column]:

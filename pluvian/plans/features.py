@@ -10,7 +10,7 @@ from pluvian.functions.scalars import to_utc
 from pluvian.operators import ground, spatial, temporal
 from pluvian.operators.columns import forecast_features, labelled, with_target
 from pluvian.operators.guards import no_leakage
-from pluvian.session import stored
+from pluvian.session import stored, written
 
 
 def station_of_cell(cells: DataFrame, stations: DataFrame, max_km: float = 5.0, cell: str = "grid_id") -> DataFrame:
@@ -56,15 +56,18 @@ def feature_matrix(forecast: DataFrame, grid: DataFrame, stations: DataFrame, te
     pairs = stored(ground.station_pairs(cells, stations, cell))
     observed = temporal.observations_at_runs(forecast.select("run_time"), telemetry, lookback_hours)
     rows = attach_labels(forecast, telemetry, label_gauge, cell)
+    requests = None
     if require_label:
-        rows = labelled(rows, "observed_rain")
+        # a small part of the forecast rows: written once, since the gauge sums, terrain fills and the result all read them
+        rows = written(labelled(rows, "observed_rain"))
+        requests = rows.select("run_time", cell).distinct()
     rows = spatial.attach_terrain(rows, terrain, cell)
     if satellite is not None:
         if "observed_at" in satellite.columns:
             satellite = satellite.withColumn("observed_at", no_leakage("timestamp", "observed_at"))
         nearest = stored(spatial.satellite_of_cell(cells, satellite, cell))
         rows = spatial.attach_satellite(rows, nearest, satellite, cell=cell)
-    rows = ground.attach_ground(rows, pairs, observed, cell)
+    rows = ground.attach_ground(rows, pairs, observed, cell, requests=requests)
     return with_target(forecast_features(rows))
 
 

@@ -77,3 +77,27 @@ def written(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this session wrote."""
+    place, fs = _file_system(spark, path)
+    fs.delete(place, True)
+
+
+def publish(spark: SparkSession, aside: str, path: str) -> None:
+    """Put a finished folder in the place of `path`."""
+    (source, fs), (target, _) = _file_system(spark, aside), _file_system(spark, path)
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"{aside} could not be renamed to {path}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, fs = _file_system(spark, path)
+    return fs.exists(place)

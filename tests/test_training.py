@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pluvian.models import residual as M
+from pluvian.models.boosting import BoostSettings
 from pluvian.operators import columns as C
 from pluvian.operators import split as P
 from pluvian.operators.guards import LeakageError
@@ -25,10 +26,12 @@ def table(spark):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("valid_time", "run_time")}).cache()
 
 
-@pytest.mark.parametrize("model", ["gbt_l1", "gbt_l2", "hurdle", "quantile"])
+@pytest.mark.parametrize("model", ["gbt_l1", "gbt_l2", "hurdle", "quantile", "quantile_forest"])
 def test_models_beat_the_raw_forecast(table, model):
     rows = T.training_rows(table, "ecmwf_ifs")
     fast = M.TreeSettings(rounds=8, depth=3, step=0.3, bins=32)
+    if model in ("gbt_l1", "quantile"):
+        fast = BoostSettings(rounds=8, leaves=8, step=0.3, bins=32)
     _, preds = T.train_and_score(rows, "m1", model, ["id"], settings=fast)
     preds = preds.cache()
     assert preds.count() == table.where("year(valid_time) = 2024").count()
@@ -37,7 +40,7 @@ def test_models_beat_the_raw_forecast(table, model):
     assert preds.where("corrected_rain < 0").count() == 0
     assert preds.columns[:14] == ["valid_time", "run_time", "lead_time", "weather_model", "station_id", "lat", "lon", "basin_id", "observed_rain",
                                   "nwp_raw_rain", "predicted_bias", "corrected_rain", "model_name", "ablation"]
-    if model == "quantile":
+    if model.startswith("quantile"):
         assert preds.where("q10 > q50 or q50 > q90 or q90 > q95").count() == 0
 
 
@@ -113,3 +116,11 @@ def test_saved_models_score_alike(spark, tmp_path):
     M.save(fitted, folder)
     (back,) = M.load(spark, folder)
     assert back.toDebugString.split("\n", 1)[1] == fitted.toDebugString.split("\n", 1)[1]
+
+
+def test_saved_boosters_score_alike(spark, table, tmp_path):
+    rows = T.training_rows(table, "ecmwf_ifs")
+    small = BoostSettings(rounds=3, leaves=4, step=0.5)
+    fitted, preds = T.train_and_score(rows, "m1", "quantile", ["id"], settings=small, save_to=str(tmp_path))
+    back = M.load(spark, M.place(str(tmp_path), "ecmwf_ifs", "quantile", "m1"))
+    assert [b.to_json() for b in back] == [b.to_json() for b in fitted] and len(back) == 4
