@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import assembly, roundtrip, space, tables, telemetry, verification
+from workload import assembly, coverage, roundtrip, space, tables, telemetry, verification
 
-REGISTRIES = [verification.REG, telemetry.REG, space.REG, tables.REG, assembly.REG, roundtrip.REG]
+REGISTRIES = [verification.REG, telemetry.REG, space.REG, tables.REG, assembly.REG, roundtrip.REG, coverage.REG]
 
 
 def all_queries() -> dict:

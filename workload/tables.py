@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pluvian.functions import scalars as S
+from pluvian.models import boosting as B
 from pluvian.models import residual as M
 from pluvian.operators import columns as C
 from pluvian.operators import quality as Q
@@ -286,3 +287,28 @@ def hurdle(spark, sf_dir):
 def quantile_forest(spark, sf_dir):
     scored = M.quantile_forest(training_table(spark, sf_dir), FEATURES, settings=settings(spark))[1]
     return facts(scored, ((F.col("q10") <= F.col("q50")) & (F.col("q50") <= F.col("q90")) & (F.col("q90") <= F.col("q95"))).alias("ordered"))
+
+
+# leaf by leaf; fewer and larger steps than the defaults, since every round is a dozen small jobs
+@REG.add("leafwise_l1", VALIDATION.format(more=""))
+def leafwise_l1(spark, sf_dir):
+    boost = B.BoostSettings(rounds=15, step=0.3, partitions=4)
+    return facts(M.leafwise_residual(training_table(spark, sf_dir), FEATURES, settings=boost)[1])
+
+
+@REG.add("quantile_boosting", VALIDATION.format(more=", true AS ordered"))
+def quantile_boosting(spark, sf_dir):
+    boost = B.BoostSettings(rounds=8, step=0.4, patience=None, partitions=4)
+    scored = M.quantile_boosting(training_table(spark, sf_dir), FEATURES, settings=boost)[1]
+    return facts(scored, ((F.col("q10") <= F.col("q50")) & (F.col("q50") <= F.col("q90")) & (F.col("q90") <= F.col("q95"))).alias("ordered"))
+
+
+# the best split of the training residuals by lead hour and the means on either side, in closed form
+@REG.add("boosted_stump", f"""WITH {oracle_view('v_forecast_obs')}, t AS (SELECT lead_time AS x, observed_rain - nwp_raw_rain AS y FROM v_forecast_obs WHERE year(valid_time) < 2000),
+ h AS (SELECT x, sum(y) AS s, count(*) AS n FROM t GROUP BY x), u AS (SELECT x, sum(s) OVER (ORDER BY x) AS ls, sum(n) OVER (ORDER BY x) AS ln, sum(s) OVER () AS s, sum(n) OVER () AS n FROM h),
+ b AS (SELECT * FROM u WHERE ln >= 20 AND n - ln >= 20 ORDER BY power(ls - ln * s / n, 2) * (1.0 / ln + 1.0 / (n - ln)) DESC, x LIMIT 1)
+SELECT l_orderkey, l_partkey, station_id, l_linenumber, round(CASE WHEN lead_time <= x THEN ls / ln ELSE (s - ls) / (n - ln) END, 3) + 0.0 AS predicted_bias FROM v_forecast_obs, b WHERE year(valid_time) = 2000""")
+def boosted_stump(spark, sf_dir):
+    stump = B.BoostSettings(rounds=1, leaves=2, step=1.0, patience=None, partitions=4)
+    scored = M.leafwise_residual(training_table(spark, sf_dir), ["lead_time_hours"], "squared", settings=stump)[1]
+    return scored.select("l_orderkey", "l_partkey", "station_id", "l_linenumber", F.round("predicted_bias", 3).alias("predicted_bias"))

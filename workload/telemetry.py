@@ -10,6 +10,7 @@ from pluvian.operators import deaccum as D
 from pluvian.operators import guards as G
 from pluvian.operators import quality as Q
 from pluvian.operators import temporal as T
+from pluvian.session import fresh_path
 from workload.common import Registry, r
 from workload.views import oracle_view, view
 
@@ -332,3 +333,32 @@ SELECT station_code, variable_type, observed_at, round(v, 6) + 0.0 AS value, 'VA
 UNION ALL SELECT station_code, variable_type, observed_at + k * INTERVAL 1 HOUR, round(v + (nv - v)*k/(gap + 1), 6) + 0.0, 'INTERPOLATED' FROM e""")
 def gap_fill(spark, sf_dir):
     return Q.fill_short_gaps(hourly(spark, sf_dir))
+
+
+@REG.add("gap_fill_curved", f"""{QC}, ok AS (SELECT station_code, variable_type, observed_at, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM cls WHERE status = 'VALID'),
+ g AS (SELECT *, lag(observed_at) OVER w AS t0, lag(v) OVER w AS y0, lead(observed_at) OVER w AS t2, lead(v) OVER w AS y2, lead(observed_at, 2) OVER w AS t3, lead(v, 2) OVER w AS y3
+  FROM ok WINDOW w AS (PARTITION BY station_code, variable_type ORDER BY observed_at)),
+ h AS (SELECT *, date_diff('hour', observed_at, t2) AS h1, (y2 - v) / nullif(date_diff('hour', observed_at, t2), 0) AS d1, date_diff('hour', t0, observed_at) AS h0, date_diff('hour', t2, t3) AS h2 FROM g),
+ d AS (SELECT *, CASE WHEN h0 <= 4 THEN (v - y0) / h0 END AS d0, CASE WHEN h2 <= 4 THEN (y3 - y2) / h2 END AS d2 FROM h WHERE h1 BETWEEN 2 AND 4),
+ m AS (SELECT *, CASE WHEN d0 IS NULL THEN d1 WHEN d0 * d1 <= 0 THEN 0.0 ELSE 3.0 * (h0 + h1) / ((2 * h1 + h0) / d0 + (h1 + 2 * h0) / d1) END AS ma,
+   CASE WHEN d2 IS NULL THEN d1 WHEN d2 * d1 <= 0 THEN 0.0 ELSE 3.0 * (h2 + h1) / ((2 * h1 + h2) / d2 + (h1 + 2 * h2) / d1) END AS mb FROM d),
+ e AS (SELECT *, k * 1.0e0 / h1 AS s FROM (SELECT *, unnest(generate_series(1, h1 - 1)) AS k FROM m))
+SELECT station_code, variable_type, observed_at, round(v, 6) + 0.0 AS value, 'VALID' AS quality_flag FROM ok
+UNION ALL SELECT station_code, variable_type, observed_at + k * INTERVAL 1 HOUR, round((1 + 2*s)*(1 - s)*(1 - s)*v + s*(1 - s)*(1 - s)*h1*ma + s*s*(3 - 2*s)*y2 + s*s*(s - 1)*h1*mb, 6) + 0.0, 'INTERPOLATED' FROM e""")
+def gap_fill_curved(spark, sf_dir):
+    return Q.fill_short_gaps(hourly(spark, sf_dir), curve="cubic", chunk_hours=240)
+
+
+# ---- I1, I2 while a table is written ----
+@REG.add("guarded_write", f"""{WITH_RUN} SELECT event_id, observed_at, run_time, (SELECT count(*) FROM w WHERE observed_at > run_time) AS n_late,
+ (SELECT count(*) FROM w WHERE year(run_time) = 2025) AS n_frozen FROM w WHERE observed_at <= run_time""")
+def guarded_write(spark, sf_dir):
+    """The whole table meets its guards and is refused; the rows that hold are written."""
+    rows, path = with_run(spark, sf_dir), fresh_path(spark, "guarded")
+    late = frozen = 0
+    try:
+        G.write_guarded(rows, path)
+    except G.LeakageError as e:
+        late, frozen = e.counts["observed after run"], e.counts["frozen year"]
+    G.write_guarded(rows.where(F.col("observed_at") <= F.col("run_time")), path)
+    return spark.read.parquet(path).withColumns({"n_late": F.lit(late).cast("bigint"), "n_frozen": F.lit(frozen).cast("bigint")})

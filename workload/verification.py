@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvian.operators import verify as V
+from pluvian.plans.verification import GRAIN
+from pluvian.plans.verification import report_cells as report_grains
 from workload.common import Registry, r
 from workload.views import MODELS, VARIANTS, oracle_view, view
 
@@ -328,3 +330,13 @@ def align_models(spark, sf_dir):
     preds = part(~F.col("is_holdout"), "lightgbm", "lightgbm_m3_pred").unionByName(
         part(F.col("is_holdout"), "hurdle", "hurdle_m3_pred"))
     return V.align_variants(base, preds, keys, ids).select(*ids, "station_id", "model", "ablation", "imputed", "pred")
+
+
+# ---- D17 to D23: every grain of the reports from one aggregation ----
+@REG.add("report_cells", f"""{oracle_long(where='')} SELECT CASE WHEN grouping(lead_time) = 0 THEN 'lead' WHEN grouping(month) = 0 THEN 'month' WHEN grouping(basin_id) = 0 THEN 'basin' ELSE 'variant' END AS grain,
+ is_holdout, model, ablation, lead_time, month, basin_id, count(*) AS n, {r(RMSE, 'rmse')}, {r(MAE, 'mae')}, {r(SS_RMSE, 'ss_rmse')}, {cont(10.0, ['hits', 'csi'])} FROM lng
+ GROUP BY GROUPING SETS ((is_holdout, model, ablation), (is_holdout, lead_time, model, ablation), (is_holdout, month, model, ablation), (is_holdout, basin_id, model, ablation))""")
+def report_cells(spark, sf_dir):
+    fine = V.score_cells(long_rows(spark, sf_dir), GRAIN)
+    return report_grains(fine).select("grain", "is_holdout", "model", "ablation", "lead_time", "month", "basin_id", "n", *V.pick(
+        V.continuous_columns(), ["rmse", "mae", "ss_rmse"]), *V.pick(V.contingency_columns(10.0), ["hits", "csi"]))

@@ -91,6 +91,26 @@ SELECT CAST(user_id % (SELECT count(*) FROM supplier) AS STRING) AS station_code
 FROM events
 """
 
+# a 2 km mesh with gauges inside it, all of which report every variable
+VIEWS["v_mesh"] = """
+SELECT c_custkey AS cell_id, 13.0e0 + CAST(c_custkey % 40 AS DOUBLE) * 0.02e0 AS lat,
+       98.0e0 + CAST(floor(c_custkey / 40) AS DOUBLE) * 0.02e0 AS lon
+FROM customer
+"""
+
+VIEWS["v_gauge"] = """
+SELECT CAST(s_suppkey AS STRING) AS station_code, 13.0e0 + CAST((s_suppkey * 37) % 101 AS DOUBLE) * 0.007931e0 AS latitude,
+       98.0e0 + CAST((s_suppkey * 61) % 97 AS DOUBLE) / 97.0e0 * 0.000503e0 * CAST((SELECT count(*) FROM customer) AS DOUBLE) AS longitude,
+       s_acctbal / 10.0e0 AS elevation_m
+FROM supplier
+"""
+
+VIEWS["v_readings"] = """
+SELECT CAST(user_id % (SELECT count(*) FROM supplier) AS STRING) AS station_code, event_id, ts AS observed_at, variable_type,
+       CASE variable_type WHEN 'hourly_rain' THEN value * 0.100731e0 WHEN 'pressure' THEN 990.0e0 + value * 0.100379e0 ELSE value * 0.200171e0 END AS value
+FROM (SELECT event_id, user_id, ts, value, explode(array('hourly_rain', 'pressure', 'humidity')) AS variable_type FROM events) e
+"""
+
 VIEWS["v_pixels"] = """
 SELECT event_id, ts AS scan_time,
        5.0e0 + CAST((event_id * 37) % 1601 AS DOUBLE) * 0.01e0 AS lat,
@@ -109,6 +129,7 @@ ORACLE_ONLY = {
     "v_telemetry": VIEWS["v_telemetry"]
     .replace("explode(array('hourly_rain', 'pressure', 'humidity'))", "unnest(['hourly_rain', 'pressure', 'humidity'])")
     .replace("explode(array('ALL', event_type))", "unnest(['ALL', event_type])"),
+    "v_readings": VIEWS["v_readings"].replace("explode(array('hourly_rain', 'pressure', 'humidity'))", "unnest(['hourly_rain', 'pressure', 'humidity'])"),
     "v_dem": VIEWS["v_dem"].replace(
         "SELECT vec_id, posexplode(embedding) AS (pos, v) FROM embeddings",
         "SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings"),
