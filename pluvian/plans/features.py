@@ -46,17 +46,17 @@ def feature_matrix(forecast: DataFrame, grid: DataFrame, stations: DataFrame, te
     without a label is dropped, or kept with NULL when `require_label` is off.
 
     Labels come first, so an unlabelled row is dropped before anything is joined to it. Geometry does not depend on the run,
-    so terrain, gauge pairs and nearest cells are worked out once per distinct cell and stored (tables of cells, not of forecast
-    rows). The forecast rows themselves only meet these tables through equi keys. `cells` (cell, lat, lon), such as the master grid,
+    so terrain and nearest cells are worked out once per distinct cell and stored (tables of cells, not of forecast rows); gauges are
+    summed tile by tile, without a table of pairs. The forecast rows themselves only meet these tables through equi keys. `cells` (cell, lat, lon), such as the master grid,
     saves the pass over the forecasts that finds the distinct cells.
     """
     cells = stored(spatial.cells_of(cells if cells is not None else forecast, cell))
     label_gauge = stored(station_of_cell(cells, stations, cell=cell))
     terrain = stored(spatial.cell_terrain(cells, grid, cell))
-    pairs = stored(ground.station_pairs(cells, stations, cell))
+    near = ground.places(cells, stations, cell)
     observed = temporal.observations_at_runs(forecast.select("run_time"), telemetry, lookback_hours)
     rows = attach_labels(forecast, telemetry, label_gauge, cell)
-    requests = None
+    requests = forecast.select("run_time", cell).distinct()
     if require_label:
         # a small part of the forecast rows: written once, since the gauge sums, terrain fills and the result all read them
         rows = written(labelled(rows, "observed_rain"))
@@ -67,7 +67,7 @@ def feature_matrix(forecast: DataFrame, grid: DataFrame, stations: DataFrame, te
             satellite = satellite.withColumn("observed_at", no_leakage("timestamp", "observed_at"))
         nearest = stored(spatial.satellite_of_cell(cells, satellite, cell))
         rows = spatial.attach_satellite(rows, nearest, satellite, cell=cell)
-    rows = ground.attach_ground(rows, pairs, observed, cell, requests=requests)
+    rows = ground.attach_ground(rows, near, observed, cell, requests=requests)
     return with_target(forecast_features(rows))
 
 
