@@ -107,9 +107,9 @@ def lead_rows(documents: DataFrame, coordinates: DataFrame, origin: str = "gfs")
     complete = reduce(lambda a, b: a & b, [F.coalesce(F.size(F.try_element_at("variables", F.lit(v))) == n, F.lit(False))
                                            for v in LEAD_VARIABLES])
     zipped = F.arrays_zip(*[F.try_element_at("variables", F.lit(v)).alias(v) for v in LEAD_VARIABLES])
-    rows = (documents.where(complete)
-            .withColumn("run_time", F.concat_ws(" ", "date", "cycle").try_cast("timestamp_ntz"))
-            .select("run_time", F.col("lead").alias("lead_time_hours"), F.posexplode(zipped).alias("pos", "_v")))
+    # the test is part of the exploded value: as a filter it would reach the source, and documents be parsed once for each variable
+    rows = (documents.withColumn("run_time", F.concat_ws(" ", "date", "cycle").try_cast("timestamp_ntz"))
+            .select("run_time", F.col("lead").alias("lead_time_hours"), F.posexplode(F.when(complete, zipped)).alias("pos", "_v")))
     flat = rows.select("run_time", "lead_time_hours", "pos",
                        *[F.col("_v").getField(v).alias(v) for v in LEAD_VARIABLES])
     rain = deaccumulate_buckets(flat, ["run_time", "pos"], tp="apcp")

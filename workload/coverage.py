@@ -20,6 +20,7 @@ REG = Registry()
 
 
 # ---- A7: a JSON document per run and lead, arrays in the order of the gauges; rain restarts every six hours ----
+BLOCK = 256
 LEAD_VALUES = {"t2m": "20.0037e0 + 0.101313177e0 * pos", "sp": "990.0041e0 + 0.051731319e0 * pos + lead_time_hours", "u10": "0.100731731e0 * pos",
                "v10": "-0.100919137e0 * lead_time_hours", "cape": "10.063173191e0 * pos"}
 
@@ -33,13 +34,21 @@ def lead_json(spark, sf_dir):
     from pyspark.sql import Window
     gauges = view(spark, sf_dir, "v_station").select(F.col("station_code").cast("bigint").alias("cell_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     coordinates = gauges.withColumn("pos", (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("int"))  # a row per gauge
-    listed = coordinates.agg(F.sort_array(F.collect_list(F.struct("pos", "cell_id"))).alias("c")).select("c").scalar()
-    runs = view(spark, sf_dir, "v_nwp").groupBy("run_time", "lead_time_hours").agg(F.map_from_entries(F.collect_list(F.struct("cell_id", "tp"))).alias("rain"))
-    shaped = runs.withColumn("c", listed)
+    n = coordinates.agg(F.count(F.lit(1)).cast("int").alias("n")).select("n").scalar()
+    # rain by blocks of positions: a lookup goes through one block's entries, not through those of all gauges
+    placed = view(spark, sf_dir, "v_nwp").join(coordinates.select("cell_id", "pos"), "cell_id", "left").withColumn(
+        "block", F.floor(F.col("pos") / BLOCK).cast("int"))
+    filled = placed.groupBy("run_time", "lead_time_hours", "block").agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("pos").isNotNull(), F.struct((F.col("pos") % BLOCK).alias("at"), "tp")))).alias("m")).select(
+        "run_time", "lead_time_hours", "block", F.expr(f"transform(sequence(0, {BLOCK - 1}), i -> coalesce(try_element_at(m, i), 0.0D))").alias("part"))
+    runs = filled.groupBy("run_time", "lead_time_hours").agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("block").isNotNull(), F.struct("block", "part")))).alias("parts"))
+    shaped = runs.withColumn("n", n).withColumn("c", F.expr("slice(sequence(0, n), 1, n)"))
 
     def array(v, e):
-        return f"transform(c, x -> {e.replace('pos', 'x.pos')}) AS {v}"
-    arrays = shaped.selectExpr("run_time", "lead_time_hours", "transform(c, x -> coalesce(try_element_at(rain, x.cell_id), 0.0D)) AS apcp",
+        return f"transform(c, x -> {e.replace('pos', 'x')}) AS {v}"
+    blocks = f"transform(sequence(0, n div {BLOCK}), b -> coalesce(try_element_at(parts, cast(b AS INT)), array_repeat(0.0D, {BLOCK})))"
+    arrays = shaped.selectExpr("run_time", "lead_time_hours", f"slice(flatten({blocks}), 1, n) AS apcp",
                                *[array(v, e.replace("e0", "D")) for v, e in LEAD_VALUES.items()])
     values = F.create_map(*[x for v in ("apcp", *LEAD_VALUES) for x in (F.lit(v), F.col(v))])
     text = F.to_json(F.struct(F.date_format("run_time", "yyyy-MM-dd").alias("date"), F.date_format("run_time", "HH:mm").alias("cycle"),
