@@ -23,7 +23,7 @@ from pyspark.rdd import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvian.session import written
+from pluvian.session import spread, written
 
 POINT = 1 << 20
 BLOCK_ROWS = 1 << 16
@@ -35,7 +35,6 @@ DIRECT = 64
 #: is off by half of GROWTH - 1 of its value at most, or by FINEST.
 GROWTH, FINEST, CELLS = 1.004, 1e-4, 6922
 WIDTH = 2 * CELLS + 3
-NOTHING = np.zeros(0, dtype=np.int64)
 
 
 @dataclass(frozen=True)
@@ -165,9 +164,8 @@ def cut_points(rows: DataFrame, features: Sequence[str], bins: int) -> list[np.n
 TRAIN, VALIDATE = 1, 2
 
 
-def blocks(rows: DataFrame, features: Sequence[str], target: str, edges: list[np.ndarray], folds: Sequence[tuple[Column, Column]]) -> RDD:
-    """RDD of (codes, target, roles): features x rows bins and folds x rows roles, from a stored table of binned rows."""
-    d, n = len(edges), len(folds)
+def binned(table: DataFrame, d: int, n: int, edges: list[np.ndarray]) -> RDD:
+    """RDD of (codes, target, roles): features x rows bins and folds x rows roles, from a table of `d` features, target and `n` roles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -188,10 +186,8 @@ def blocks(rows: DataFrame, features: Sequence[str], target: str, edges: list[np
         if held:
             yield out()
 
-    roles = [F.when(val, VALIDATE).when(train, TRAIN).otherwise(0).cast("tinyint").alias(f"r{k}") for k, (train, val) in enumerate(folds)]
-    narrow = rows.select(*[F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)], F.col(target).cast("double").alias("y"), *roles)
-    table = written(narrow.mapInArrow(run, "x binary, y binary, v binary"))
-    return table.rdd.map(lambda r: (np.frombuffer(r[0], np.uint8).reshape(d, -1), np.frombuffer(r[1], "<f8"), np.frombuffer(r[2], np.int8).reshape(n, -1)))
+    stored = written(table.mapInArrow(run, "x binary, y binary, v binary"))
+    return stored.rdd.map(lambda r: (np.frombuffer(r[0], np.uint8).reshape(d, -1), np.frombuffer(r[1], "<f8"), np.frombuffer(r[2], np.int8).reshape(n, -1)))
 
 
 def sketch_cells(residual: np.ndarray) -> np.ndarray:
@@ -219,6 +215,12 @@ class Counts:
     def of(keys: np.ndarray) -> Counts:
         return Counts(*np.unique(keys, return_counts=True))
 
+    @staticmethod
+    def of_all(counts: np.ndarray) -> Counts:
+        """From the counts of all keys from 0 up."""
+        keys = np.flatnonzero(counts)
+        return Counts(keys, counts[keys])
+
     def __add__(self, other: Counts) -> Counts:
         keys, place = np.unique(np.concatenate([self.keys, other.keys]), return_inverse=True)
         return Counts(keys, np.bincount(place, np.concatenate([self.n, other.n]), len(keys)).astype(np.int64))
@@ -323,9 +325,10 @@ class Request:
 def sums(parts: Iterator[tuple], requests: list[Request], bins: int) -> Iterator[list[tuple]]:
     """Per request: gradients and rows (node x feature x bin), sketches (node x cell), loss and rows of validation."""
     out = None
+    sketches = [np.zeros(len(q.open) * WIDTH if q.objective.loss != "squared" else 0, dtype=np.int64) for q in requests]
     for codes, y, roles, base in parts:
         d, found = len(codes), []
-        for q in requests:
+        for q, sketch in zip(requests, sketches):
             val = roles[q.fold] == VALIDATE
             residual = y - base[q.model]
             number = np.full(len(q.shape.feature), -1)
@@ -337,12 +340,13 @@ def sums(parts: Iterator[tuple], requests: list[Request], bins: int) -> Iterator
             cell = slot * bins
             gradient = np.stack([np.bincount(cell + x[f], g, k * bins) for f in range(d)]).astype(np.int64)
             rows = np.stack([np.bincount(cell + x[f], minlength=k * bins) for f in range(d)])
-            sketch = Counts.of(slot * WIDTH + sketch_cells(r)) if q.objective.loss != "squared" else Counts(NOTHING, NOTHING)
+            if len(sketch):
+                sketch += np.bincount(slot * WIDTH + sketch_cells(r), minlength=len(sketch))
             loss = int(np.rint(q.objective.value(residual[val]) * POINT).sum())
-            found.append((gradient.reshape(d, k, bins).swapaxes(0, 1), rows.reshape(d, k, bins).swapaxes(0, 1), sketch, loss, int(val.sum())))
+            found.append((gradient.reshape(d, k, bins).swapaxes(0, 1), rows.reshape(d, k, bins).swapaxes(0, 1), loss, int(val.sum())))
         out = found if out is None else added(out, found)
     if out is not None:
-        yield out
+        yield [(g, n, Counts.of_all(s), *rest) for (g, n, *rest), s in zip(out, sketches)]
 
 
 def added(a: list[tuple], b: list[tuple]) -> list[tuple]:
@@ -463,11 +467,13 @@ def fit_folds(rows: DataFrame, features: Sequence[str], objectives: Sequence[Obj
     learned, used = F.lit(False), F.lit(False)
     for train, val in folds:
         learned, used = learned | (train & ~val), used | train | val
-    rows = rows.where(used)
-    if settings.partitions:
-        rows = rows.repartition(settings.partitions)
-    edges = cut_points(rows.where(learned), features, settings.bins)
-    models = Fit(blocks(rows, features, target, edges, folds), edges, objectives, settings, len(folds)).run()
+    roles = [F.when(val, VALIDATE).when(train, TRAIN).otherwise(0).cast("tinyint").alias(f"r{k}") for k, (train, val) in enumerate(folds)]
+    names = [f"f{k}" for k in range(len(features))]
+    # read several times, so the rows are worked out once
+    table = spread(rows.where(used).select(*[F.col(f).cast("double").alias(n) for n, f in zip(names, features)],
+                                           F.col(target).cast("double").alias("y"), learned.alias("_learned"), *roles), settings.partitions)
+    edges = cut_points(table.where("_learned"), names, settings.bins)
+    models = Fit(binned(table.drop("_learned"), len(names), len(folds), edges), edges, objectives, settings, len(folds)).run()
     return [models[k * len(objectives):(k + 1) * len(objectives)] for k in range(len(folds))]
 
 

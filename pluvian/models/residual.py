@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pluvian.functions import constants as K
 from pluvian.functions.scalars import sorted_quantiles, wet
 from pluvian.models import boosting
-from pluvian.session import written
+from pluvian.session import spread
 
 
 @dataclass(frozen=True)
@@ -31,16 +31,14 @@ class TreeSettings:
     bins: int = 64
     seed: int = 42
     subsample: float = 1.0
-    partitions: int | None = None  # spread the training rows once; the learners pass over them many times
+    partitions: int | None = None  # least number of parts of the training rows; the learners pass over them many times
 
 
 def assembled(df: DataFrame, features: Sequence[str], settings: TreeSettings) -> DataFrame:
     """Split rows with their feature vector, written once; fits and scores all read the table."""
     df = df.where(F.col("is_train") | F.col("is_val"))
-    if settings.partitions:
-        df = df.repartition(settings.partitions)
     out = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="error").transform(df)
-    return written(out)
+    return spread(out, settings.partitions)
 
 
 def boosted_residual(df: DataFrame, features: Sequence[str], loss: str = "squared", target: str = "target_bias",

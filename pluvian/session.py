@@ -79,6 +79,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, least: int | None) -> DataFrame:
+    """`written`, in no fewer than `least` parts. A table with more keeps them, so that parts grow in number and not in size."""
+    table = written(df)
+    if least and table.rdd.getNumPartitions() < least:
+        table = written(table.repartition(least))
+    return table
+
+
 def _file_system(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())

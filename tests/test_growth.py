@@ -1,7 +1,12 @@
 """Steps that must grow no faster than their input."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from pluvian.models import boosting as B
+from pluvian.models import residual as M
+from pluvian.session import spread
 from pluvian.sources import forecasts as FS
 
 
@@ -17,3 +22,36 @@ def test_lead_documents_are_parsed_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
     assert sorted((r["lead_time_hours"], r["lat"]) for r in out.collect()) == [(1, 13.0), (1, 14.0)]
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Every small file is a split of its own, as large files are."""
+    names = [f"spark.sql.files.{n}" for n in ("maxPartitionBytes", "openCostInBytes")]
+    old = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, "1m")
+    yield
+    for n, v in zip(names, old):
+        spark.conf.set(n, v)
+
+
+def test_training_parts_grow_with_the_table(spark, small_splits, monkeypatch):
+    df = spark.range(0, 600, 1, 6).select((F.col("id") % 7).cast("double").alias("x"), F.col("id").cast("double").alias("y"),
+                                          (F.col("id") % 5 == 0).alias("is_val"), (F.col("id") % 5 != 0).alias("is_train"))
+    assert M.assembled(df, ["x"], M.TreeSettings(partitions=2)).rdd.getNumPartitions() >= 6
+    assert spread(df.coalesce(1), 3).rdd.getNumPartitions() >= 3
+    seen, plain = [], B.Fit.__init__
+
+    def watched(self, rows, *rest):
+        seen.append(rows.getNumPartitions())
+        plain(self, rows, *rest)
+    monkeypatch.setattr(B.Fit, "__init__", watched)
+    B.fit(df, ["x"], [B.Objective()], "y", B.BoostSettings(rounds=1, leaves=2, patience=None, partitions=2))
+    assert seen[0] >= 6
+
+
+def test_dense_sketches_count_alike():
+    cells = B.sketch_cells(np.random.default_rng(1).normal(0, 9, 5000))
+    a, b = B.Counts.of(cells), B.Counts.of_all(np.bincount(cells, minlength=B.WIDTH))
+    assert (a.keys == b.keys).all() and (a.n == b.n).all()
