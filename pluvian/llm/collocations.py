@@ -35,6 +35,8 @@ SLICE_BYTES = 1 << 22
 #: Phrases that a task gathers before it folds them, and entries of its filter before it sends them on.
 FRESH = 1 << 20
 HELD = 1 << 22
+#: First bits by which entries are cut into slices that are sorted one at a time.
+SLICE_BITS = 4
 #: Phrases (repeats counted) of a segment.
 SEGMENT = 1 << 22
 ROUNDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -134,9 +136,17 @@ class Layout:
             order = np.argsort(hi << np.uint64(2 * self.bits) | lo, kind="stable")
         else:
             order = np.lexsort((lo, hi))
-        hi, lo = hi[order], lo[order]
+        hi, lo, n = hi[order], lo[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]))
-        return hi[first], lo[first], np.add.reduceat(n[order], first)
+        return hi[first], lo[first], np.add.reduceat(n, first)
+
+    def slices(self, entries: Entries, bits: int, numbers: range | None = None) -> Iterator[Entries]:
+        """Sorted entries, cut by the first `bits` of `hi`: those of each number in turn (of all numbers by default)."""
+        numbers = range(1 << bits) if numbers is None else numbers
+        first = np.arange(numbers.start, numbers.stop, dtype=np.uint64)[1:] << np.uint64(self.bits - bits)
+        cut = [0, *np.searchsorted(entries[0], first).tolist(), len(entries[0])]
+        for a, z in zip(cut, cut[1:]):
+            yield tuple(x[a:z] for x in entries)
 
     def segments(self, entries: Entries) -> Iterator[tuple[int, bytes]]:
         """The filter of every segment that sorted entries fall into."""
@@ -205,52 +215,80 @@ def decoded(raw: bytes, high: int, low: int) -> Entries:
 def phrase_filters(coded: DataFrame, layout: Layout) -> DataFrame:
     """(segment, filter) for rows (codes, local, id): all phrases of two and three words that have ids, counted by task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, dtype=np.uint64)
-        held, fresh, size = (none, none, np.zeros(0, dtype=np.int64)), [], 0
+        held, fresh, size = Held(layout), [], 0
+        step = max(1, FRESH // 4)
 
-        def fold() -> Entries:
-            hi, lo = (np.concatenate(x) for x in zip(*fresh))
-            fresh.clear()
-            new = layout.folded(hi, lo, np.ones(len(hi), dtype=np.int64))
-            return layout.folded(*(np.concatenate(x) for x in zip(held, new)))
-
-        def out() -> pa.RecordBatch:
-            number, filters = zip(*layout.segments(held))
-            return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(filters, pa.binary())], ["segment", "filter"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for entries in held.taken():
+                number, filters = zip(*layout.segments(entries))
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(filters, pa.binary())], ["segment", "filter"])
         for b in batches:
             for i in range(b.num_rows):
                 codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column(0)[i].as_py()), np.int32)
                 ids = np.zeros(int(codes.max()) + 1, dtype=np.uint64)
                 ids[b.column(1)[i].values.to_numpy()] = b.column(2)[i].values.to_numpy()
-                x = ids[codes]
-                for at in range(0, len(x), FRESH):
-                    y = x[at:at + FRESH + 2]
+                for at in range(0, len(codes), step):
+                    y = ids[codes[at:at + step + 2]]
                     two = (y[:-1] > 0) & (y[1:] > 0)
                     three = two[:-1] & two[1:]
-                    two = two[:FRESH]  # the next part begins with what this one ends with
-                    fresh.append(layout.pack(y[:-1][:FRESH][two], y[1:][:FRESH][two], 0))
+                    two = two[:step]  # the next part begins with what this one ends with
+                    fresh.append(layout.pack(y[:-1][:step][two], y[1:][:step][two], 0))
                     fresh.append(layout.pack(y[:-2][three], y[1:-1][three], y[2:][three]))
                     size += len(fresh[-1][0]) + len(fresh[-2][0])
                     if size >= FRESH:
-                        held, size = fold(), 0
-                        if len(held[0]) >= HELD:
-                            yield out()
-                            held = (none, none, np.zeros(0, dtype=np.int64))
-        if fresh:
-            held = fold()
-        if len(held[0]):
-            yield out()
+                        held.add(fresh)
+                        size = 0
+                        if held.size >= HELD:
+                            yield from out()
+        held.add(fresh)
+        yield from out()
     return coded.select("codes", "local", "id").mapInArrow(run, "segment int, filter binary")
 
 
+class Held:
+    """Counted phrases of a task, in slices by the first bits of `hi`: only one slice at a time is copied to add more."""
+
+    def __init__(self, layout: Layout) -> None:
+        self.layout, self.bits = layout, min(SLICE_BITS, layout.bits)
+        self.parts: list[Entries | None] = [None] * (1 << self.bits)
+        self.size = 0
+
+    def add(self, fresh: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Counts the (hi, lo) of `fresh`, which is emptied."""
+        if not fresh:
+            return
+        hi, lo = (np.concatenate(x) for x in zip(*fresh))
+        fresh.clear()
+        new = self.layout.folded(hi, lo, np.ones(len(hi), dtype=np.int64))
+        self.size = 0
+        for k, more in enumerate(self.layout.slices(new, self.bits)):
+            old = self.parts[k]
+            if len(more[0]):
+                both = more if old is None else tuple(np.concatenate(x) for x in zip(old, more))
+                self.parts[k] = tuple(x.copy() for x in both) if old is None else self.layout.folded(*both)
+            self.size += 0 if self.parts[k] is None else len(self.parts[k][0])
+
+    def taken(self) -> Iterator[Entries]:
+        """The entries of each slice, which is empty afterwards."""
+        for k, entries in enumerate(self.parts):
+            self.parts[k] = None
+            if entries is not None:
+                yield entries
+        self.size = 0
+
+
 def merged(filters: DataFrame, layout: Layout, least: int) -> DataFrame:
     """(a, b, c, n): phrases that occur at least `least` times, as word ids, c = 0 for two words."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [layout.segment(key[0].as_py(), f) for f in table["filter"].to_pylist()]
-        hi, lo, n = layout.folded(*(np.concatenate(x) for x in zip(*parts)))
-        keep = n >= least
-        ids = layout.unpack(hi[keep], lo[keep])
-        return pa.table([pa.array(x.astype(np.int64)) for x in (*ids, n[keep])], names=["a", "b", "c", "n"])
+        number, bits = key[0].as_py(), min(layout.segment_bits + SLICE_BITS, layout.bits)
+        parts = [layout.segment(number, f.as_py()) for f in table["filter"]]
+        own = range(number << bits - layout.segment_bits, (number + 1) << bits - layout.segment_bits)
+        found = []
+        for same in zip(*(layout.slices(p, bits, own) for p in parts)):
+            hi, lo, n = layout.folded(*(np.concatenate(x) for x in zip(*same)))
+            keep = n >= least
+            found.append((*layout.unpack(hi[keep], lo[keep]), n[keep]))
+        return pa.table([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)], names=["a", "b", "c", "n"])
     return filters.groupBy("segment").applyInArrow(run, "a bigint, b bigint, c bigint, n bigint")
 
 

@@ -1,9 +1,12 @@
 """Collocations against plain counting, and filters as exact round trips."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from pluvian.llm import collocations as c
 from tests.llm import brute
@@ -102,3 +105,29 @@ def test_counts_beyond_64_bits(spark):
     df = spark.createDataFrame([(10 ** 12, 10 ** 12, 10 ** 12), (10 ** 12 - 1, 10 ** 12, 10 ** 12), (3, 7, 5)], "n bigint, l bigint, r bigint")
     got = [r[0] for r in df.select(c.association(*[df[x] for x in "nlr"])).collect()]
     assert got == [10 ** 6, 10 ** 6 * (10 ** 12 - 1) ** 2 // 10 ** 24, 9 * 10 ** 6 // 35]
+
+
+def test_room_of_a_task(monkeypatch):
+    """Filters are filled and merged slice by slice: the room is little more than that of the entries held."""
+    for name, value in (("FRESH", 1 << 15), ("HELD", 1 << 19)):
+        monkeypatch.setattr(c, name, value)
+
+    class Frame:
+        def __getattr__(self, _):
+            return lambda *a: self if isinstance(a[0], str) else a[0]
+    words, rng, layout = 50_000, np.random.default_rng(3), c.Layout(16, 0)
+    codes = [rng.integers(0, words, 1 << 15).astype(np.int32) for _ in range(12)]
+    for x in codes:
+        x[0] = words - 1
+    rows = pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor().compress(x.tobytes()) for x in codes]),
+                                       pa.array([range(1, words)] * 12, pa.list_(pa.int32())), pa.array([range(1, words)] * 12, pa.list_(pa.int64()))], list("xyz"))
+    tracemalloc.start()
+    filters = [f for b in c.phrase_filters(Frame(), layout)(iter([rows])) for f in b["filter"]]
+    filled = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    found = c.merged(Frame(), layout, 1)((pa.scalar(0),), pa.table([filters], names=["filter"]))
+    room = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = sum(int(((x[:-1] > 0) & (x[1:] > 0)).sum() + ((x[:-2] > 0) & (x[1:-1] > 0) & (x[2:] > 0)).sum()) for x in codes)
+    assert sum(found["n"].to_pylist()) == n and found.num_rows > c.HELD
+    assert filled < 50 * c.HELD and room < 100 * found.num_rows, (filled / c.HELD, room / found.num_rows)
