@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pluvian.functions.skew import rows_below
 from pluvian.operators.guards import assert_not_frozen, time_column
+from pluvian.session import written
 
 
 def chronological_split(df: DataFrame, time: str, key: Sequence[str], share: float = 0.7) -> DataFrame:
@@ -90,7 +91,8 @@ def train_row_budget(df: DataFrame, max_rows: int, cycle: str = "run_time") -> D
     needed = min(seen["cycles"], max(1, -(-max_rows // max(1, seen["first"]))))
     stride = max(1, seen["cycles"] // needed)
     index = rows_below(sizes.withColumn("_one", F.lit(1)), [], cycle, "_one", "_i")
-    chosen = index.where((F.col("_i") % stride == 0) & (F.col("_i") < stride * needed)).select(cycle)
+    # at most `max_rows` cycles; as a table of known size, so that the rows need not be dealt by cycle
+    chosen = written(index.where((F.col("_i") % stride == 0) & (F.col("_i") < stride * needed)).select(cycle))
     other = df.where(~F.col("is_train"))
     return df.where("is_train").join(chosen, cycle, "left_semi").select(*df.columns).unionByName(other)
 
