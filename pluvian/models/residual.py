@@ -7,20 +7,22 @@ Each fit takes a table marked with `is_train` and `is_val` and returns (fitted s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvian.functions import constants as K
 from pluvian.functions.scalars import sorted_quantiles, wet
 from pluvian.models import boosting
-from pluvian.session import spread
+from pluvian.session import spread, written
 
 
 @dataclass(frozen=True)
@@ -41,20 +43,70 @@ def assembled(df: DataFrame, features: Sequence[str], settings: TreeSettings) ->
     return spread(out, settings.partitions)
 
 
+def levels(rows: DataFrame, features: Sequence[str], bins: int) -> list[list[float]]:
+    """Of each feature at most `bins` values, in order: all that occur, or else quantiles in the middle of `bins` equal shares."""
+    columns = [F.col(f).cast("double") for f in features]
+    about = rows.agg(*[F.approx_count_distinct(c) for c in columns]).first()
+    probs = [(k + 0.5) / bins for k in range(bins)]
+    # sets of few values only; their size is known from the count above
+    found = rows.agg(*[F.collect_set(c) if n <= 2 * bins else F.percentile_approx(c, probs, 10_000) for c, n in zip(columns, about)]).first()
+    out = []
+    for c in found:
+        distinct = sorted(set(c or ()))
+        out.append(distinct if len(distinct) <= bins else [distinct[int(len(distinct) * p)] for p in probs])
+    return out
+
+
+def cells(rows: DataFrame, features: Sequence[str], label: str, settings: TreeSettings, groups: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows of equal bins and `groups` as one cell, for trees under squared loss: (table with `_x`, `label` and weight `_w`, its bins).
+
+    Each value goes to the nearest level of its feature, so the thresholds of a tree, half way between levels, part raw values
+    alike. A cell is two rows, one deviation to either side of its mean label (or one row without deviation): they have the number,
+    mean and squares of its rows, hence the same gains, leaves and errors. There are as many cells as bins that occur together,
+    however many rows. The number of bins returned makes the learner look at all cells for its thresholds.
+    """
+    known = levels(rows.where("is_train"), features, settings.bins)
+    y = F.col(label).cast("double")
+    y = F.when(y.isNull() | F.isnan(y), F.raise_error(F.lit("a row has no target"))).otherwise(y)
+    cut = [(f"_b{i}", f, [-math.inf, *(math.nextafter((a + b) / 2, math.inf) for a, b in zip(v, v[1:])), math.inf])
+           for i, (f, v) in enumerate(zip(features, known)) if len(v) > 1]
+    taken = rows.select(*groups, y.alias("_label"), *[F.col(f).cast("double").alias(f) for _, f, _ in cut])
+    if cut:
+        codes, names, splits = zip(*cut)
+        taken = Bucketizer(inputCols=list(names), outputCols=list(codes), splitsArray=[list(x) for x in splits]).transform(taken)
+    keys = [c for c, _, _ in cut]
+    summed = taken.groupBy(*groups, *keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_label").alias("_mean"), F.stddev_pop("_label").alias("_dev"))
+    both = F.array(*[F.struct((F.col("_mean") + d * F.col("_dev")).alias("y"), (F.col("_n") / 2).alias("w")) for d in (-1, 1)])
+    one = F.array(F.struct(F.col("_mean").alias("y"), F.col("_n").cast("double").alias("w")))
+
+    def level(i: int, v: list[float]) -> Column:
+        at = F.element_at(F.array(*[F.lit(x) for x in v]), F.col(f"_b{i}").cast("int") + 1) if len(v) > 1 else F.lit(v[0] if v else 0.0)
+        return at.alias(f"_f{i}")
+    each = summed.withColumn("_e", F.explode(F.when(F.col("_dev") > 0, both).otherwise(one))).select(
+        *groups, F.col("_e.y").alias(label), F.col("_e.w").alias("_w"), *[level(i, v) for i, v in enumerate(known)])
+    out = spread(VectorAssembler(inputCols=[f"_f{i}" for i in range(len(known))], outputCol="_x").transform(each), settings.partitions)
+    return out, max(settings.bins, math.isqrt(out.count()) + 1)
+
+
 def boosted_residual(df: DataFrame, features: Sequence[str], loss: str = "squared", target: str = "target_bias",
                      settings: TreeSettings = TreeSettings(), early_stop_tol: float | None = 1e-6):
     """Boosted trees on the residual (`absolute` or `squared` loss), stopped early on the validation rows.
 
     A round counts as no gain only if the validation error falls by less than a share `early_stop_tol`; a step of a few
-    percent gains little per round, so the tolerance is near zero.
+    percent gains little per round, so the tolerance is near zero. Under squared loss without subsampling the learner passes over
+    `cells`, whose number does not grow with the rows.
     """
     rows = assembled(df.withColumn("_y", F.col(target).cast("double")), features, settings)
     stop = {} if early_stop_tol is None else {"validationIndicatorCol": "is_val", "validationTol": early_stop_tol}
+    learned, bins, weight = rows if stop else rows.where("is_train"), settings.bins, {}
+    if loss == "squared" and settings.subsample == 1.0:
+        learned, bins = cells(learned, features, "_y", settings, ["is_train", "is_val"])
+        weight = {"weightCol": "_w"}
     learner = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="predicted_bias", lossType=loss,
                            maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.step,
-                           maxBins=settings.bins, seed=settings.seed, subsamplingRate=settings.subsample,
-                           checkpointInterval=10, **stop)
-    fitted = learner.fit(rows if stop else rows.where("is_train"))
+                           maxBins=bins, seed=settings.seed, subsamplingRate=settings.subsample,
+                           checkpointInterval=10, **stop, **weight)
+    fitted = learner.fit(learned)
     return fitted, fitted.transform(rows.where("is_val")).drop("_x", "_y")
 
 
@@ -85,15 +137,19 @@ def hurdle(df: DataFrame, features: Sequence[str], threshold: float = 0.1, obser
     """P(wet) times the amount expected when wet, minus the raw forecast.
 
     The amount model learns from wet rows only, or from all rows when fewer than two are wet (two counts decide). A training
-    set with a single class has a constant probability.
+    set with a single class has a constant probability. Without subsampling both models learn from `cells`: of each class by
+    itself, as all rows of a cell and class have one gradient.
     """
     rows = assembled(df.withColumns({"_wet": wet(observed, threshold).cast("double"),
                                      "_amount": F.col(observed).cast("double")}), features, settings)
     train, val = rows.where("is_train"), rows.where("is_val")
     seen = train.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("_wet") == 1.0).alias("wet")).first()
-    amounts = train.where("_wet = 1.0") if seen["wet"] >= 2 else train
     shared = dict(featuresCol="_x", maxIter=settings.rounds, maxDepth=settings.depth, maxBins=settings.bins,
                   seed=settings.seed, subsamplingRate=settings.subsample, checkpointInterval=10)
+    if settings.subsample == 1.0:
+        train, bins = cells(train, features, "_amount", settings, ["is_train", "_wet"])
+        shared |= {"maxBins": bins, "weightCol": "_w"}
+    amounts = train.where("_wet = 1.0") if seen["wet"] >= 2 else train
     amount = GBTRegressor(labelCol="_amount", predictionCol="_amount_hat", stepSize=settings.step, **shared).fit(amounts)
     scored = amount.transform(val)
     if 0 < seen["wet"] < seen["all"]:
@@ -121,8 +177,15 @@ def quantile_forest(df: DataFrame, features: Sequence[str], target: str = "targe
                                    maxDepth=depth, maxBins=settings.bins, seed=settings.seed).fit(rows.where("is_train"))
     tags = [f"q{round(q * 100)}" for q in quantiles]
     placed = forest.transform(rows).withColumn("_leaves", vector_to_array("_leaf"))
-    leaves = (placed.where("is_train").select("_y", F.posexplode("_leaves").alias("_tree", "_node"))
-              .groupBy("_tree", "_node").agg(F.percentile_approx("_y", list(quantiles), accuracy).alias("_q")))
+    learned = written(placed.where("is_train").select("_y", "_leaves"))
+    # sketches of fewer than 128 groups are kept in a hash map; of more, Spark would sort every row of every tree
+    few = max(1, 127 >> depth)
+
+    def of_trees(first: int) -> DataFrame:
+        each = F.posexplode(F.slice("_leaves", first + 1, few)).alias("_tree", "_node")
+        return (learned.select("_y", each).groupBy((F.col("_tree") + first).alias("_tree"), "_node")
+                .agg(F.percentile_approx("_y", list(quantiles), accuracy).alias("_q")))
+    leaves = reduce(DataFrame.union, [of_trees(first) for first in range(0, trees, few)])
     width = 2 ** (depth + 1)
     key = (F.col("_tree") * width + F.col("_node")).cast("int")
     by_key = F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col("_q").alias("v"))))

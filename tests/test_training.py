@@ -124,3 +124,43 @@ def test_saved_boosters_score_alike(spark, table, tmp_path):
     fitted, preds = T.train_and_score(rows, "m1", "quantile", ["id"], settings=small, save_to=str(tmp_path))
     back = M.load(spark, M.place(str(tmp_path), "ecmwf_ifs", "quantile", "m1"))
     assert [b.to_json() for b in back] == [b.to_json() for b in fitted] and len(back) == 4
+
+
+def test_cells_stand_for_their_rows(spark):
+    """Trees from the cells are those from all rows, and copies of the rows add no cells."""
+    rows = spark.range(3000).select("id", (F.col("id") % 12).cast("double").alias("a"), (F.floor(F.col("id") / 12) % 5).cast("double").alias("b"),
+                                    F.lit(2.0).alias("flat"), (F.floor(F.col("id") / 60) % 4 == 0).alias("is_val"))
+    rows = rows.withColumns({"target_bias": F.sin("a") * 5 + F.col("b") * F.col("a") / 9 + F.pmod(F.xxhash64("id"), F.lit(7)), "is_train": ~F.col("is_val")}).cache()
+    names, settings = ["a", "b", "flat"], M.TreeSettings(rounds=12, depth=3, bins=16, partitions=2)
+    _, got = M.boosted_residual(rows, names, settings=settings)
+    plain = M.GBTRegressor(featuresCol="_x", labelCol="target_bias", predictionCol="want", maxIter=12, maxDepth=3, stepSize=0.05, maxBins=16, seed=42,
+                           validationIndicatorCol="is_val", validationTol=1e-6)
+    every = M.VectorAssembler(inputCols=names, outputCol="_x").transform(rows)
+    both = got.join(plain.fit(every).transform(every.where("is_val")).select("id", "want"), "id")
+    assert both.count() == rows.where("is_val").count() and both.agg(F.max(F.abs(F.col("predicted_bias") - F.col("want")))).first()[0] < 1e-9
+    many = rows.crossJoin(spark.range(5).select(F.col("id").alias("copy")))
+    sizes = [M.cells(x, names, "target_bias", settings, ["is_train", "is_val"])[0] for x in (rows, many)]
+    assert [x.count() for x in sizes] == [240, 240] and [x.agg(F.sum("_w")).first()[0] for x in sizes] == [3000, 15000]
+
+
+def test_cells_part_raw_values_as_their_trees_do(spark):
+    """Many distinct values: every threshold of a tree lies between the bins, so a row is scored as it was learned."""
+    rows = spark.range(4000).select((F.pmod(F.xxhash64("id"), F.lit(100003)) / 7).alias("x"), F.lit(True).alias("is_train"), F.lit(False).alias("is_val"))
+    rows = rows.withColumn("target_bias", F.sqrt("x")).cache()
+    fitted, _ = M.boosted_residual(rows, ["x"], settings=M.TreeSettings(rounds=1, depth=2, bins=8), early_stop_tol=None)
+    scored = fitted.transform(M.VectorAssembler(inputCols=["x"], outputCol="_x").transform(rows)).groupBy("predicted_bias").agg(F.avg("target_bias").alias("mean"))
+    assert all(abs(r["predicted_bias"] - r["mean"]) < 1e-9 for r in scored.collect()) and scored.count() == 4
+
+
+def test_forest_sketches_need_no_sort(spark):
+    """Leaf quantiles of all trees, in parts of fewer groups than Spark's limit for a hash map."""
+    rows = spark.range(4000).select((F.col("id") % 50).cast("double").alias("x"), (F.col("id") % 4 == 0).alias("is_val"))
+    rows = rows.withColumns({"target_bias": F.col("x") % 7, "is_train": ~F.col("is_val")})
+    parts, plain = [], M.reduce
+    try:
+        M.reduce = lambda f, x: parts.extend(x) or plain(f, x)
+        _, out = M.quantile_forest(rows, ["x"], trees=9, settings=M.TreeSettings(bins=50, partitions=2))
+    finally:
+        M.reduce = plain
+    assert out.where("q10 > q50 or q50 is null").count() == 0 and out.count() == 1000
+    assert all(0 < p.count() < 128 for p in parts) and len({r[0] for p in parts for r in p.select("_tree").collect()}) == 9
