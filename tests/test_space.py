@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -103,6 +104,21 @@ def test_radius_join_brute_force_with_a_crowded_cell(spark):
     assert got == {(i, j) for i, j in zip(*np.where((d <= 50) & (d >= 2)))}
 
 
+def test_radius_pairs_are_dealt_by_their_number(spark):
+    """A few kB of rows that make 40,000 pairs in one cell: no task makes most of them, copies and missing places included."""
+    rng = np.random.default_rng(7)
+    t = pd.DataFrame({"t": np.r_[np.arange(300), 299, 300], "x_km": rng.uniform(0, 30, 302), "y_km": rng.uniform(0, 30, 302)})
+    t.loc[300, ["x_km", "y_km"]] = t.loc[299, ["x_km", "y_km"]]
+    s = pd.DataFrame({"s": range(150), "x_km": rng.uniform(0, 30, 150), "y_km": rng.uniform(0, 30, 150)})
+    targets = spark.createDataFrame(t).withColumn("x_km", F.when(F.col("t") < 300, F.col("x_km")))
+    pairs = SP.within_radius(targets, spark.createDataFrame(s), "t", "s", 50.0, 2.0, hot_rows=40)
+    rows = pairs.withColumn("task", F.spark_partition_id()).collect()
+    d = np.hypot(t.x_km.values[:301, None] - s.x_km.values, t.y_km.values[:301, None] - s.y_km.values)
+    want = Counter((int(t.t[i]), int(j)) for i, j in zip(*np.where((d <= 50) & (d >= 2))))
+    assert Counter((r["t"], r["s"]) for r in rows) == want
+    assert max(Counter(r["task"] for r in rows).values()) < 0.5 * len(rows)
+
+
 def test_nearest_site_brute_force(spark):
     rng = np.random.default_rng(7)
     s = pd.DataFrame({"s": range(400), "lon": np.r_[rng.normal(100, .05, 300), rng.uniform(-180, 180, 100)], "lat": np.r_[rng.normal(14, .05, 300), rng.uniform(-90, 90, 100)]})
