@@ -1,9 +1,11 @@
-"""Gradient boosting on histograms, leaf by leaf, for squared, absolute and quantile loss.
+"""Gradient boosting on histograms, leaf by leaf or level by level, for squared, absolute and quantile loss.
 
-Rows are binned once and kept in blocks. A pass over the blocks adds up, for every open node, gradients and rows by feature and bin,
-and a sketch of the residuals; tasks return sums of fixed size and combine them as a tree. From these the driver picks splits:
-the open leaf with the largest gain first, up to a number of leaves. A pass also looks at the children of leaves that may be split
-next, so a tree takes about as many passes as it is deep. Several models (one per quantile) share all passes.
+Rows are binned once and dealt to blocks by their bins, so that rows of equal bins, a cell, lie side by side: all of them have one
+prediction and fall in one leaf. The targets are looked at once a round, for the gradients of the cells and the loss, and once a tree
+for the quantiles of its leaves. A pass looks at cells only: it adds up, for every open node, gradients and rows by feature and bin;
+tasks return sums of fixed size and combine them as a tree. From these the driver picks splits: the open leaf with the largest gain
+first, up to a number of leaves. A pass also looks at the children of leaves that may be split next, so a tree takes about as many
+passes as it is deep. Several models (one per quantile) share all passes.
 
 Gradients and losses are summed in fixed point, so a model does not depend on how rows are dealt to tasks.
 """
@@ -11,6 +13,7 @@ Gradients and losses are summed in fixed point, so a model does not depend on ho
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import partial
@@ -20,13 +23,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.rdd import RDD
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvian.session import spread, written
+from pluvian.session import spread
 
 POINT = 1 << 20
-BLOCK_ROWS = 1 << 16
+#: Rows of a block, about: blocks grow in number with the rows, and not in size.
+BLOCK_ROWS = 1 << 21
+#: Rows that a task puts in order before it deals them out, and rows looked at together in a block.
+HELD_ROWS, SPAN = 1 << 20, 1 << 16
 #: Rounds after which the predictions of all rows are worked out from the stored rows again, so that the lineage stays short.
 REFRESH = 16
 #: Partial sums that the driver adds itself; more are combined on the executors first.
@@ -52,9 +59,14 @@ class Objective:
         """What a tree fits: the negative gradient, times POINT."""
         if self.loss == "squared":
             return np.rint(residual * POINT)
-        level = 0.5 if self.loss == "absolute" else self.level
+        level = self.middle
         return np.where(residual > 0, np.rint(level * POINT), np.where(residual < 0, np.rint((level - 1) * POINT), 0.0))
 
+    @property
+    def middle(self) -> float:
+        """Level of the quantile that a leaf takes."""
+        return 0.5 if self.loss == "absolute" else self.level
+
     def value(self, residual: np.ndarray) -> np.ndarray:
         if self.loss == "squared":
             return residual * residual
@@ -63,6 +75,18 @@ class Objective:
         return np.where(residual > 0, self.level * residual, (self.level - 1) * residual)
 
 
+class Signs(Objective):
+    """Absolute loss as Spark ML takes it: a tree fits 1 or -1, and a leaf has the mean of these. The loss is in finer units."""
+
+    FINER = 64
+
+    def gradient(self, residual: np.ndarray) -> np.ndarray:
+        return np.where(residual < 0, -float(POINT), float(POINT))
+
+    def value(self, residual: np.ndarray) -> np.ndarray:
+        return np.abs(residual) * self.FINER
+
+
 @dataclass(frozen=True)
 class BoostSettings:
     rounds: int = 100
@@ -85,7 +109,34 @@ class Tree:
     value: np.ndarray
 
     def place(self, codes: np.ndarray) -> np.ndarray:
-        """Node at which each column of `codes` (features x rows) ends."""
+        """Node at which each column of `codes` (features x rows) ends.
+
+        A bit for each leaf, from left to right. A code that goes right at a node rules out the leaves on the left of it, so a table
+        by feature and code has the leaves left over, and the first leaf that no feature rules out is the one.
+        """
+        if len(self.feature) < 2 or (self.feature < 0).sum() > 64:
+            return self.walked(codes)
+        leaves, under = [], {}
+
+        def visit(i: int) -> int:
+            """Bits of the leaves below a node."""
+            if self.feature[i] < 0:
+                leaves.append(i)
+                return 1 << len(leaves) - 1
+            under[i] = visit(int(self.left[i]))
+            return under[i] | visit(int(self.right[i]))
+        visit(0)
+        left = None
+        for f in sorted({int(self.feature[i]) for i in under}):
+            table = np.full(256, (1 << 64) - 1, dtype=np.uint64)
+            for i in under:
+                if self.feature[i] == f:
+                    table[self.cut[i] + 1:] &= np.uint64((1 << 64) - 1 ^ under[i])
+            left = table[codes[f]] if left is None else left & table[codes[f]]
+        return np.array(leaves, dtype=np.int32)[np.bitwise_count((left & -left) - np.uint64(1))]
+
+    def walked(self, codes: np.ndarray) -> np.ndarray:
+        """The same, from node to node."""
         at = np.zeros(codes.shape[1], dtype=np.int32)
         rows = np.arange(codes.shape[1])
         while len(rows):
@@ -111,8 +162,10 @@ class Booster:
 
     def predict(self, values: np.ndarray) -> np.ndarray:
         """Predictions for a rows x features array."""
-        codes = coded(values, self.edges)
-        out = np.full(len(values), self.start)
+        return self.predict_coded(coded(values, self.edges))
+
+    def predict_coded(self, codes: np.ndarray) -> np.ndarray:
+        out = np.full(codes.shape[1], self.start)
         for t in self.trees:
             out += t.predict(codes)
         return out
@@ -164,30 +217,115 @@ def cut_points(rows: DataFrame, features: Sequence[str], bins: int) -> list[np.n
 TRAIN, VALIDATE = 1, 2
 
 
-def binned(table: DataFrame, d: int, n: int, edges: list[np.ndarray]) -> RDD:
-    """RDD of (codes, target, roles): features x rows bins and folds x rows roles, from a table of `d` features, target and `n` roles."""
+def numbered(codes: np.ndarray) -> np.ndarray:
+    """A number for each column, equal where columns are equal and only there."""
+    key, width = np.zeros(codes.shape[1], dtype=np.int64), 1
+    for row in codes:
+        if width > 1 << 54:
+            found, key = np.unique(key, return_inverse=True)
+            width = len(found)
+        key, width = key * 256 + row, width * 256
+    return key
+
+
+def gathered(y: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The stretches of `y` of length `n` at `starts`, one after the other."""
+    return y[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def cells_of(codes: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces (columns of `codes`, with `n` targets each) put together: codes, rows and targets cell by cell, in the order of codes."""
+    key = numbered(codes)
+    order = np.argsort(key, kind="stable")
+    key, taken = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return codes[:, order[first]], np.add.reduceat(taken, first), gathered(y, (np.cumsum(n) - n)[order], taken)
+
+
+def dealt(codes: np.ndarray, n: np.ndarray, y: np.ndarray, parts: int) -> Iterator[tuple]:
+    """(block, codes, rows, targets) of each block that gets some of these cells. A cell goes to a block by its codes; one that would be
+    more than an even share is cut into pieces, which go to blocks side by side."""
+    most = -(-len(y) // parts)
+    pieces = -(-n // most)
+    cell = np.repeat(np.arange(len(n)), pieces)
+    k = np.arange(len(cell)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    spot = np.zeros(codes.shape[1], dtype=np.uint64)
+    for row in codes:
+        spot = (spot ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        spot ^= spot >> np.uint64(31)
+    block = ((spot[cell] % np.uint64(parts)).astype(np.int64) + k) % parts
+    order = np.argsort(block, kind="stable")
+    cell, size = cell[order], np.minimum(most, n[cell] - k * most)
+    taken, y = size[order], gathered(y, (np.cumsum(size) - size)[order], size[order])
+    upto = np.concatenate([[0], np.cumsum(taken)])
+    cut = np.searchsorted(block[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut)):
+        a, b = cut[p], cut[p + 1]
+        yield int(p), codes[:, cell[a:b]], taken[a:b], y[upto[a]:upto[b]]
+
+
+PIECES = ["x", "n", "y"]
+
+
+def packed(codes: np.ndarray, n: np.ndarray, y: np.ndarray) -> list[bytes]:
+    return [codes.tobytes(), n.astype("<i8").tobytes(), y.tobytes()]
+
+
+def unpacked(x: bytes, n: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.frombuffer(n, "<i8")
+    return np.frombuffer(x, np.uint8).reshape(-1, len(size)), size, np.frombuffer(y, "<f8")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def singly(rdd: RDD) -> RDD:
+    """Each element pickled by itself, so that RDDs of blocks can be zipped as they are."""
+    return rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1))
+
+
+def binned(table: DataFrame, d: int, n: int, edges: list[np.ndarray], least: int | None = None) -> RDD:
+    """RDD of blocks (codes, roles, rows, target), from a table of `d` features, target and `n` roles.
+
+    `codes` are features x cells bins and `roles` folds x cells, `rows` counts the rows of each cell, whose targets follow each other.
+    Cells are in the order of their roles. There are `least` blocks at least (by default what keeps the cores busy, and no more than
+    the table's parts). What is shuffled is the targets, once, and the bins of the cells of every task.
+    """
+    parts = max(least or min(table.rdd.getNumPartitions(), table.sparkSession.sparkContext.defaultParallelism), -(-table.count() // BLOCK_ROWS))
+
+    def batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+        kinds = [pa.int32() if name == "part" else pa.binary() for name in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            x, y, v = (np.concatenate(part, axis=-1) for part in zip(*held))
-            return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (x, y, v)], ["x", "y", "v"])
+            x, y = (np.concatenate(part, axis=-1) for part in zip(*held))
+            cells = cells_of(x, np.ones(len(y), dtype=np.int64), y)
+            return batch([(p, *packed(*piece)) for p, *piece in dealt(*cells, parts)], ["part", *PIECES])
         for b in batches:
+            if not b.num_rows:
+                continue
             values = np.stack([b.column(f).to_numpy(zero_copy_only=False) for f in range(d)], axis=1)
             y, *roles = (b.column(d + k).to_numpy(zero_copy_only=False) for k in range(1 + n))
             if np.isnan(y).any():
                 raise ValueError("a row has no target")
-            held.append((coded(values, edges), y.astype("<f8"), np.stack(roles).astype(np.int8)))
+            held.append((np.concatenate([np.stack(roles).astype(np.uint8), coded(values, edges)]), y.astype("<f8")))
             size += b.num_rows
-            if size >= BLOCK_ROWS:
+            if size >= HELD_ROWS:
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
 
-    stored = written(table.mapInArrow(run, "x binary, y binary, v binary"))
-    return stored.rdd.map(lambda r: (np.frombuffer(r[0], np.uint8).reshape(d, -1), np.frombuffer(r[1], "<f8"), np.frombuffer(r[2], np.int8).reshape(n, -1)))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [unpacked(*(b.column(c)[i].as_buffer() for c in PIECES)) for b in batches for i in range(b.num_rows)]
+        if held:
+            yield batch([packed(*cells_of(*(np.concatenate(part, axis=-1) for part in zip(*held))))], PIECES)
+
+    def block(r) -> tuple:
+        x, size, y = unpacked(*r)
+        return x[n:], x[:n], size, y
+    pieces = table.mapInArrow(deal, "part int, x binary, n binary, y binary").repartitionById(parts, F.col("part"))
+    return singly(pieces.drop("part").mapInArrow(merge, "x binary, n binary, y binary").rdd.map(block))
 
 
 def sketch_cells(residual: np.ndarray) -> np.ndarray:
@@ -231,10 +369,10 @@ class Node:
     depth: int
     rows: int = -1
     total: int = 0
-    sketch: Counts | None = None
     gain: float = 0.0
     feature: int = -1
     cut: int = 0
+    left: tuple[int, int] = (0, 0)  # rows and total on the left of the cut
     children: tuple[int, int] | None = None
 
 
@@ -254,11 +392,12 @@ class Growing:
         pick = lambda f: np.array([f(n) if i else -1 for n, i in zip(self.nodes, inner)], dtype=np.int32)
         return Tree(pick(lambda n: n.feature), pick(lambda n: n.cut), pick(lambda n: n.children[0]), pick(lambda n: n.children[1]), np.zeros(len(inner)))
 
-    def take(self, node: int, gradient: np.ndarray, rows: np.ndarray, sketch: Counts) -> None:
+    def take(self, node: int, gradient: np.ndarray, rows: np.ndarray) -> None:
         """Sums of one node: features x bins."""
         n = self.nodes[node]
-        n.rows, n.total, n.sketch = int(rows[0].sum()), int(gradient[0].sum()), sketch
-        left_n, left_g = rows.cumsum(axis=1)[:, :-1], gradient.cumsum(axis=1)[:, :-1].astype(np.float64)
+        n.rows, n.total = int(rows[0].sum()), int(gradient[0].sum())
+        left_n, left_total = rows.cumsum(axis=1)[:, :-1], gradient.cumsum(axis=1)[:, :-1]
+        left_g = left_total.astype(np.float64)
         right_n, right_g = n.rows - left_n, n.total - left_g
         fits = (left_n >= self.settings.least_rows) & (right_n >= self.settings.least_rows)
         if not fits.any():
@@ -269,6 +408,7 @@ class Growing:
         if gain.flat[best] > 1e-9 * abs(base) + 1e-9:
             n.gain = float(gain.flat[best])
             n.feature, n.cut = divmod(best, gain.shape[1])
+            n.left = int(left_n.flat[best]), int(left_total.flat[best])
 
     def grow(self) -> bool:
         """Split leaf by leaf; True when the tree is complete, else children whose sums are needed have been added."""
@@ -288,8 +428,8 @@ class Growing:
             leaves += self.nodes[best].children
         return True
 
-    def finished(self, objective: Objective, scale: float) -> Tree:
-        """The chosen splits, and the values of the leaves times `scale`."""
+    def finished(self) -> tuple[Tree, list[Node]]:
+        """The chosen splits, without values, and the nodes they have sums of."""
         order, number = [0], {0: 0}
         for i in order:
             if i in self.chosen:
@@ -299,16 +439,26 @@ class Growing:
         inner = [i in self.chosen for i in order]
         pick = lambda f: np.array([f(self.nodes[i]) if s else -1 for i, s in zip(order, inner)], dtype=np.int32)
         return Tree(pick(lambda n: n.feature), pick(lambda n: n.cut), pick(lambda n: number[n.children[0]]), pick(lambda n: number[n.children[1]]),
-                    np.array([0.0 if s else scale * leaf_value(self.nodes[i], objective) for i, s in zip(order, inner)]))
+                    np.zeros(len(order))), [self.nodes[i] for i in order]
+
 
+class GrowingLevels(Growing):
+    """A tree that splits every leaf with a gain, down to a depth."""
 
-def leaf_value(node: Node, objective: Objective) -> float:
-    """Mean of the residuals, or their quantile."""
-    if node.rows <= 0:
-        return 0.0
-    if objective.loss == "squared":
-        return node.total / node.rows / POINT
-    return sketch_quantile(node.sketch, 0.5 if objective.loss == "absolute" else objective.level)
+    def __init__(self, settings: BoostSettings, depth: int) -> None:
+        super().__init__(settings)
+        self.depth = depth
+
+    def grow(self) -> bool:
+        for i in [i for i, n in enumerate(self.nodes) if n.gain > 0 and n.children is None and n.depth < self.depth]:
+            n = self.nodes[i]
+            left, right = Node(n.depth + 1), Node(n.depth + 1)
+            if left.depth == self.depth:  # leaves, whose sums follow from the split
+                (left.rows, left.total), (right.rows, right.total) = n.left, (n.rows - n.left[0], n.total - n.left[1])
+            n.children = (len(self.nodes), len(self.nodes) + 1)
+            self.nodes += [left, right]
+            self.chosen.add(i)
+        return not self.open()
 
 
 @dataclass
@@ -317,103 +467,192 @@ class Request:
 
     model: int
     fold: int
-    objective: Objective
     shape: Tree
     open: list[int]
 
+    def slots(self, codes: np.ndarray, roles: np.ndarray) -> np.ndarray:
+        """The place in `open` of the node of each cell to learn from, else -1."""
+        number = np.full(len(self.shape.feature), -1)
+        number[self.open] = np.arange(len(self.open))
+        return np.where(roles[self.fold] == TRAIN, number[self.shape.place(codes)], -1)
 
-def sums(parts: Iterator[tuple], requests: list[Request], bins: int) -> Iterator[list[tuple]]:
-    """Per request: gradients and rows (node x feature x bin), sketches (node x cell), loss and rows of validation."""
-    out = None
-    sketches = [np.zeros(len(q.open) * WIDTH if q.objective.loss != "squared" else 0, dtype=np.int64) for q in requests]
-    for codes, y, roles, base in parts:
-        d, found = len(codes), []
-        for q, sketch in zip(requests, sketches):
-            val = roles[q.fold] == VALIDATE
-            residual = y - base[q.model]
-            number = np.full(len(q.shape.feature), -1)
-            number[q.open] = np.arange(len(q.open))
-            slot = number[q.shape.place(codes)]
-            use = np.flatnonzero((slot >= 0) & (roles[q.fold] == TRAIN))
-            slot, r, k = slot[use], residual[use], len(q.open)
-            g, x = q.objective.gradient(r), codes[:, use]
-            cell = slot * bins
-            gradient = np.stack([np.bincount(cell + x[f], g, k * bins) for f in range(d)]).astype(np.int64)
-            rows = np.stack([np.bincount(cell + x[f], minlength=k * bins) for f in range(d)])
-            if len(sketch):
-                sketch += np.bincount(slot * WIDTH + sketch_cells(r), minlength=len(sketch))
-            loss = int(np.rint(q.objective.value(residual[val]) * POINT).sum())
-            found.append((gradient.reshape(d, k, bins).swapaxes(0, 1), rows.reshape(d, k, bins).swapaxes(0, 1), loss, int(val.sum())))
-        out = found if out is None else added(out, found)
-    if out is not None:
-        yield [(g, n, Counts.of_all(s), *rest) for (g, n, *rest), s in zip(out, sketches)]
 
+@dataclass
+class Cells:
+    """The cells of a block: their bins, roles and rows, and for each model prediction and sum of gradients. `loss` has, for each model,
+    the loss over the validation rows and their number."""
+
+    codes: np.ndarray
+    roles: np.ndarray
+    n: np.ndarray
+    base: np.ndarray
+    gradient: np.ndarray
+    loss: list[tuple[int, int]]
 
-def added(a: list[tuple], b: list[tuple]) -> list[tuple]:
-    return [tuple(x + y for x, y in zip(p, q)) for p, q in zip(a, b)]
+
+def spans(n: np.ndarray) -> list[tuple[slice, slice]]:
+    """Ranges of cells, and of their rows, of about SPAN rows."""
+    upto = np.concatenate([[0], np.cumsum(n)])
+    cut = np.unique(np.concatenate([[0], np.searchsorted(upto, np.arange(SPAN, upto[-1], SPAN)), [len(n)]]))
+    return [(slice(a, b), slice(upto[a], upto[b])) for a, b in zip(cut, cut[1:])]
 
 
-def with_predictions(part: tuple, starts: list[float], trees: list[list[Tree]]) -> tuple:
-    codes, y, roles = part[:3]
-    return with_trees((codes, y, roles, np.repeat(np.array(starts)[:, None], len(y), axis=1)), trees)
+def looked_at(block: tuple, base: np.ndarray, asked: dict[int, tuple[int, Objective]]) -> Cells:
+    """The cells of a block under the predictions `base` (models x cells); `asked` has fold and objective of the models looked at."""
+    codes, roles, n, y = block
+    gradient, loss = np.zeros(base.shape, dtype=np.int64), [(0, 0)] * len(base)
+    for cells, rows in spans(n):
+        size, target = n[cells], y[rows]
+        for m, (fold, objective) in asked.items():
+            residual = target - np.repeat(base[m, cells], size)
+            val = roles[fold, cells] == VALIDATE
+            if not val.all():
+                gradient[m, cells] = np.add.reduceat(objective.gradient(residual), np.cumsum(size) - size)
+            if val.any():
+                held = residual if val.all() else residual[np.repeat(val, size)]
+                loss[m] = loss[m][0] + int(np.rint(objective.value(held) * POINT).sum()), loss[m][1] + len(held)
+    return Cells(codes, roles, n, base, gradient, loss)
 
 
-def with_trees(part: tuple, trees: list[list[Tree]]) -> tuple:
-    codes, y, roles, base = part
-    base = base.copy()
+def first_look(block: tuple, starts: list[float], trees: list[list[Tree]], asked: dict[int, tuple[int, Objective]]) -> Cells:
+    base = np.repeat(np.array(starts)[:, None], len(block[2]), axis=1)
+    return looked_at(block, with_trees(block[0], base, trees), asked)
+
+
+def next_look(pair: tuple[tuple, Cells], trees: list[list[Tree]], asked: dict[int, tuple[int, Objective]]) -> Cells:
+    block, before = pair
+    return looked_at(block, with_trees(block[0], before.base.copy(), trees), asked)
+
+
+def with_trees(codes: np.ndarray, base: np.ndarray, trees: list[list[Tree]]) -> np.ndarray:
     for m, own in enumerate(trees):
         for t in own:
             base[m] += t.predict(codes)
-    return codes, y, roles, base
+    return base
+
+
+def sums(parts: Iterator[Cells], requests: list[Request], bins: int) -> Iterator[list[tuple]]:
+    """Per request: gradients and rows (node x feature x bin), cells that were added up, loss and rows of validation."""
+    out = None
+    for c in parts:
+        d, found = len(c.codes), []
+        for q in requests:
+            slot, k = q.slots(c.codes, c.roles), len(q.open)
+            use = np.flatnonzero(slot >= 0)
+            cell, x, g, n = slot[use] * bins, c.codes[:, use], c.gradient[q.model, use], c.n[use]
+            gradient, rows = (np.stack([np.bincount(cell + x[f], w, k * bins) for f in range(d)]).astype(np.int64) for w in (g, n))
+            found.append((gradient.reshape(d, k, bins).swapaxes(0, 1), rows.reshape(d, k, bins).swapaxes(0, 1), len(use), *c.loss[q.model]))
+        out = found if out is None else added(out, found)
+    if out is not None:
+        yield out
+
+
+def residuals(pairs: Iterator[tuple[tuple, Cells]], requests: list[Request]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the request, slots, residuals) of rows to learn from, span by span."""
+    for (codes, roles, n, y), c in pairs:
+        for i, q in enumerate(requests):
+            slot = q.slots(codes, roles)
+            for cells, rows in spans(n):
+                use = np.repeat(slot[cells], n[cells])
+                known = use >= 0
+                if known.any():
+                    yield i, use[known], (y[rows] - np.repeat(c.base[q.model, cells], n[cells]))[known]
+
+
+def sketches(pairs: Iterator[tuple[tuple, Cells]], requests: list[Request]) -> Iterator[list[tuple[Counts]]]:
+    """Per request, counts of residuals by node and sketch cell."""
+    out = [np.zeros(len(q.open) * WIDTH, dtype=np.int64) for q in requests]
+    for i, slot, r in residuals(pairs, requests):
+        np.add.at(out[i], slot * WIDTH + sketch_cells(r), 1)
+    yield [(Counts.of_all(s),) for s in out]
+
+
+REST = 1 << 31
+
+
+def moments(pairs: Iterator[tuple[tuple, Cells]], requests: list[Request]) -> Iterator[list[tuple]]:
+    """Per request and node, sums of residuals (in fixed point, and in units of 1 / REST what that leaves over) and of their squares."""
+    out = [[np.zeros(len(q.open), dtype=np.int64), np.zeros(len(q.open), dtype=np.int64), np.zeros(len(q.open))] for q in requests]
+    for i, slot, r in residuals(pairs, requests):
+        whole = np.rint(r * POINT)
+        for total, part in zip(out[i], (whole, np.rint((r * POINT - whole) * REST), r * r)):
+            total += np.bincount(slot, part, len(total)).astype(total.dtype)
+    yield [tuple(x) for x in out]
+
+
+def added(a: list[tuple], b: list[tuple]) -> list[tuple]:
+    return [tuple(x + y for x, y in zip(p, q)) for p, q in zip(a, b)]
 
 
 class Fit:
     """Boosting of several objectives, in each of several folds, over the same rows."""
 
     def __init__(self, rows: RDD, edges: list[np.ndarray], objectives: Sequence[Objective], settings: BoostSettings, folds: int = 1) -> None:
-        self.rows, self.settings, self.parts = rows, settings, rows.getNumPartitions()
+        self.rows, self.settings, self.parts = rows.persist(StorageLevel.MEMORY_AND_DISK), settings, rows.getNumPartitions()
         self.models = [Booster(o, edges, 0.0) for _ in range(folds) for o in objectives]
         self.fold = [k for k in range(folds) for _ in objectives]
         self.bins = max(2, max(len(e) for e in edges) + 1)
         self.added, self.old, self.state = [0] * len(self.models), None, None
 
-    def _advance(self, anew: bool) -> None:
-        """Predictions with all trees so far: from the last ones, or `anew` from the stored rows. The next pass works them out, and
-        what executors lose is worked out again."""
+    def _advance(self, anew: bool, active: Sequence[int]) -> None:
+        """Look at all targets under the predictions with all trees so far: from the last ones, or `anew` from the rows. The next pass
+        works them out, and what executors lose is worked out again."""
+        asked = {m: (self.fold[m], self.models[m].objective) for m in active}
         if anew:
-            apply = partial(with_predictions, starts=[m.start for m in self.models], trees=[list(m.trees) for m in self.models])
-            after = self.rows.map(apply)
+            after = self.rows.map(partial(first_look, starts=[m.start for m in self.models], trees=[list(m.trees) for m in self.models], asked=asked))
         else:
-            after = self.state.map(partial(with_trees, trees=[m.trees[n:] for m, n in zip(self.models, self.added)]))
-        self.old, self.state = self.state, after.persist(StorageLevel.MEMORY_AND_DISK)
+            trees = [m.trees[n:] for m, n in zip(self.models, self.added)]
+            after = self.rows.zip(self.state).map(partial(next_look, trees=trees, asked=asked))
+        self.old, self.state = self.state, singly(after).persist(StorageLevel.MEMORY_AND_DISK)
         self.added = [len(m.trees) for m in self.models]
 
-    def _pass(self, growing: dict[int, Growing]) -> list[tuple]:
-        asked = [Request(m, self.fold[m], self.models[m].objective, g.shape(), g.open()) for m, g in growing.items()]
-        # the requests, a few trees, travel with the tasks: a broadcast would take longer than the pass
-        found = self.state.mapPartitions(partial(sums, requests=asked, bins=self.bins))
+    def _combined(self, found: RDD) -> list[tuple]:
         out = found.reduce(added) if self.parts <= DIRECT else found.treeReduce(added)
         if self.old is not None:
             self.old.unpersist()
             self.old = None
-        for (m, g), (gradient, rows, sketch, _, _) in zip(growing.items(), out):
-            cut = np.searchsorted(sketch.keys, WIDTH * np.arange(len(g.open()) + 1))
+        return out
+
+    def _pass(self, growing: dict[int, Growing]) -> list[tuple]:
+        asked = [Request(m, self.fold[m], g.shape(), g.open()) for m, g in growing.items()]
+        # the requests, a few trees, travel with the tasks: a broadcast would take longer than the pass
+        out = self._combined(self.state.mapPartitions(partial(sums, requests=asked, bins=self.bins)))
+        for g, (gradient, rows, *_) in zip(growing.values(), out):
             for k, node in enumerate(g.open()):
-                part = slice(cut[k], cut[k + 1])
-                g.take(node, gradient[k], rows[k], Counts(sketch.keys[part] - WIDTH * k, sketch.n[part]))
+                g.take(node, gradient[k], rows[k])
         return out
 
+    def _values(self, done: dict[int, tuple[Tree, list[Node]]]) -> None:
+        """Sets the leaves of trees: means of the residuals from the sums of the passes, quantiles from a sketch."""
+        asked = []
+        for m, (tree, nodes) in done.items():
+            leaves = np.flatnonzero(tree.feature < 0)
+            if self.models[m].objective.loss == "squared":
+                tree.value[leaves] = [nodes[i].total / nodes[i].rows / POINT if nodes[i].rows > 0 else 0.0 for i in leaves]
+            else:
+                asked.append(Request(m, self.fold[m], tree, leaves.tolist()))
+        if not asked:
+            return
+        for q, (sketch,) in zip(asked, self._combined(self.rows.zip(self.state).mapPartitions(partial(sketches, requests=asked)))):
+            cut = np.searchsorted(sketch.keys, WIDTH * np.arange(len(q.open) + 1))
+            for k, leaf in enumerate(q.open):
+                part = slice(cut[k], cut[k + 1])
+                if cut[k] < cut[k + 1]:
+                    q.shape.value[leaf] = sketch_quantile(Counts(sketch.keys[part] - WIDTH * k, sketch.n[part]), self.models[q.model].objective.middle)
+
     def run(self) -> list[Booster]:
         s = self.settings
-        self._advance(anew=True)
-        first = {m: Growing(s) for m in range(len(self.models))}
+        active = list(range(len(self.models)))
+        self._advance(True, active)
+        first = {m: Growing(s) for m in active}
         self._pass(first)
         if any(g.nodes[0].rows == 0 for g in first.values()):
             raise ValueError("no rows to learn from")
-        for m, g in first.items():
-            self.models[m].start = leaf_value(g.nodes[0], self.models[m].objective)
-        self._advance(anew=True)
-        active = list(range(len(self.models)))
+        whole = {m: g.finished() for m, g in first.items()}
+        self._values(whole)
+        for m, (tree, _) in whole.items():
+            self.models[m].start = float(tree.value[0])
+        self._advance(True, active)
         for done in range(s.rounds + 1):
             growing = {m: Growing(s) for m in active}
             out = self._pass(growing)
@@ -424,29 +663,98 @@ class Fit:
             growing = {m: g for m, g in growing.items() if m in active}
             if not active or done == s.rounds:
                 break
+            grown = {}
             while growing:
-                growing_on = {}
-                for m, g in growing.items():
-                    if g.grow():
-                        self.models[m].trees.append(g.finished(self.models[m].objective, s.step))
-                    else:
-                        growing_on[m] = g
-                growing = growing_on
+                grown |= {m: g.finished() for m, g in growing.items() if g.grow()}
+                growing = {m: g for m, g in growing.items() if m not in grown}
                 if growing:
                     self._pass(growing)
-            self._advance(anew=done % REFRESH == REFRESH - 1)
-        self.state.unpersist()
+            self._values(grown)
+            for m, (tree, _) in grown.items():
+                tree.value *= s.step
+                self.models[m].trees.append(tree)
+            self._advance(done % REFRESH == REFRESH - 1, active)
+        self.close()
         for m in self.models:
             if m.curve and s.patience is not None:
                 del m.trees[int(np.argmin(m.curve)):]
         return self.models
 
+    def close(self) -> None:
+        self.state.unpersist()
+        self.rows.unpersist()
+
     def _settled(self, model: Booster) -> bool:
         """No gain on the validation rows for `patience` rounds in a row."""
         s = self.settings
         return s.patience is not None and bool(model.curve) and len(model.curve) - 1 - int(np.argmin(model.curve)) >= s.patience
 
 
+@dataclass
+class Grown:
+    """A tree with what each node has: gain of its split in variance, and number, sum and sum of squares of what the tree fits."""
+
+    tree: Tree
+    gain: np.ndarray
+    stats: np.ndarray
+
+
+class LevelFit(Fit):
+    """Spark ML's boosted trees under absolute loss, from blocks of one fold: a first tree on the targets, then trees, times `step`, on the
+    signs of the residuals. A tree splits all leaves of a level with a gain; a leaf has the mean."""
+
+    def __init__(self, rows: RDD, edges: list[np.ndarray], rounds: int, depth: int, step: float) -> None:
+        super().__init__(rows, edges, [Objective()], BoostSettings(rounds, 2 ** depth, step, least_rows=1, patience=None))
+        self.depth, self.grown = depth, []
+
+    def _grow(self, growing: Growing) -> None:
+        while not growing.grow():
+            self._pass({0: growing})
+        tree, nodes = growing.finished()
+        stats = np.array([(n.rows, n.total / POINT, n.rows) for n in nodes], dtype=np.float64)
+        if not self.grown:
+            # the targets themselves are summed with more digits than the passes have
+            leaves = np.flatnonzero(tree.feature < 0)
+            (found,) = self._combined(self.rows.zip(self.state).mapPartitions(partial(moments, requests=[Request(0, 0, tree, leaves.tolist())])))
+            stats[:, 1:] = 0.0
+            stats[leaves, 1] = [(int(a) * REST + int(b)) / (POINT * REST) for a, b in zip(*found[:2])]
+            stats[leaves, 2] = found[2]
+            for i in reversed(np.flatnonzero(tree.feature >= 0)):
+                stats[i, 1:] = stats[tree.left[i], 1:] + stats[tree.right[i], 1:]
+        tree.value = stats[:, 1] / stats[:, 0] * (self.settings.step if self.grown else 1.0)
+        self.grown.append(Grown(tree, np.array([n.gain / POINT / POINT / n.rows for n in nodes]), stats))
+        self.models[0].trees.append(tree)
+
+    def run(self, tolerance: float | None) -> list[Grown]:
+        """The trees up to the best round. Rounds end when the validation loss falls by less than a share `tolerance`; None takes all."""
+        self._advance(True, [0])
+        first = GrowingLevels(self.settings, self.depth)
+        self._pass({0: first})
+        if first.nodes[0].rows == 0:
+            raise ValueError("no rows to learn from")
+        self._grow(first)
+        self.models[0].objective = Signs()
+        best, keep = math.nan, 1
+        for done in range(1, self.settings.rounds + 1):
+            if done == self.settings.rounds and tolerance is None:
+                break
+            self._advance(done % REFRESH == 1, [0])
+            growing = GrowingLevels(self.settings, self.depth)
+            ((*_, loss, n),) = self._pass({0: growing})
+            error = loss / POINT / Signs.FINER / n if n else math.nan
+            if tolerance is not None:
+                if done == 1:
+                    best = error
+                elif best - error < tolerance * max(error, 0.01):
+                    break
+                elif error < best:
+                    best, keep = error, done
+            if done < self.settings.rounds:
+                self._grow(growing)
+        self.close()
+        return self.grown if tolerance is None else self.grown[:keep]
+
+
 def fit(rows: DataFrame, features: Sequence[str], objectives: Sequence[Objective], target: str, settings: BoostSettings = BoostSettings()) -> list[Booster]:
     """A model per objective, fitted on the rows marked `is_train` and watched on those marked `is_val`.
 
@@ -473,7 +781,8 @@ def fit_folds(rows: DataFrame, features: Sequence[str], objectives: Sequence[Obj
     table = spread(rows.where(used).select(*[F.col(f).cast("double").alias(n) for n, f in zip(names, features)],
                                            F.col(target).cast("double").alias("y"), learned.alias("_learned"), *roles), settings.partitions)
     edges = cut_points(table.where("_learned"), names, settings.bins)
-    models = Fit(binned(table.drop("_learned"), len(names), len(folds), edges), edges, objectives, settings, len(folds)).run()
+    blocks = binned(table.drop("_learned"), len(names), len(folds), edges, settings.partitions)
+    models = Fit(blocks, edges, objectives, settings, len(folds)).run()
     return [models[k * len(objectives):(k + 1) * len(objectives)] for k in range(len(folds))]
 
 
@@ -481,10 +790,14 @@ def predictions(rows: DataFrame, models: Sequence[Booster], features: Sequence[s
     """`rows` with the prediction of each model under its name."""
     sent = rows.sparkSession.sparkContext.broadcast(list(models))  # trees of bounded number and size
 
-    @F.pandas_udf("array<double>")
-    def predicted(values: pd.Series) -> pd.Series:
-        x = np.stack(values.to_numpy()) if len(values) else np.zeros((0, 1))
-        return pd.Series(list(np.stack([m.predict(x) for m in sent.value], axis=1)) if len(values) else [], dtype=object)
-
-    with_all = rows.withColumn("_p", predicted(F.array(*[F.col(f).cast("double") for f in features])))
-    return with_all.withColumns({n: F.col("_p")[k] for k, n in enumerate(names)}).drop("_p")
+    @F.pandas_udf(", ".join(f"m{k} double" for k in range(len(models))))
+    def predicted(*values: pd.Series) -> pd.DataFrame:
+        x, codes, out = np.stack([v.to_numpy(dtype=np.float64) for v in values], axis=1), {}, {}
+        for k, m in enumerate(sent.value):
+            if id(m.edges) not in codes:  # models of one fit share them
+                codes[id(m.edges)] = coded(x, m.edges)
+            out[f"m{k}"] = m.predict_coded(codes[id(m.edges)])
+        return pd.DataFrame(out)
+
+    with_all = rows.withColumn("_p", predicted(*[F.col(f).cast("double") for f in features]))
+    return with_all.withColumns({n: F.col("_p")[f"m{k}"] for k, n in enumerate(names)}).drop("_p")

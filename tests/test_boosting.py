@@ -177,3 +177,44 @@ def test_constant_features_and_no_rows(spark):
         B.fit(df, names, [B.Objective()], "y")
     with pytest.raises(ValueError):
         B.Objective("cubic")
+
+
+def test_rows_of_equal_bins_are_one_cell(spark):
+    """Copies of the rows add no cells, so passes do not grow with them; a cell with most rows is dealt to several blocks."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 20, (4000, 2))
+    pdf = pd.DataFrame({"f0": x[:, 0] * 1.0, "f1": x[:, 1] * 1.0, "y": rng.normal(size=4000), "r0": np.where(x[:, 0] < 5, B.VALIDATE, B.TRAIN).astype(np.int8)})
+    edges = [np.arange(19.0), np.arange(19.0)]
+    one = spark.createDataFrame(pdf).repartition(3)
+    for times in (1, 6):
+        blocks = B.binned(one.crossJoin(spark.range(times)).drop("id").coalesce(2), 2, 1, edges, 4).collect()
+        assert len(blocks) == 4 and sum(c.shape[1] for c, *_ in blocks) == len({(a, b) for a, b in x})
+        got = sorted((*c[:, i].tolist(), int(r[0, i]), v) for c, r, n, y in blocks for i, own in enumerate(np.split(y, np.cumsum(n)[:-1])) for v in own.tolist())
+        assert got == sorted([(a, b, int(r), v) for (a, b), r, v in zip(x.tolist(), pdf.r0, pdf.y)] * times)
+    crowd = one.withColumns({c: F.when(F.col("y") < 1, 3.0).otherwise(F.col(c)) for c in ("f0", "f1")})
+    sizes = [len(y) for *_, y in B.binned(crowd, 2, 1, edges, 4).collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
+def test_many_features_keep_their_rows_apart(spark):
+    """More columns than one number holds: cells are still told apart exactly."""
+    codes = np.random.default_rng(5).integers(0, 2, (40, 500)).astype(np.uint8)
+    codes[:, 250:] = codes[:, :250]
+    found, n, y = B.cells_of(codes, np.ones(500, dtype=np.int64), np.arange(500.0))
+    assert found.shape[1] == len(np.unique(codes, axis=1).T) == 250 and (n == 2).all()
+    assert all((codes[:, y[2 * k:2 * k + 2].astype(int)] == found[:, [k]]).all() for k in range(250))
+
+
+def test_leaves_by_bits_are_those_of_the_walk(spark):
+    rng = np.random.default_rng(8)
+    for leaves in (1, 2, 7, 64, 90):
+        feature, cut, left, right, open_ = [-1], [-1], [-1], [-1], [0]
+        while len(open_) < leaves:
+            i = open_.pop(int(rng.integers(len(open_))))
+            feature[i], cut[i], left[i], right[i] = int(rng.integers(3)), int(rng.integers(255)), len(feature), len(feature) + 1
+            open_ += [left[i], right[i]]
+            for column in (feature, cut, left, right):
+                column += [-1, -1]
+        t = B.Tree(*[np.array(c, dtype=np.int32) for c in (feature, cut, left, right)], np.zeros(len(feature)))
+        codes = rng.integers(0, 256, (3, 3000)).astype(np.uint8)
+        assert (t.place(codes) == t.walked(codes)).all()

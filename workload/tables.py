@@ -10,6 +10,7 @@ from pluvian.models import residual as M
 from pluvian.operators import columns as C
 from pluvian.operators import quality as Q
 from pluvian.operators import split as P
+from pluvian.session import written
 from pluvian.sources import forecasts as FS
 from pluvian.sources import inventory as INV
 from pluvian.sources import stations as ST
@@ -262,6 +263,7 @@ VALIDATION = f"""WITH {oracle_view('v_forecast_obs')} SELECT l_orderkey, l_partk
 def facts(scored, *more):
     """Keys of the validation rows, and what must hold: finite residuals, corrected rain from 0 up, a lower squared error than raw."""
     bias, raw, obs = (F.col(c).cast("double") for c in ("predicted_bias", "nwp_rain_raw", "observed_rain"))
+    scored = written(scored)  # read twice, so the rows are scored once
     scored = scored.withColumn("_c", S.corrected_rain(raw, bias))
     error = scored.agg((F.avg((F.col("_c") - obs) * (F.col("_c") - obs)) < F.avg((raw - obs) * (raw - obs))).alias("b"))
     return scored.select("l_orderkey", "l_partkey", "station_id", "l_linenumber", S.finite("predicted_bias").alias("finite"),
