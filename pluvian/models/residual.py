@@ -11,6 +11,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -87,13 +88,52 @@ def cells(rows: DataFrame, features: Sequence[str], label: str, settings: TreeSe
     return out, max(settings.bins, math.isqrt(out.count()) + 1)
 
 
+def signed(rows: DataFrame, features: Sequence[str], label: str, settings: TreeSettings, stop: bool, tolerance: float, learner: GBTRegressor) -> GBTRegressionModel:
+    """What `learner` fits under absolute loss, from blocks of cells (`boosting.binned`) instead of passes over all rows.
+
+    The rows of a cell have one prediction, so a tree takes from them the number above and below; only that is counted row by row,
+    once a round. Thresholds lie between the levels, as in `cells`.
+    """
+    edges = [np.array([(a + b) / 2 for a, b in zip(v, v[1:])]) for v in levels(rows.where("is_train"), features, settings.bins)]
+    val = F.col("is_val") if stop else F.lit(False)
+    role = F.when(val, boosting.VALIDATE).when(~val if stop else F.col("is_train"), boosting.TRAIN).cast("tinyint")
+    table = rows.select(*[F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)], F.col(label).alias("y"), role.alias("r0")).where("r0 is not null")
+    blocks = boosting.binned(table, len(features), 1, edges, settings.partitions)
+    grown = boosting.LevelFit(blocks, edges, settings.rounds, settings.depth, settings.step).run(tolerance if stop else None)
+    return spark_model(rows.sparkSession, learner, grown, edges, settings.step)
+
+
+def spark_model(spark: SparkSession, learner: GBTRegressor, grown: Sequence[boosting.Grown], edges: Sequence[np.ndarray], step: float) -> GBTRegressionModel:
+    """The trees as a model of Spark ML, with the parameters of `learner`; the first tree counts once, the others `step` times."""
+    jvm, new = spark._jvm.org.apache.spark, spark.sparkContext._gateway.new_array
+    trees = new(jvm.ml.regression.DecisionTreeRegressionModel, len(grown))
+    weights = new(spark._jvm.double, len(grown))
+    for t, g in enumerate(grown):
+        nodes = {}
+        for i in reversed(range(len(g.stats))):
+            n, total, squares = g.stats[i].tolist()
+            stats = jvm.mllib.tree.impurity.VarianceCalculator(jvm.mllib.linalg.Vectors.parse(f"[{n!r},{total!r},{squares!r}]").toArray(), int(n))
+            if g.tree.feature[i] < 0:
+                nodes[i] = jvm.ml.tree.LeafNode(stats.predict(), stats.calculate(), stats)
+            else:
+                f = int(g.tree.feature[i])
+                split = jvm.ml.tree.ContinuousSplit(f, float(edges[f][g.tree.cut[i]]))
+                children = nodes.pop(int(g.tree.left[i])), nodes.pop(int(g.tree.right[i]))
+                nodes[i] = jvm.ml.tree.InternalNode(stats.predict(), stats.calculate(), float(g.gain[i]), *children, split, stats)
+        trees[t] = jvm.ml.regression.DecisionTreeRegressionModel(f"{learner.uid}_{t}", nodes[0], len(edges))
+        weights[t] = step if t else 1.0
+    model = learner._create_model(jvm.ml.regression.GBTRegressionModel(learner.uid, trees, weights, len(edges)))
+    return learner._copyValues(model)
+
+
 def boosted_residual(df: DataFrame, features: Sequence[str], loss: str = "squared", target: str = "target_bias",
                      settings: TreeSettings = TreeSettings(), early_stop_tol: float | None = 1e-6):
     """Boosted trees on the residual (`absolute` or `squared` loss), stopped early on the validation rows.
 
     A round counts as no gain only if the validation error falls by less than a share `early_stop_tol`; a step of a few
-    percent gains little per round, so the tolerance is near zero. Under squared loss without subsampling the learner passes over
-    `cells`, whose number does not grow with the rows.
+    percent gains little per round, so the tolerance is near zero. Without subsampling neither loss passes over all rows again and
+    again: under squared loss the learner takes `cells`, whose number does not grow with the rows, and under absolute loss the same
+    trees come from blocks of cells (`signed`).
     """
     rows = assembled(df.withColumn("_y", F.col(target).cast("double")), features, settings)
     stop = {} if early_stop_tol is None else {"validationIndicatorCol": "is_val", "validationTol": early_stop_tol}
@@ -101,11 +141,13 @@ def boosted_residual(df: DataFrame, features: Sequence[str], loss: str = "square
     if loss == "squared" and settings.subsample == 1.0:
         learned, bins = cells(learned, features, "_y", settings, ["is_train", "is_val"])
         weight = {"weightCol": "_w"}
+    elif loss == "absolute" and settings.subsample == 1.0 and settings.bins <= 256:
+        learned = None
     learner = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="predicted_bias", lossType=loss,
                            maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.step,
                            maxBins=bins, seed=settings.seed, subsamplingRate=settings.subsample,
                            checkpointInterval=10, **stop, **weight)
-    fitted = learner.fit(learned)
+    fitted = learner.fit(learned) if learned is not None else signed(rows, features, "_y", settings, bool(stop), early_stop_tol, learner)
     return fitted, fitted.transform(rows.where("is_val")).drop("_x", "_y")
 
 

@@ -150,3 +150,36 @@ def test_cells_part_raw_values_as_their_trees_do(spark):
     fitted, _ = M.boosted_residual(rows, ["x"], settings=M.TreeSettings(rounds=1, depth=2, bins=8), early_stop_tol=None)
     scored = fitted.transform(M.VectorAssembler(inputCols=["x"], outputCol="_x").transform(rows)).groupBy("predicted_bias").agg(F.avg("target_bias").alias("mean"))
     assert all(abs(r["predicted_bias"] - r["mean"]) < 1e-9 for r in scored.collect()) and scored.count() == 4
+
+
+@pytest.mark.parametrize("tolerance", [1e-6, None])
+def test_absolute_loss_without_passes_over_all_rows(spark, monkeypatch, tolerance):
+    """The trees of Spark ML under absolute loss, but not from its learner, which goes over all rows for every level of every tree."""
+    rng = np.random.default_rng(4)
+    n = 6000
+    pdf = pd.DataFrame({"id": range(n), "a": rng.integers(0, 12, n).astype(float), "b": rng.integers(0, 5, n) * 2.5, "flat": 2.0, "is_val": rng.random(n) < 0.25})
+    pdf["target_bias"], pdf["is_train"] = np.sin(pdf.a) * 5 + pdf.a * pdf.b / 9 + rng.normal(0, 1 + pdf.b, n), ~pdf.is_val
+    rows, names = spark.createDataFrame(pdf).cache(), ["a", "b", "flat"]
+    stop = {} if tolerance is None else {"validationIndicatorCol": "is_val", "validationTol": tolerance}
+    plain = M.GBTRegressor(featuresCol="_x", labelCol="target_bias", predictionCol="want", lossType="absolute", maxIter=8, maxDepth=3, stepSize=0.4, maxBins=16, seed=42, **stop)
+    every = M.VectorAssembler(inputCols=names, outputCol="_x").transform(rows)
+    model = plain.fit(every if stop else every.where("is_train"))
+    monkeypatch.setattr(M.GBTRegressor, "fit", lambda *_: pytest.fail("all rows were given to Spark ML"))
+    fitted, got = M.boosted_residual(rows, names, "absolute", settings=M.TreeSettings(rounds=8, depth=3, step=0.4, bins=16, partitions=3), early_stop_tol=tolerance)
+    both = got.join(model.transform(every.where("is_val")).select("id", "want"), "id")
+    assert both.count() == pdf.is_val.sum() and both.agg(F.max(F.abs(F.col("predicted_bias") - F.col("want")))).first()[0] < 1e-9
+    assert fitted.treeWeights == model.treeWeights and len(fitted.trees) > 3
+    assert np.allclose(fitted.featureImportances.toArray(), model.featureImportances.toArray())
+
+
+def test_absolute_loss_saved_and_missing_targets(spark, tmp_path):
+    rows = spark.range(60).select((F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 3 == 0).alias("is_val"))
+    rows = rows.withColumns({"target_bias": F.col("x") * 4 - 1, "is_train": ~F.col("is_val")})
+    fitted, scored = M.boosted_residual(rows, ["x"], "absolute", settings=M.TreeSettings(rounds=1, depth=1))
+    assert {(r["x"], r["predicted_bias"]) for r in scored.collect()} == {(0.0, -1.0), (1.0, 3.0)}
+    M.save(fitted, str(tmp_path / "m"))
+    (back,) = M.load(spark, str(tmp_path / "m"))
+    assert back.toDebugString.split("\n", 1)[1] == fitted.toDebugString.split("\n", 1)[1]
+    gaps = rows.withColumn("target_bias", F.when(F.col("x") > 0, F.col("target_bias")))
+    with pytest.raises(Exception, match="a row has no target"):
+        M.boosted_residual(gaps, ["x"], "absolute", settings=M.TreeSettings(rounds=1, depth=1))
