@@ -285,10 +285,11 @@ def binned(table: DataFrame, d: int, n: int, edges: list[np.ndarray], least: int
     """RDD of blocks (codes, roles, rows, target), from a table of `d` features, target and `n` roles.
 
     `codes` are features x cells bins and `roles` folds x cells, `rows` counts the rows of each cell, whose targets follow each other.
-    Cells are in the order of their roles. There are `least` blocks at least (by default what keeps the cores busy, and no more than
-    the table's parts). What is shuffled is the targets, once, and the bins of the cells of every task.
+    Cells are in the order of their roles. There are `least` blocks at least, and as many as the table has parts or cores
+    can look at together. What is shuffled is the targets, once, and the bins of the cells of every task.
     """
-    parts = max(least or min(table.rdd.getNumPartitions(), table.sparkSession.sparkContext.defaultParallelism), -(-table.count() // BLOCK_ROWS))
+    busy = min(table.rdd.getNumPartitions(), table.sparkSession.sparkContext.defaultParallelism)
+    parts = max(least or 1, busy, -(-table.count() // BLOCK_ROWS))
 
     def batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
         kinds = [pa.int32() if name == "part" else pa.binary() for name in names]
